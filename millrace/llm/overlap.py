@@ -86,18 +86,24 @@ def _fit(sides: DataFrame, width: int, scheme: str) -> Terms:
     return fitted if scheme == "uniform" else gather(fitted)
 
 
-def cosine_candidates(sides: DataFrame, threshold: float, width: int = 5, scheme: str = "uniform", size_ratio: float = 0.0) -> DataFrame:
+def cosine_candidates(sides: DataFrame, threshold: float, width: int = 5, scheme: str = "uniform", jaccard: float | None = None) -> DataFrame:
     """``(key_0, key_1)`` of texts from side 0 and side 1 whose cosine may reach the threshold; none that does is missing.
 
-    ``sides`` has ``key``, ``side`` (0 or 1) and ``text``, each text once a side.
-    ``size_ratio`` drops pairs whose numbers of terms are further apart.
+    ``sides`` has a 64-bit ``key``, ``side`` (0 or 1) and ``text``; should two
+    texts share a key, the pair stands for both. A pair is met at each listed
+    term the two share. At the first of them nothing precedes, so what follows
+    in either vector bounds the whole product; such meetings that can't reach
+    the threshold are dropped before anything is shuffled, and the pairs that
+    are left are bounded once more by what they share so far and what follows
+    the last meeting. With ``jaccard`` (equal weights only) both bounds also
+    count common terms against the overlap that the two sizes need.
     """
     shared = sides.sparkSession.sparkContext.broadcast(_fit(sides, width, scheme))
 
     def post(keys: list, side: list, texts: list) -> dict:
         terms = shared.value
-        out: dict = {name: [] for name in ("term", "key", "side", "size", "rest")}
-        sides_ = np.array(side)
+        out: dict = {name: [] for name in ("term", "key", "side", "size", "weight", "rest")}
+        keys_, sides_ = np.array(keys, dtype=np.int64), np.array(side)
         for a, b in chunks(texts):
             hashes, owner, slot, weight = _vectors(texts[a:b], width, terms, scheme)
             order = np.lexsort((hashes, terms.counts[slot], owner))
@@ -111,35 +117,46 @@ def cosine_candidates(sides: DataFrame, threshold: float, width: int = 5, scheme
             bound = np.minimum(rest, product[end] - product[at])
             keep = np.flatnonzero((bound >= threshold - 1e-6) & (theirs > 0))
             out["term"].append(hashes[keep].view(np.int64))
+            out["weight"].append(weight[keep].astype(np.float32))
             out["rest"].append(rest[keep].astype(np.float32))
             out["size"].append(size[owner[keep]])
-            rows = (owner[keep] + a).tolist()
-            out["key"] += [keys[r] for r in rows]
-            out["side"] += [side[r] for r in rows]
-        return {k: np.concatenate(v) if k in ("term", "rest", "size") else v for k, v in out.items()}
-
-    posted = map_columns(sides.select("key", "side", "text"), post, "term long, key binary, side int, size int, rest float")
-    a, b = (posted.filter(F.col("side") == k).select("term", F.col("key").alias(f"key_{k}"), F.col("size").alias(f"n{k}"), F.col("rest").alias(f"r{k}")) for k in (0, 1))
-    fits = (F.col("r0").cast("double") * F.col("r1") >= threshold - 1e-5) & (F.least("n0", "n1") >= size_ratio * F.greatest("n0", "n1") - 1e-9)
-    return a.join(b, "term").filter(fits).select("key_0", "key_1").distinct()
+            out["key"].append(keys_[a:b][owner[keep]])
+            out["side"].append(sides_[a:b][owner[keep]])
+        return {k: np.concatenate(v) for k, v in out.items()}
+
+    posted = map_columns(sides.select("key", "side", "text"), post, "term long, key long, side int, size int, weight float, rest float")
+    a, b = (posted.filter(F.col("side") == k).select("term", F.col("key").alias(f"key_{k}"), F.col("size").alias(f"n{k}"), F.col("weight").cast("float").alias(f"w{k}"), F.col("rest").alias(f"r{k}")) for k in (0, 1))
+    squares = [F.col(f"r{k}").cast("double") * F.col(f"r{k}") for k in (0, 1)]
+    met = a.join(b, "term").filter(F.sqrt(squares[0] * squares[1]) >= threshold - 1e-5)
+    after = [F.greatest(squares[k] - F.col(f"w{k}").cast("double") * F.col(f"w{k}"), F.lit(0.0)) for k in (0, 1)]
+    met = met.withColumn("product", F.col("w0").cast("double") * F.col("w1")).withColumn("beyond", F.sqrt(after[0] * after[1]))
+    if jaccard is None:
+        pairs = met.groupBy("key_0", "key_1").agg(F.sum("product").alias("product"), F.min("beyond").alias("beyond"))
+        return pairs.filter(F.col("product") + F.col("beyond") >= threshold - 1e-4).select("key_0", "key_1")
+    need = F.ceil(jaccard / (1 + jaccard) * (F.col("n0") + F.col("n1")) - 1e-6).cast("int")
+    left = F.least(F.round(squares[0] * F.col("n0")), F.round(squares[1] * F.col("n1"))).cast("int")  # terms from this one on
+    met = met.select("key_0", "key_1", need.alias("need"), left.alias("left")).filter("left >= need")
+    pairs = met.groupBy("key_0", "key_1", "need").agg(F.count(F.lit(1)).alias("common"), F.min("left").alias("left"))
+    return pairs.filter("common + left - 1 >= need").select("key_0", "key_1").distinct()
 
 
 def jaccard_pairs(sides: DataFrame, threshold: float = 0.8, width: int = 5) -> DataFrame:
-    """``(key_0, key_1, shared, size_0, size_1)`` of the texts whose sets of n-grams have at least ``threshold`` of their union in common.
+    """``(digest_0, digest_1, shared, size_0, size_1)`` of the texts whose sets of n-grams have at least ``threshold`` of their union in common.
 
-    For sets as unit vectors of equal weights a Jaccard of t is a cosine of at
-    least 2t / (1 + t), which is what the join runs with; the sets themselves are
-    then compared, in whole numbers. Texts shorter than ``width`` have no n-grams
-    and match nothing here.
+    ``sides`` has ``digest``, ``side`` and ``text``, each text once a side. For
+    sets as unit vectors of equal weights a Jaccard of t is a cosine of at least
+    2t / (1 + t), which is what the join runs with; the sets themselves are then
+    compared, in whole numbers. Texts shorter than ``width`` have no n-grams and
+    match nothing here.
     """
-    near = cosine_candidates(sides, 2 * threshold / (1 + threshold), width, "uniform", threshold)
-    texts = sides.select("key", "side", "text")
+    keyed = sides.select("digest", "side", "text", F.xxhash64("digest").alias("key"))
+    near = cosine_candidates(keyed, 2 * threshold / (1 + threshold), width, "uniform", threshold)
     for k in (0, 1):
-        near = near.join(texts.filter(F.col("side") == k).select(F.col("key").alias(f"key_{k}"), F.col("text").alias(f"text_{k}")), f"key_{k}")
+        near = near.join(keyed.filter(F.col("side") == k).select(F.col("key").alias(f"key_{k}"), F.col("digest").alias(f"digest_{k}"), F.col("text").alias(f"text_{k}")), f"key_{k}")
     per_mille = round(threshold * 1000)
 
     def settle(k0: list, t0: list, k1: list, t1: list) -> dict:
-        out: dict = {name: [] for name in ("key_0", "key_1", "shared", "size_0", "size_1")}
+        out: dict = {name: [] for name in ("digest_0", "digest_1", "shared", "size_0", "size_1")}
         for a, x, b, y in zip(k0, t0, k1, t1):
             p, q = ({t[i : i + width] for i in range(len(t) - width + 1)} for t in (x, y))
             both = len(p & q)
@@ -148,7 +165,7 @@ def jaccard_pairs(sides: DataFrame, threshold: float = 0.8, width: int = 5) -> D
                     out[name].append(value)
         return out
 
-    return map_columns(near.select("key_0", "text_0", "key_1", "text_1"), settle, "key_0 binary, key_1 binary, shared long, size_0 long, size_1 long")
+    return map_columns(near.select("digest_0", "text_0", "digest_1", "text_1"), settle, "digest_0 binary, digest_1 binary, shared long, size_0 long, size_1 long")
 
 
 def chunk_overlaps(train: DataFrame, held_out: DataFrame) -> DataFrame:
@@ -167,7 +184,7 @@ def _candidate_sides(candidates: DataFrame) -> DataFrame:
     split = split_name("split")
     side = F.when(split == "train", 1).when(split.isin("validation", "test"), 0)
     rows = candidates.select(F.col("candidate_id").cast("string").alias("id"), side.alias("side"), split.alias("split"), F.split("origin_group_id", ":")[0].alias("source"), F.col("prompt_norm").alias("text"))
-    return rows.filter("id is not null and side is not null and text is not null").withColumn("key", F.unhex(F.substring(F.sha2("text", 256), 1, 32)))
+    return rows.filter("id is not null and side is not null and text is not null").withColumn("digest", F.unhex(F.substring(F.sha2("text", 256), 1, 32)))
 
 
 def candidate_overlaps(candidates: DataFrame, threshold: float = 0.8, width: int = 5) -> DataFrame:
@@ -178,14 +195,14 @@ def candidate_overlaps(candidates: DataFrame, threshold: float = 0.8, width: int
     twice count once; other splits, null prompts and null ids take no part.
     """
     rows = _candidate_sides(candidates)
-    prompts = written(rows.select("key", "side", "text").dropDuplicates(["key", "side"]))
-    of = written(rows.select("key", "side", "id", "split", "source").dropDuplicates(["key", "side", "id", "split"]))
-    near = jaccard_pairs(prompts, threshold, width).select("key_0", "key_1")
-    equal = prompts.groupBy("key").agg(F.countDistinct("side").alias("n")).filter("n = 2").select(F.col("key").alias("key_0"), F.col("key").alias("key_1"))
+    prompts = written(rows.select("digest", "side", "text").dropDuplicates(["digest", "side"]))
+    of = written(rows.select("digest", "side", "id", "split", "source").dropDuplicates(["digest", "side", "id", "split"]))
+    near = jaccard_pairs(prompts, threshold, width).select("digest_0", "digest_1")
+    equal = prompts.groupBy("digest").agg(F.countDistinct("side").alias("n")).filter("n = 2").select(F.col("digest").alias("digest_0"), F.col("digest").alias("digest_1"))
     pairs = near.unionByName(equal).distinct()
-    held = of.filter("side = 0").select(F.col("key").alias("key_0"), F.col("id").alias("h"), F.col("split").alias("held_split"), F.col("source").alias("held_source"))
-    train = of.filter("side = 1").select(F.col("key").alias("key_1"), F.col("id").alias("t"))
-    found = pairs.join(held, "key_0").join(train, "key_1").filter("h <> t")
+    held = of.filter("side = 0").select(F.col("digest").alias("digest_0"), F.col("id").alias("h"), F.col("split").alias("held_split"), F.col("source").alias("held_source"))
+    train = of.filter("side = 1").select(F.col("digest").alias("digest_1"), F.col("id").alias("t"))
+    found = pairs.join(held, "digest_0").join(train, "digest_1").filter("h <> t")
     return found.select(F.least("h", "t").alias("key_a"), F.greatest("h", "t").alias("key_b"), F.col("h").alias("held_key"), "held_split", "held_source").distinct()
 
 
