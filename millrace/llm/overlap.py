@@ -20,6 +20,8 @@ from ..runtime import written
 
 #: Terms share this many counters; a fixed 12 bytes each are broadcast, whatever the data.
 COUNTERS = 1 << 19
+#: 64-bit words of a parity sketch.
+SKETCH_WORDS = 4
 _SHIFT = np.uint64(64 - 19)
 
 
@@ -151,6 +153,24 @@ def jaccard_pairs(sides: DataFrame, threshold: float = 0.8, width: int = 5) -> D
     """
     keyed = sides.select("digest", "side", "text", F.xxhash64("digest").alias("key"))
     near = cosine_candidates(keyed, 2 * threshold / (1 + threshold), width, "uniform", threshold)
+
+    def sketch(keys: list, texts: list) -> dict:
+        words = np.zeros((len(texts), SKETCH_WORDS * 64), dtype=np.int64)
+        size = np.zeros(len(texts), dtype=np.int64)
+        for a, b in chunks(texts):
+            hashes, owner = distinct_grams(texts[a:b], width)
+            size[a:b] = np.bincount(owner, minlength=b - a)
+            np.add.at(words, (owner + a, (hashes % np.uint64(SKETCH_WORDS * 64)).astype(np.int64)), 1)
+        bits = np.packbits((words & 1).astype(np.uint8), axis=1).view(np.int64)
+        return {"key": keys, "n": size} | {f"b{i}": bits[:, i] for i in range(SKETCH_WORDS)}
+
+    # parity sketches: each term flips a bit, so two sketches differ in no more bits than the sets do in terms
+    fields = "key long, n long, " + ", ".join(f"b{i} long" for i in range(SKETCH_WORDS))
+    for k in (0, 1):
+        bits = map_columns(keyed.filter(F.col("side") == k).select("key", "text"), sketch, fields)
+        near = near.join(bits.select(*(F.col(c).alias(f"{c}_{k}") for c in bits.columns)), f"key_{k}")
+    differ = sum((F.bit_count(F.col(f"b{i}_0").bitwiseXOR(F.col(f"b{i}_1"))) for i in range(SKETCH_WORDS)), F.lit(0))
+    near = near.filter(differ <= (1 - threshold) / (1 + threshold) * (F.col("n_0") + F.col("n_1")) + 1e-6).select("key_0", "key_1").distinct()
     for k in (0, 1):
         near = near.join(keyed.filter(F.col("side") == k).select(F.col("key").alias(f"key_{k}"), F.col("digest").alias(f"digest_{k}"), F.col("text").alias(f"text_{k}")), f"key_{k}")
     per_mille = round(threshold * 1000)
