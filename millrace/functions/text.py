@@ -1,0 +1,291 @@
+"""Column expressions over text and token arrays; all run inside the JVM unless they say otherwise."""
+
+from __future__ import annotations
+
+import unicodedata
+
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+# ---- normal forms: seven different definitions that must not be merged
+
+
+def alnum_lower(t: Column) -> Column:
+    """N1: lower case, letters and digits only (built-in form; see :func:`alnum_lower_exact`)."""
+    return F.lower(F.regexp_replace(t, r"[^\p{L}\p{N}]", ""))
+
+
+@F.pandas_udf("string")
+def alnum_lower_exact(t: pd.Series) -> pd.Series:
+    """N1 with NFKC and Python's ``isalnum``, for texts outside the common scripts (Arrow batches)."""
+    return t.map(lambda s: None if s is None else "".join(c for c in unicodedata.normalize("NFKC", s).lower() if c.isalnum()))
+
+
+@F.pandas_udf("string")
+def spaced_casefold_exact(t: pd.Series) -> pd.Series:
+    """N2: NFKC, case-folded, blank runs as one space (Arrow batches)."""
+    return t.map(lambda s: None if s is None else " ".join(unicodedata.normalize("NFKC", s).casefold().split()))
+
+
+def spaced_casefold(t: Column) -> Column:
+    """N2 in built-ins: exact for NFKC-stable texts whose only special folding is that of the sharp s."""
+    return F.trim(F.regexp_replace(F.replace(F.lower(t), F.lit("ß"), F.lit("ss")), r"\s+", " "))
+
+
+def ascii_alnum(t: Column) -> Column:
+    """N3: case-folded, only a-z and 0-9."""
+    return F.regexp_replace(F.replace(F.lower(t), F.lit("ß"), F.lit("ss")), "[^0-9a-z]", "")
+
+
+def word_chars(t: Column) -> Column:
+    """N4: case-folded word characters, underscores kept."""
+    return F.regexp_replace(F.replace(F.lower(t), F.lit("ß"), F.lit("ss")), r"[^\p{L}\p{N}_]", "")
+
+
+def filter_then_lower(t: Column) -> Column:
+    """N5: letters and digits first, then lower case."""
+    return F.lower(F.regexp_replace(t, r"[^\p{L}\p{N}]", ""))
+
+
+def alnum_casefold(t: Column) -> Column:
+    """N6: case-folded letters and digits."""
+    return F.regexp_replace(F.replace(F.lower(t), F.lit("ß"), F.lit("ss")), r"[^\p{L}\p{N}]", "")
+
+
+def spaced_lower(t: Column) -> Column:
+    """N7: blank runs as one space, lower case."""
+    return F.lower(F.trim(F.regexp_replace(t, r"\s+", " ")))
+
+
+# ---- tokens and shingles
+
+
+def words(t: Column) -> Column:
+    """Whitespace tokens, none for a blank text."""
+    return F.filter(F.split(t, r"\s+"), lambda w: w != "")
+
+
+def word_count(t: Column) -> Column:
+    return F.size(words(t))
+
+
+def shingles(t: Column, width: int, short: str = "whole") -> Column:
+    """Distinct ``width``-character substrings. A shorter text gives itself (``whole``), nothing (``none``) or its one prefix, even if empty (``prefix``)."""
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(t) - width + 1), lambda i: F.substring(t, i, F.lit(width))))
+    few = {"whole": F.array(t), "none": F.array().cast("array<string>"), "prefix": F.array(F.substring(t, 1, width))}[short]
+    return F.when(F.length(t) >= width, grams).when(t.isNotNull(), few)
+
+
+def jaccard(a: Column, b: Column) -> Column:
+    return F.size(F.array_intersect(a, b)) / F.nullif(F.size(F.array_union(a, b)), F.lit(0))
+
+
+def repetition_ratio(t: Column, width: int = 4) -> Column:
+    """Share of the character n-grams that repeat another; 0 for short texts."""
+    total = F.length(t) - width + 1
+    return F.when(total > 0, 1 - F.size(shingles(t, width, "none")) / total).otherwise(F.lit(0.0))
+
+
+def word_ngrams(w: Column, n: int) -> Column:
+    return F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " "))).otherwise(F.array().cast("array<string>"))
+
+
+def repetition_penalty(t: Column, n: int = 3, cap: float = 0.5) -> Column:
+    """Penalty for repeated word n-grams, at most ``cap``."""
+    grams = word_ngrams(F.regexp_extract_all(F.lower(t), F.lit(r"([a-z0-9]+)"), 1), n)
+    total = F.size(grams)
+    return F.when(total > 0, F.least(F.lit(cap), (total - F.size(F.array_distinct(grams))) * cap * 2 / total)).otherwise(F.lit(0.0))
+
+
+# ---- hashing
+
+
+def stable_hash(*parts: Column) -> Column:
+    """SHA-256 over length-prefixed parts, so that no two lists of parts collide by concatenation."""
+    pieces = []
+    for p in parts:
+        raw = F.encode(F.coalesce(p.cast("string"), F.lit("")), "utf-8")
+        pieces += [F.unhex(F.lpad(F.hex(F.octet_length(raw)), 16, "0")), raw]
+    return F.sha2(F.concat(*pieces), 256)
+
+
+def hash_order(*parts: Column | str) -> Column:
+    """SHA-256 of the parts joined by ``|``: the order of deterministic shuffles and samples."""
+    return F.sha2(F.concat_ws("|", *[p.cast("string") if isinstance(p, Column) else F.lit(p) for p in parts]), 256)
+
+
+def hash_mod(digest: Column, modulus: int, digits: int = 8) -> Column:
+    """Residue of the first ``digits`` hex digits."""
+    return F.conv(F.substring(digest, 1, digits), 16, 10).cast("long") % modulus
+
+
+def hash_mod5(digest: Column) -> Column:
+    """The whole digest as a number, mod 5: 16 leaves 1, so it is the digit sum mod 5."""
+    digits = F.transform(F.sequence(F.lit(1), F.length(digest)), lambda i: F.conv(F.substring(digest, i, F.lit(1)), 16, 10).cast("int"))
+    return F.aggregate(digits, F.lit(0), lambda a, x: a + x) % 5
+
+
+def sampled(digest: Column, rate: float) -> Column:
+    """Bernoulli sample by hash: the first 16 hex digits are below ``rate``."""
+    limit = min(int(rate * 2**64), 2**64 - 1)
+    return F.substring(digest, 1, 16) < F.lit(f"{limit:016x}")
+
+
+def packed_ids(ids: Column, little_endian: bool = False) -> Column:
+    """Token ids as 4-byte numbers in one binary; big-endian for content digests, little-endian for chunk digests."""
+
+    def one(i: Column) -> Column:
+        h = F.lpad(F.hex(i.cast("long")), 8, "0")
+        if little_endian:
+            h = F.concat(*(F.substring(h, k, 2) for k in (7, 5, 3, 1)))
+        return h
+
+    return F.unhex(F.array_join(F.transform(ids, one), ""))
+
+
+# ---- token arrays
+
+
+def chunks_of(tokens: Column, size: int) -> Column:
+    """Consecutive slices of at most ``size`` tokens; the tail is kept."""
+    return F.when(F.size(tokens) > 0, F.transform(F.sequence(F.lit(0), F.expr("1") * F.ceil(F.size(tokens) / size).cast("int") - 1), lambda i: F.slice(tokens, i * size + 1, size)))
+
+
+def padded(tokens: Column, length: int, bos: int, eos: int, pad: int) -> Column:
+    """BOS, tokens cut to fit, EOS, padding up to ``length``."""
+    body = F.concat(F.array(F.lit(bos)), F.slice(tokens, 1, length - 2), F.array(F.lit(eos)))
+    return F.concat(body, F.array_repeat(F.lit(pad), F.greatest(F.lit(0), F.lit(length) - F.size(body))))
+
+
+def labels_of(ids: Column, pad: int) -> Column:
+    """Labels: the ids with padding ignored (-100)."""
+    return F.transform(ids, lambda i: F.when(i == pad, F.lit(-100)).otherwise(i))
+
+
+def prefix_masked(prefix: Column, reply: Column, limit: int) -> Column:
+    """Labels of prompt and reply: the prompt is ignored, all is cut to ``limit``."""
+    return F.slice(F.concat(F.array_repeat(F.lit(-100), F.size(prefix)), reply), 1, limit)
+
+
+def target_count(labels: Column) -> Column:
+    """Targets after the shift by one."""
+    return F.when(F.size(labels) > 1, F.size(F.filter(F.slice(labels, 2, F.greatest(F.size(labels), F.lit(1))), lambda x: x != -100))).otherwise(F.lit(0))
+
+
+def token_row_valid(ids: Column, labels: Column, vocabulary: int) -> Column:
+    """Equal lengths of at least 2, ids within the vocabulary, labels ids or -100, and at least one target."""
+    return (
+        (F.size(ids) == F.size(labels))
+        & (F.size(ids) >= 2)
+        & F.forall(ids, lambda i: (i >= 0) & (i < vocabulary))
+        & F.forall(labels, lambda x: (x == -100) | ((x >= 0) & (x < vocabulary)))
+        & (target_count(labels) > 0)
+    )
+
+
+def span_mask(ids: Column, start: list[int], end: list[int]) -> Column:
+    """Labels that keep what lies between each marker sequence ``start`` and the next ``end`` (inclusive), by one fold over the ids."""
+    n, m = len(start), len(end)
+    marks = F.array(*map(F.lit, start))
+    stops = F.array(*map(F.lit, end))
+    where = F.sequence(F.lit(1), F.size(ids))
+    begins = F.transform(where, lambda i: F.slice(ids, F.greatest(i - n, F.lit(1)), n) == marks)
+    begins = F.transform(where, lambda i: (i > n) & (F.slice(ids, F.greatest(i - n, F.lit(1)), n) == marks))
+    stopped = F.transform(where, lambda i: (i > m) & (F.slice(ids, F.greatest(i - m, F.lit(1)), m) == stops))
+    empty = F.struct(F.array().cast("array<boolean>").alias("on"), F.lit(False).alias("now"))
+
+    def step(acc: Column, i: Column) -> Column:
+        now = F.when(F.element_at(begins, i), F.lit(True)).when(F.element_at(stopped, i), F.lit(False)).otherwise(acc["now"])
+        return F.struct(F.concat(acc["on"], F.array(now)).alias("on"), now.alias("now"))
+
+    on = F.aggregate(where, empty, step)["on"]
+    return F.when(F.size(ids) > 0, F.zip_with(ids, on, lambda i, k: F.when(k, i).otherwise(F.lit(-100)))).otherwise(F.array().cast("array<int>"))
+
+
+# ---- parsing answers and markup
+
+
+def strip_thinking(t: Column) -> Column:
+    return F.trim(F.regexp_replace(t, r"(?s)^\s*<think>.*?</think>", ""))
+
+
+def count_of(t: Column, pattern: str) -> Column:
+    return F.regexp_count(t, F.lit(pattern))
+
+
+def sentence_count(t: Column) -> Column:
+    return F.size(F.filter(F.split(t, r"[.!?。！？]+"), lambda s: F.trim(s) != ""))
+
+
+def paragraph_count(t: Column) -> Column:
+    return F.size(F.filter(F.split(t, r"\n[ \t]*\n"), lambda s: F.trim(F.regexp_replace(s, r"\s+", " ")) != ""))
+
+
+def bullet_count(t: Column) -> Column:
+    return count_of(t, r"(?m)^[ \t]*[-*•][ \t]+")
+
+
+def list_item_count(t: Column) -> Column:
+    return count_of(t, r"(?m)^[ \t]*(?:[-*•]|[0-9]+[.)、])[ \t]*")
+
+
+def highlighted_count(t: Column) -> Column:
+    return count_of(t, r"\*\*[^*\n]+\*\*") + count_of(F.regexp_replace(t, r"\*\*[^*\n]+\*\*", ""), r"\*[^*\n]+\*")
+
+
+def parse_choice(t: Column) -> Column:
+    """The one answer letter: a bare letter, or the only distinct letter that stands alone."""
+    strict = F.regexp_extract(F.trim(t), r"^\(?([A-D])\)?\.?$", 1)
+    found = F.array_distinct(F.regexp_extract_all(t, F.lit(r"\b([A-D])\b"), 1))
+    return F.when(strict != "", strict).when(F.size(found) == 1, found[0])
+
+
+def parse_integer(t: Column) -> Column:
+    """An integer only if it is the whole answer."""
+    return F.regexp_extract(F.trim(t), r"^([+-]?[0-9]{1,18})$", 1).try_cast("long")
+
+
+def numbers_in(t: Column) -> Column:
+    """Numbers in the text, thousands separators dropped."""
+    return F.transform(F.regexp_extract_all(F.regexp_replace(t, r"(\d),(\d{3})", "$1$2"), F.lit(r"(-?[0-9]+(?:\.[0-9]+)?)"), 1), lambda x: x.try_cast("double"))
+
+
+def tool_calls(t: Column) -> Column:
+    """Bodies of the ``<tool_call>`` elements."""
+    return F.transform(F.regexp_extract_all(t, F.lit(r"(?s)<tool_call>(.*?)</tool_call>"), 1), lambda x: F.trim(x))
+
+
+def chat_prompt(conversation: Column) -> Column:
+    """A conversation as one marked-up string."""
+    return F.array_join(F.transform(conversation, lambda m: F.concat(F.lit("<|im_start|>"), m["role"], F.lit("\n"), F.coalesce(m["content"], F.lit("")), F.lit("<|im_end|>\n"))), "")
+
+
+def script_chars(t: Column, kind: str) -> Column:
+    """Characters of one class: ``cjk``, ``latin``, ``digit`` or ``other`` (visible ones)."""
+    classes = {"cjk": r"\x{4E00}-\x{9FFF}", "latin": "A-Za-z", "digit": "0-9"}
+    if kind == "other":
+        return F.length(F.regexp_replace(t, r"[\x{4E00}-\x{9FFF}A-Za-z0-9\s]", ""))
+    return F.length(F.regexp_replace(t, f"[^{classes[kind]}]", ""))
+
+
+def license_values(t: Column) -> Column:
+    """Licence names in a value that may be JSON text, a list or separated by comma, semicolon or bar."""
+    return F.array_distinct(F.filter(F.transform(F.split(F.regexp_replace(t, r"[\[\]\"{}]", ""), r"[,;|]"), lambda x: F.regexp_replace(F.lower(F.trim(x)), r"[\s_]+", "-")), lambda x: x != ""))
+
+
+def truthy(t: Column) -> Column:
+    return F.lower(F.trim(t)).isin("1", "true", "yes", "y", "vendor")
+
+
+def in_vendor_path(path: Column, names: tuple[str, ...] = ("vendor", "third_party", "node_modules", "dist", "build")) -> Column:
+    return F.arrays_overlap(F.split(F.lower(path), r"[\\/]+"), F.array(*map(F.lit, names)))
+
+
+def language_name(t: Column) -> Column:
+    low = F.lower(F.trim(t))
+    return F.when(low == "c++", "cpp").when(low == "c#", "csharp").otherwise(low)
+
+
+def first_present(*columns: Column) -> Column:
+    return F.coalesce(*columns)
