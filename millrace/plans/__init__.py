@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("text", "corpus", "metrics")
+MODULES = ("text", "corpus", "metrics", "conversations")
 
 
 def load() -> None:
