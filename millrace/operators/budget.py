@@ -58,16 +58,18 @@ def hash_split(residue: Column, limits: list[tuple[str, int]], rest: str) -> Col
     return out.otherwise(rest)
 
 
-def ranked(df: DataFrame, out: str, *order: Column, digest: Column | None = None) -> DataFrame:
-    """A dense 0-based rank over the whole table without sorting it in one task.
+def ranked(df: DataFrame, out: str, *order: Column, by: list[str] | None = None) -> DataFrame:
+    """A dense 0-based rank (within each group of ``by``) without sorting a table or group in one task.
 
-    Rows are range-partitioned and sorted; ranks are offsets of the partitions
-    (counted first) plus places within them.
+    Rows are range-partitioned and sorted; ranks are places within the partition
+    plus what the partitions before it hold of the group.
     """
     from ..runtime import written
 
-    keys = list(order)
-    spread = written(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_part", F.spark_partition_id()))
-    within = F.row_number().over(W.partitionBy("_part").orderBy(*keys)) - 1
-    offsets = spread.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).withColumn("_off", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("_part", "_off")
-    return spread.withColumn("_w", within).join(F.broadcast(offsets), "_part").withColumn(out, (F.col("_w") + F.col("_off")).cast("long")).drop("_part", "_w", "_off")
+    keys, by = list(order), by or []
+    spread = written(df.repartitionByRange(*by, *keys).withColumn("_part", F.spark_partition_id()))
+    within = F.row_number().over(W.partitionBy("_part", *by).orderBy(*keys)) - 1
+    earlier = W.partitionBy(*(by or [F.lit(0)])).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    # one row per partition and group: small, and broadcast only within the planner's limit
+    offsets = spread.groupBy("_part", *by).agg(F.count(F.lit(1)).alias("_n")).withColumn("_off", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
+    return spread.withColumn("_w", within).join(offsets, ["_part", *by]).withColumn(out, (F.col("_w") + F.col("_off")).cast("long")).drop("_part", "_w", "_off")

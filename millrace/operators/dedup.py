@@ -51,3 +51,26 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if new.filter("label <> old").isEmpty():
             return new.select(F.col("x").alias("id"), F.col("label").alias("component"))
         labels = new.select("x", "label")
+
+
+def greedy(rows: DataFrame, edges: DataFrame, order) -> DataFrame:
+    """Ids kept when rows are taken in ``order(id)`` and one is dropped if a kept one is its neighbour.
+
+    Every round settles all rows whose earlier neighbours are settled; edges are
+    what is iterated, never the rows, and each round ends in the checkpoint folder.
+    """
+    from ..runtime import cut
+
+    a, b = F.col("id_a"), F.col("id_b")
+    first = order(a) < order(b)
+    open_edges = cut(edges.select(F.when(first, a).otherwise(b).alias("early"), F.when(first, b).otherwise(a).alias("late")).distinct())
+    gone = None
+    while not open_edges.isEmpty():
+        # rows without an open earlier neighbour are kept; their later neighbours go
+        kept = open_edges.select("early").distinct().join(open_edges.select(F.col("late").alias("early")).distinct(), "early", "left_anti")
+        out = cut(open_edges.join(kept, "early", "left_semi").select(F.col("late").alias("id")).distinct())
+        gone = out if gone is None else gone.unionByName(out)
+        left = open_edges.join(kept, "early", "left_anti")
+        left = left.join(out.select(F.col("id").alias("early")), "early", "left_anti").join(out.select(F.col("id").alias("late")), "late", "left_anti")
+        open_edges = cut(left.select("early", "late"))
+    return rows if gone is None else rows.join(gone.distinct(), "id", "left_anti")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("text", "corpus", "metrics", "conversations")
+MODULES = ("text", "corpus", "metrics", "conversations", "audit")
 
 
 def load() -> None:
