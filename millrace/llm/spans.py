@@ -77,13 +77,16 @@ def _equal_run(a: np.ndarray, b: np.ndarray) -> int:
     return n
 
 
-def _thinned(places: np.ndarray, ends_at: int, at: int) -> np.ndarray:
+def _thinned(places: np.ndarray, hashes: np.ndarray, at: int) -> np.ndarray:
     """Of places that overlap their neighbours (periodic text) only the first two, the last two and the one whose run ends as the document's does.
 
-    Within a periodic run the other alignments have no longer extension than one of these.
+    Within a periodic run what the other alignments cover of the document, these cover too.
     """
     if len(places) <= 64:
         return places
+    same = np.flatnonzero(hashes[at:] == hashes[at])
+    gaps = np.flatnonzero(np.diff(same) > K)
+    ends_at = at + int(same[gaps[0] if len(gaps) else -1])
     breaks = np.flatnonzero(np.diff(places) > K) + 1
     kept = []
     for run in np.split(places, breaks):
@@ -94,9 +97,11 @@ def _thinned(places: np.ndarray, ends_at: int, at: int) -> np.ndarray:
 def factors(block: Block, text: str, length: int) -> list[tuple[int, int, int]]:
     """``(start in the block, start in the text, characters)`` of the maximal shared spans met by parsing the text against the block.
 
-    Every common run of at least ``length`` >= 2 K characters is inside one of
-    the spans: it lies in one factor, or a factor boundary parts it, and at each
-    boundary all places of the runs on either side are extended both ways.
+    Every run of at least ``length`` >= 2 K characters of the text that stands in
+    the block is inside one of the spans: it lies in one factor, or a factor
+    boundary parts it, and at each boundary all places of the runs on either
+    side are extended both ways. Of the block's characters only those count that
+    a factor was met at; to know all of them, the block is parsed in its turn.
     """
     mine, theirs = points(text), block.points
     hashes = window_hashes(prefix_sums(mine), K)
@@ -107,13 +112,12 @@ def factors(block: Block, text: str, length: int) -> list[tuple[int, int, int]]:
     starts = np.flatnonzero(known)
     found: dict[tuple[int, int], int] = {}
 
-    def extend(i: int, best: bool) -> int:
+    def extend(i: int) -> int:
         """Look at every place of the run at i; the end of the longest match to the right."""
         end = i
         if i < 0 or i >= len(hashes) or not known[i]:
             return end
-        same = np.flatnonzero(hashes[i:] == hashes[i]) if best and len(block.hashes) > 4096 else None
-        for j in _thinned(block.places(hashes[i]), i + int(same[-1]) if same is not None else i, i).tolist():
+        for j in _thinned(block.places(hashes[i]), hashes, i).tolist():
             right = _equal_run(theirs[j:], mine[i:])
             if right < K:
                 continue  # equal hashes of different runs
@@ -126,8 +130,8 @@ def factors(block: Block, text: str, length: int) -> list[tuple[int, int, int]]:
     k = 0
     while k < len(starts):
         i = int(starts[k])
-        end = extend(i, True)
-        extend(end - K, False)
+        end = extend(i)
+        extend(end - K)
         k = int(np.searchsorted(starts, max(end, i + 1)))
     return [(j, i, n) for (j, i), n in found.items()]
 
@@ -138,9 +142,13 @@ def _texts(documents: DataFrame, doc_id: str, text: str, length: int) -> DataFra
     return rows.withColumn("digest", F.unhex(F.substring(F.sha2("text", 256), 1, 32)))
 
 
-def text_spans(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = 200) -> DataFrame:
+def text_spans(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = 200, both_ways: bool = True) -> DataFrame:
     """``(digest_a, digest_b, start_a, start_b, n_chars)``: the shared spans of every two different texts, digest_a < digest_b.
 
+    Both texts are parsed, each against the other, so that every shared character
+    of either is in a span; with ``both_ways`` off only the second is, which is
+    enough to know that there is a span.
+
     Texts are known by a 128-bit digest; equal texts are one. Candidates meet by
     anchor (8 bytes for about every 70th character are shuffled, and skewed
     anchors are split by adaptive execution); texts move only where a candidate
@@ -172,7 +180,10 @@ def text_spans(documents: DataFrame, doc_id: str = "doc_id", text: str = "text",
         for da, ta, db, tb in zip(digests_a, texts_a, digests_b, texts_b):
             if da != last:
                 last, block = da, Block(ta)
-            for j, i, n in factors(block, tb, length):
+            found = set(factors(block, tb, length))
+            if found and both_ways:
+                found |= {(i, j, n) for j, i, n in factors(Block(tb), ta, length)}
+            for j, i, n in sorted(found):
                 for name, value in zip(out, (da, db, j, i, n)):
                     out[name].append(value)
         return out
@@ -188,7 +199,7 @@ def members(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", le
 def shared_pairs(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = 200) -> DataFrame:
     """``(doc_id_a, doc_id_b)``, a < b: documents with at least ``length`` consecutive characters in common, equal texts included."""
     of = members(documents, doc_id, text, length).select("digest", "doc_id")
-    pairs = text_spans(documents, doc_id, text, length).select("digest_a", "digest_b").distinct()
+    pairs = text_spans(documents, doc_id, text, length, both_ways=False).select("digest_a", "digest_b").distinct()
     a, b = of.select(F.col("digest").alias("digest_a"), F.col("doc_id").alias("a")), of.select(F.col("digest").alias("digest_b"), F.col("doc_id").alias("b"))
     across = pairs.join(a, "digest_a").join(b, "digest_b").select("a", "b")
     same = a.join(b, a.digest_a == b.digest_b).filter("a < b").select("a", "b")

@@ -135,29 +135,32 @@ def _character_cut(text: str, a: int, b: int) -> int:
 
 def spans(text: str, limit: int, overlap: int = 0) -> list[tuple[int, int]]:
     """Consecutive spans that cover ``text``; the first has at most ``limit`` characters, the others ``limit - overlap``."""
-    room = limit - overlap
+
+    def room(start: int) -> int:
+        return limit - overlap if start else limit
+
     if len(text) <= limit:
         return [(0, len(text))] if text else []
 
     def pack(a: int, b: int, kind: int) -> Iterator[tuple[int, int]]:
         parts, _ = _children(text, a, b, kind)
         if not parts:
-            while b - a > room:
-                end = _character_cut(text, a, a + room)
+            while b - a > room(a):
+                end = _character_cut(text, a, a + room(a))
                 yield a, end
                 a = end
             yield a, b
             return
         start = end = a
         for x, y, below in parts:
-            if y - start <= room:
+            if y - start <= room(start):
                 end = y
                 continue
             if end > start:
                 yield start, end
             start = x
             end = y
-            if y - x > room:
+            if y - x > room(x):
                 *done, (start, end) = pack(x, y, below)
                 yield from done
         if end > start:
@@ -165,7 +168,7 @@ def spans(text: str, limit: int, overlap: int = 0) -> list[tuple[int, int]]:
 
     out: list[tuple[int, int]] = []
     for a, b in pack(0, len(text), 0):
-        if out and b - out[-1][0] <= (room if out[-1][0] else limit):
+        if out and b - out[-1][0] <= room(out[-1][0]):
             out[-1] = (out[-1][0], b)
         else:
             out.append((a, b))
