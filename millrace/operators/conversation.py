@@ -32,7 +32,7 @@ def schema_reason(conv: Column) -> Column:
     return (
         F.when(conv.isNull() | (F.size(conv) == 0), "empty")
         .when(F.exists(roles, lambda r: r.isNull() | ~r.isin("system", "user", "assistant", "tool")), "role")
-        .when(F.exists(F.slice(roles, 2, 100000), lambda r: r == "system"), "system_position")
+        .when(F.array_contains(F.slice(roles, 2, F.greatest(F.size(roles), F.lit(1))), "system"), "system_position")
         .when(F.exists(conv, lambda m: (F.trim(F.coalesce(m["content"], F.lit(""))) == "") & m["tool_calls"].isNull()), "content")
         .when(~has("user") | ~has("assistant"), "turns")
     )

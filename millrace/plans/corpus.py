@@ -15,14 +15,15 @@ _W = "list_filter(regexp_split_to_array(text,'\\s+'), lambda w: w <> '')"
 
 
 def _clean(spark, d):
+    """Documents that are the first of their normal form and neither equal to nor around a test item; normal forms are never shuffled, only their digests."""
     t = F.col("text")
-    rows = table(spark, d, "documents").filter(t.rlike(r"\S")).select("doc_id", "source", X.alnum_lower(t).alias("norm"), X.word_count(t).cast("long").alias("n"))
-    rows = rows.withColumn("h", X.hash_order("42", F.col("doc_id")))
-    once = dedup.first_per_key(rows, ["norm"], F.col("h"))
+    docs = table(spark, d, "documents").filter(t.rlike(r"\S"))
+    rows = docs.select("doc_id", "source", X.word_count(t).cast("long").alias("n"), X.hash_order("42", F.col("doc_id")).alias("h"), F.sha2(X.alnum_lower(t), 256).alias("digest"))
+    once = dedup.first_per_key(rows, ["digest"], F.col("h"))
     items = table(spark, d, "eval_reference").select("item_id", X.alnum_lower(F.col("normalized_prompt")).alias("p"))
-    equal = once.join(items, once.norm == items.p, "left_semi").select("doc_id")
-    hits = contamination.contained(once, "doc_id", "norm", items, "item_id", "p").select(F.col("text_id").alias("doc_id"))
-    return once.join(equal.unionByName(hits).distinct(), "doc_id", "left_anti")
+    hits = contamination.contained(docs.select("doc_id", X.alnum_lower(t).alias("norm")), "doc_id", "norm", items, "item_id", "p")
+    clean = once.join(items.select(F.sha2("p", 256).alias("digest")), "digest", "left_anti")
+    return clean.join(hits.select(F.col("text_id").alias("doc_id")).distinct(), "doc_id", "left_anti")
 
 
 _CLEAN = f"""r AS (SELECT doc_id, source, {_N1.format(c='text')} AS norm, len({_W})::BIGINT AS n, sha256('42|'||doc_id::VARCHAR) AS h FROM documents WHERE regexp_matches(text,'\\S')),
@@ -116,8 +117,7 @@ def j3_containment(spark, d):
 
 @query(f"SELECT DISTINCT e.item_id, d.doc_id FROM {_D} d JOIN {_E} e ON contains(e.p, d.norm) AND d.norm<>e.p AND length(d.norm)>=20")
 def j2_reverse_containment(spark, d):
-    longest = F.lit(4000)
-    docs = table(spark, d, "documents").select("doc_id", X.alnum_lower(F.col("text")).alias("norm")).filter(F.length("norm").between(20, longest))
+    docs = table(spark, d, "documents").select("doc_id", X.alnum_lower(F.col("text")).alias("norm")).filter(F.length("norm") >= 20)
     items = table(spark, d, "eval_reference").select("item_id", X.alnum_lower(F.col("normalized_prompt")).alias("p"))
     windows = items.select("item_id", "p", F.explode(X.shingles(F.col("p"), 20, "none")).alias("anchor"))
     hits = docs.withColumn("anchor", F.substring("norm", 1, 20)).join(windows, "anchor").filter(F.contains("p", "norm") & (F.col("p") != F.col("norm")))
