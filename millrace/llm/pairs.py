@@ -273,7 +273,7 @@ def _left_open(text: str) -> bool:
     stack = [ch for ch in stack if ch in "([{（【" or not whole]
     if stack and len(text) - text.rfind(stack[-1]) < 400:
         return True
-    return not whole and text.count('"') % 2 == 1 and not re.search(r'\d"', text)
+    return not whole and text.rstrip()[-1:] != '"' and text.count('"') % 2 == 1 and not re.search(r'\d"', text)
 
 
 def is_truncated(answer: str, endings: Endings) -> bool:
