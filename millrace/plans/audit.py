@@ -162,10 +162,11 @@ def s16_split_lines(spark, d):
 
 @query()
 def d4_greedy_near_dedup(spark, d):
-    """Prompts kept greedily in hash order: one goes if a kept one is near."""
-    rows = table(spark, d, "candidates").filter(F.length("prompt_norm") >= 50)
-    edges = contamination.gram_pairs(rows, "candidate_id", "prompt_norm", 5, 0.85)
-    once = rows.groupBy("prompt_norm").agg(F.min("candidate_id").alias("id")).select("id")
+    """Prompts kept greedily in hash order: one goes if a kept one is near. Only prompts of 50 characters or more can be near; a missing prompt equals no other."""
+    rows = table(spark, d, "candidates").select("candidate_id", "prompt_norm")
+    edges = contamination.gram_pairs(rows.filter(F.length("prompt_norm") >= 50), "candidate_id", "prompt_norm", 5, 0.85)
+    once = rows.filter("prompt_norm is not null").groupBy("prompt_norm").agg(F.min("candidate_id").alias("id")).select("id")
+    once = once.unionByName(rows.filter("prompt_norm is null").select(F.col("candidate_id").alias("id")).distinct())
     return dedup.greedy(once, edges, lambda c: F.sha2(c, 256))
 
 
