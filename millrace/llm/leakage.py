@@ -25,18 +25,32 @@ BLOCK_CHARS = 8_000_000
 _BITS = 22
 
 
+def equal_runs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of equal places of two equally long arrays."""
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], a == b, [False]]).astype(np.int8)))
+    return edges[::2], edges[1::2]
+
+
 def longest_run(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
     """Start and length of the longest run of equal places of two equally long arrays."""
-    if not len(a):
-        return 0, 0
-    edges = np.flatnonzero(np.diff(np.concatenate([[False], a == b, [False]]).astype(np.int8)))
-    starts, ends = edges[::2], edges[1::2]
+    starts, ends = equal_runs(a, b)
     if not len(starts):
         return 0, 0
     k = int(np.argmax(ends - starts))
     return int(starts[k]), int(ends[k] - starts[k])
 
 
+def _merged(parts: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The union of intervals, as sorted intervals that don't overlap."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(parts):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
 class NgramSet:
     """The n-grams of a block of test items, by window width, behind a bitmap."""
 
@@ -57,8 +71,8 @@ class NgramSet:
             bitmap[hashes >> np.uint64(64 - _BITS)] = True
             self.widths[width] = (hashes[order], item[order], at[order], bitmap)
 
-    def scan(self, forms: list[str]):
-        """``(row, item index, start in the item, start in the form, length)`` of the longest leaking run of each row and item."""
+    def _diagonals(self, forms: list[str]):
+        """``(row, item index, shift, start in the item, item part, form part)``: every diagonal with a hit, width by width."""
         for width, (hashes, item, at, bitmap) in self.widths.items():
             found, owner, place = joined_windows(forms, width)
             near = np.flatnonzero(bitmap[found >> np.uint64(64 - _BITS)])
@@ -71,18 +85,35 @@ class NgramSet:
             entry = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(first[hit], times)
             row, where = np.repeat(owner[hit], times), np.repeat(place[hit], times)
             lines = np.unique(np.stack([row, item[entry], where - at[entry]]), axis=1)
-            best: dict[tuple[int, int], tuple[int, int, int]] = {}
             last_row, form = -1, np.empty(0, dtype=np.uint32)
             for r, k, shift in lines.T.tolist():
                 if r != last_row:
                     last_row, form = r, points(forms[r])
                 mine = self.items[k][1]
                 a, b = max(0, -shift), min(len(mine), len(form) - shift)
-                start, length = longest_run(mine[a:b], form[a + shift : b + shift])
-                if length >= self.need[k] and length > best.get((r, k), (0, 0, 0))[2]:
-                    best[r, k] = (a + start, a + start + shift, length)
-            for (r, k), (i, j, length) in best.items():
-                yield r, k, i, j, length
+                yield r, k, shift, a, mine[a:b], form[a + shift : b + shift]
+
+    def scan(self, forms: list[str]):
+        """``(row, item index, start in the item, start in the form, length)`` of the longest leaking run of each row and item."""
+        best: dict[tuple[int, int], tuple[int, int, int]] = {}
+        for r, k, shift, a, mine, form in self._diagonals(forms):
+            start, length = longest_run(mine, form)
+            if length >= self.need[k] and length > best.get((r, k), (0, 0, 0))[2]:
+                best[r, k] = (a + start, a + start + shift, length)
+        for (r, k), (i, j, length) in best.items():
+            yield r, k, i, j, length
+
+    def scan_all(self, forms: list[str]):
+        """``(row, item index, start in the form, length)``: all that the leaking runs of each row and item cover, runs that touch as one."""
+        parts: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        for r, k, shift, a, mine, form in self._diagonals(forms):
+            starts, ends = equal_runs(mine, form)
+            long = ends - starts >= self.need[k]
+            if long.any():
+                parts.setdefault((r, k), []).extend(zip((starts[long] + a + shift).tolist(), (ends[long] + a + shift).tolist()))
+        for (r, k), runs in parts.items():
+            for first, last in _merged(runs):
+                yield r, k, first, last - first
 
 
 def _blocks(items: list[tuple[int, str]]) -> list[list[tuple[int, str]]]:
@@ -97,17 +128,9 @@ def _blocks(items: list[tuple[int, str]]) -> list[list[tuple[int, str]]]:
     return out
 
 
-def leaks(
-    documents: DataFrame, tests: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "normalized_prompt"
-) -> DataFrame:
-    """``(item_id, doc_id, item_start, doc_start, run_chars, item_chars)``: one row for each item and document it leaked into.
+def _scanned(documents: DataFrame, tests: DataFrame, doc_id: str, text: str, item_id: str, item_text: str, rows_of, schema: str) -> DataFrame:
+    """Distinct rows ``(item_id, doc_id, ...)``, the rest as ``rows_of(set, forms)`` gives it after ``(row, item index)``.
 
-    Normal form: NFKC, case-folded, letters and digits only. An item leaked if an
-    unbroken run of at least half of its normal form's characters occurs in the
-    document's normal form; the longest such run is given, places count in the
-    normal forms. Null texts and items without a letter or digit match nothing.
-    Items with equal text under several ids give a row each; a document id that
-    comes with several rows is reported once for each distinct row of the result.
     The documents are scanned where they lie, without a shuffle: the test set is
     what is broadcast, in blocks of at most BLOCK_CHARS characters, one scan each.
     """
@@ -118,7 +141,7 @@ def leaks(
         if form:
             by_form.setdefault(form, []).append(i)
     forms = sorted(by_form.items())
-    schema = "item_id long, doc_id long, item_start long, doc_start long, run_chars long, item_chars long"
+    names = [part.split()[0] for part in schema.split(", ")]
     docs = documents.select(F.col(doc_id).cast("long").alias("d"), F.col(text).alias("t")).filter("d is not null and t is not null")
     spark = documents.sparkSession
     out = None
@@ -131,12 +154,12 @@ def leaks(
             if known is None:
                 _SETS.clear()
                 known = _SETS[name_of] = NgramSet(block)
-            res: dict = {name: [] for name in ("item_id", "doc_id", "item_start", "doc_start", "run_chars", "item_chars")}
+            res: dict = {name: [] for name in names}
             normal = [letters_digits(t, nfkc=True) for t in texts]
             for a, b in chunks(normal):
-                for r, k, i, j, length in known.scan(normal[a:b]):
+                for r, k, *rest in rows_of(known, normal[a:b]):
                     for item in ids_of[known.items[k][0]]:
-                        for name, value in zip(res, (item, ids[a + r], i, j, length, len(known.items[k][1]))):
+                        for name, value in zip(names, (item, ids[a + r], *rest)):
                             res[name].append(value)
             return res
 
@@ -145,6 +168,37 @@ def leaks(
     return out.distinct()
 
 
+def leaks(
+    documents: DataFrame, tests: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "normalized_prompt"
+) -> DataFrame:
+    """``(item_id, doc_id, item_start, doc_start, run_chars, item_chars)``: one row for each item and document it leaked into.
+
+    Normal form: NFKC, case-folded, letters and digits only. An item leaked if an
+    unbroken run of at least half of its normal form's characters occurs in the
+    document's normal form; the longest such run is given, places count in the
+    normal forms. Null texts and items without a letter or digit match nothing.
+    Items with equal text under several ids give a row each; a document id that
+    comes with several rows is reported once for each distinct row of the result.
+    """
+
+    def longest(known: NgramSet, forms: list[str]):
+        for r, k, i, j, length in known.scan(forms):
+            yield r, k, i, j, length, len(known.items[k][1])
+
+    return _scanned(documents, tests, doc_id, text, item_id, item_text, longest, "item_id long, doc_id long, item_start long, doc_start long, run_chars long, item_chars long")
+
+
+def leaked_runs(
+    documents: DataFrame, tests: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "normalized_prompt"
+) -> DataFrame:
+    """``(item_id, doc_id, doc_start, run_chars)``: every place that an item leaked to, as :func:`without_leaks` needs it.
+
+    As :func:`leaks`, but with all runs of at least half of the item instead of
+    the longest; runs of one item that overlap or touch in the document are one.
+    """
+    return _scanned(documents, tests, doc_id, text, item_id, item_text, NgramSet.scan_all, "item_id long, doc_id long, doc_start long, run_chars long")
+
+
 _SETS: dict[str, NgramSet] = {}
 
 
@@ -165,6 +219,7 @@ def _segments(text: str) -> tuple[str, list[int]]:
 def without_leaks(documents: DataFrame, found: DataFrame, doc_id: str = "doc_id", text: str = "text", mode: str = "span") -> DataFrame:
     """The documents with what leaked taken out: the spans (``mode="span"``) or whole documents (``"document"``).
 
+    ``found`` is :func:`leaked_runs`; :func:`leaks` is enough for whole documents only, as it has one place of each item.
     ``(doc_id, text, removed_chars, leaked_items)`` for every document; with mode
     "document" those with a leak are left out. A span is cut in the original
     text from its first to its last character. Documents without a leak, and

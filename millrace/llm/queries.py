@@ -81,7 +81,7 @@ def p7_leaks(spark: SparkSession, d: str) -> DataFrame:
 
 def p7_clean(spark: SparkSession, d: str) -> DataFrame:
     documents = table(spark, d, "documents")
-    return leakage.without_leaks(documents, leakage.leaks(documents, table(spark, d, "eval_reference")))
+    return leakage.without_leaks(documents, leakage.leaked_runs(documents, table(spark, d, "eval_reference")))
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:

@@ -4,7 +4,7 @@ import random
 from pyspark.sql import functions as F
 
 from millrace.functions.unicode import letters_digits
-from millrace.llm import formatdup, leakage, mixing, overlap, packing, spans, splitting
+from millrace.llm import formatdup, leakage, mixing, overlap, packing, queries, spans, splitting
 
 
 def rows(df):
@@ -95,6 +95,35 @@ def test_leaked_spans_and_documents_are_removed(spark):
     assert rows(leakage.without_leaks(docs, found, mode="document").select("doc_id")) == [(2,), (3,)]
 
 
+def test_every_occurrence_of_a_leaked_item_is_removed(spark, tmp_path):
+    item = "the quick brown fox jumps"
+    texts = [f"A. {item} B. {item.upper()}! C.", "A. the quick brown B. brown fox jumps C.", "A. the quick bro B. " + item + " C.", "9 " + "ab" * 40 + " 9", "clean", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    items = spark.createDataFrame([(5, item), (6, "ab" * 10)], "item_id long, normalized_prompt string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    items.write.parquet(str(tmp_path / "eval_reference.parquet"))
+    got = {r.doc_id: r for r in queries.p7_clean(spark, str(tmp_path)).collect()}
+    assert [got[i].text for i in range(6)] == ["A.  B. ! C.", "A.  B.  C.", "A.  B.  C.", "9  9", "clean", None]
+    assert [got[i].leaked_items for i in range(5)] == [1, 1, 1, 1, 0]
+    assert leakage.leaks(docs, items).count() == 4
+
+
+def test_what_is_left_holds_no_run_of_an_item(spark):
+    rng = random.Random(9)
+    items = [(i, "".join(rng.choice("abc") for _ in range(rng.randint(8, 24)))) for i in range(6)]
+    docs = [(d, "-".join(rng.choice(items)[1][rng.randint(0, 4) :] + "x" * rng.randint(0, 3) for _ in range(8))) for d in range(40)]
+    found = leakage.leaked_runs(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, normalized_prompt string"))
+    covered: dict = {}
+    for r in found.collect():
+        covered.setdefault((r.item_id, r.doc_id), set()).update(range(r.doc_start, r.doc_start + r.run_chars))
+    for i, p in items:
+        need = (len(p) + 1) // 2
+        for d, t in docs:
+            form = letters_digits(t, nfkc=True)
+            want = {c for k in range(len(form) - need + 1) if form[k : k + need] in p for c in range(k, k + need)}
+            assert covered.get((i, d), set()) == want
+
+
 # ---- shared spans
 
 
