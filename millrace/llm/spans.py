@@ -78,20 +78,39 @@ def _equal_run(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def _thinned(places: np.ndarray, hashes: np.ndarray, at: int) -> np.ndarray:
-    """Of places that overlap their neighbours (periodic text) only the first two, the last two and the one whose run ends as the document's does.
-
-    Within a periodic run what the other alignments cover of the document, these cover too.
+    """The places without those in the middle of a periodic stretch whose alignments other places make up for.
+
+    A stretch is a longest row of places at one distance of at most K, so that the
+    block is periodic from its first place to its last and breaks off less than a
+    period beyond. The document's stretch is that of the same distance around
+    ``at``. Only where both stretches begin, or both end, at once can a match go
+    past them; everywhere else it is the overlap of the two stretches. So these
+    places are kept: the first two and the last two, the one at which the first
+    places meet, the one at which the last places meet, and the neighbours of
+    these two, as a stretch may go on for part of a period. All that the other
+    alignments cover of the document, and no less long, they cover too.
     """
     if len(places) <= 64:
         return places
-    same = np.flatnonzero(hashes[at:] == hashes[at])
-    gaps = np.flatnonzero(np.diff(same) > K)
-    ends_at = at + int(same[gaps[0] if len(gaps) else -1])
-    breaks = np.flatnonzero(np.diff(places) > K) + 1
-    kept = []
-    for run in np.split(places, breaks):
-        kept.append(run if len(run) <= 5 else np.concatenate([run[:2], run[-2:], run[run == run[-1] - (ends_at - at)]]))
-    return np.unique(np.concatenate(kept))
+    gaps = np.diff(places)
+    edges = np.concatenate([[0], np.flatnonzero(np.diff(gaps)) + 1, [len(gaps)]])
+    kept = np.ones(len(places), dtype=bool)
+    for s in np.flatnonzero(np.diff(edges) >= 10).tolist():
+        first, last = int(edges[s]), int(edges[s + 1])
+        gap = int(gaps[first])
+        if gap > K:
+            continue
+        back, on = (_steady(hashes[at::step], hashes[at]) - 1 for step in (-gap, gap))
+        want = np.array([first + 1, last - 1, *(first + back + n for n in (-1, 0, 1)), *(last - on + n for n in (-1, 0, 1))])
+        kept[first + 1 : last] = False
+        kept[want[(want > first) & (want < last)]] = True
+    return places[kept]
+
+
+def _steady(values: np.ndarray, value: np.uint64) -> int:
+    """How many of the first values are equal to ``value``."""
+    differ = values != value
+    return int(np.argmax(differ)) if differ.any() else len(values)
 
 
 def factors(block: Block, text: str, length: int) -> list[tuple[int, int, int]]:

@@ -154,6 +154,39 @@ def test_parse_finds_spans_that_factors_part():
     assert max(n for _, _, n in spans.factors(spans.Block(ref), "zz" + a + b + "yy", 200)) == 300
 
 
+def _covered(ref, t, length):
+    """Characters of t in runs of ``length`` that stand in ref."""
+    return {c for k in range(len(t) - length + 1) if t[k : k + length] in ref for c in range(k, k + length)}
+
+
+def test_parse_loses_nothing_in_long_periodic_texts():
+    rng = random.Random(11)
+    letters = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    a, c, other = letters(20), letters(60), letters(90)
+    cases = [(a + c + "-" * 70 + "Q" + other + c + "-" * 150 + "Z", a + c + "-" * 160 + "W")]
+    for _ in range(1500):
+        unit = rng.choice(["-", "-", "ab", "- =", "x" * 7 + "y", "".join(rng.choice("ab") for _ in range(rng.randint(2, 40)))])
+        tails = [letters(rng.randint(1, 90)) for _ in range(3)]
+
+        def text(unit=unit, tails=tails):
+            parts = []
+            for _ in range(rng.randint(1, 4)):
+                n = rng.choice([70, 130, 150, 160, 200, 210, 260, rng.randint(1, 400)])
+                at = rng.randint(0, len(unit) - 1)
+                parts += [rng.choice([*tails, "", "Q"]), (unit * 400)[at : at + n], rng.choice(["", "", unit[:1], "Z"])]
+            return "".join(parts) + rng.choice([*tails, ""])
+
+        cases.append((text(), text()))
+    periodic = 0
+    for ref, t in cases:
+        block = spans.Block(ref)
+        periodic += len(block.hashes) - len(set(block.hashes.tolist())) > 64
+        got = spans.factors(block, t, 200)
+        assert all(ref[j : j + n] == t[i : i + n] and n >= 200 for j, i, n in got)
+        assert {x for _, i, n in got for x in range(i, i + n)} == _covered(ref, t, 200), (ref, t)
+    assert periodic > 1000
+
+
 # ---- overlaps
 
 
