@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrow import map_columns
-from ..functions.unicode import chunks, distinct_grams
+from ..functions.unicode import chunks, distinct_grams, joined_windows
 
 #: Most characters of patterns in one broadcast automaton; more patterns are searched in several.
 AUTOMATON_CHARS = 4_000_000
@@ -68,12 +68,55 @@ def contained(texts: DataFrame, text_id: str, text: str, patterns: DataFrame, pa
     return out.distinct()
 
 
+def containment_pairs(texts: DataFrame, patterns: DataFrame, least: int = 20) -> DataFrame:
+    """``(id_a, id_b)``: texts (a) that contain a pattern (b) of at least ``least`` >= 12 characters and aren't equal to it; both ``(id, text)`` with unique ids.
+
+    As :func:`contained`, for patterns that grow with the data: nothing is
+    broadcast. Of every window of ``least`` characters the least hash of its runs
+    of 12 characters is posted by the text; a pattern needs only one of its own.
+    """
+
+    def minima(values: list[str]):
+        hashes, owner, _ = joined_windows(values, 12)
+        width = least - 11
+        if len(hashes) < width:
+            return hashes[:0], owner[:0]
+        low = np.lib.stride_tricks.sliding_window_view(hashes, width).min(axis=1)
+        inside = owner[: len(low)] == owner[width - 1 :]  # windows lie within one text
+        low, owner = low[inside], owner[: len(inside)][inside]
+        new = np.ones(len(low), dtype=bool)
+        new[1:] = (low[1:] != low[:-1]) | (owner[1:] != owner[:-1])
+        return low[new], owner[new]
+
+    def post(one: bool):
+        def run(ids: list, values: list) -> dict:
+            out: dict = {"anchor": [np.empty(0, dtype=np.int64)], "id": []}
+            for first, last in chunks(values):
+                low, owner = minima(values[first:last])
+                if one and len(low):
+                    owner, starts = _segments(low, owner)
+                    low = np.maximum.reduceat(low, starts)
+                out["anchor"].append(low.view(np.int64))
+                out["id"] += [ids[first + r] for r in owner.tolist()]
+            return {"anchor": np.concatenate(out["anchor"]), "id": out["id"]}
+
+        return run
+
+    kind = texts.schema["id"].dataType.simpleString()
+    a = map_columns(texts.filter(F.length("text") > least).select("id", "text"), post(False), f"anchor long, id {kind}")
+    b = map_columns(patterns.filter(F.length("text") >= least).select("id", "text"), post(True), f"anchor long, id {kind}")
+    near = a.select("anchor", F.col("id").alias("id_a")).join(b.select("anchor", F.col("id").alias("id_b")), "anchor").select("id_a", "id_b").distinct()
+    both = near.join(patterns.select(F.col("id").alias("id_b"), F.col("text").alias("pattern")), "id_b").join(texts.select(F.col("id").alias("id_a"), "text"), "id_a")
+    return both.filter(F.contains("text", "pattern") & (F.col("text") != F.col("pattern"))).select("id_a", "id_b")
+
+
 def _distinct_texts(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.filter(F.col(text).isNotNull()).groupBy(F.col(text).alias("text")).agg(F.min(F.col(key)).alias("id"))
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, width: int, threshold: float) -> DataFrame:
-    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
+def _verified(pairs: DataFrame, texts: DataFrame, width: int, threshold: float, others: DataFrame | None = None) -> DataFrame:
+    right = texts if others is None else others
+    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(right.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
 
     def settle(a: list, ta: list, b: list, tb: list) -> dict:
         out: dict = {"id_a": [], "id_b": [], "jaccard": []}
@@ -157,10 +200,8 @@ def simhash_pairs(df: DataFrame, key: str, text: str, width: int = 5, bands: int
     return _verified(_banded(texts, signature, bands), texts, width, threshold)
 
 
-def gram_pairs(df: DataFrame, key: str, text: str, width: int = 5, threshold: float = 0.8) -> DataFrame:
-    """``(id_a, id_b, jaccard)`` of all different texts with an exact Jaccard of at least ``threshold``: prefix-filtered inverted lists."""
-
-    kind = None
+def _prefixes(texts: DataFrame, width: int, threshold: float) -> DataFrame:
+    """``(gram, id, n)``: of each text's n grams so many of the least that any two texts at the threshold have one of them in common."""
 
     def prefixes(ids: list, values: list) -> dict:
         out: dict = {"gram": [], "id": [], "n": []}
@@ -175,9 +216,23 @@ def gram_pairs(df: DataFrame, key: str, text: str, width: int = 5, threshold: fl
                 out["n"] += [n] * len(kept)
         return {"gram": np.concatenate(out["gram"]) if out["gram"] else [], "id": out["id"], "n": out["n"]}
 
-    texts = _distinct_texts(df, key, text)
     kind = texts.schema["id"].dataType.simpleString()
-    posted = map_columns(texts.select("id", "text"), prefixes, f"gram long, id {kind}, n long")
+    return map_columns(texts.select("id", "text"), prefixes, f"gram long, id {kind}, n long")
+
+
+def gram_pairs_across(left: DataFrame, right: DataFrame, width: int = 5, threshold: float = 0.8) -> DataFrame:
+    """``(id_a, id_b, jaccard)`` of all texts of ``left`` and ``right``, both ``(id, text)`` with unique ids, with an exact Jaccard of at least ``threshold``."""
+    a = _prefixes(left, width, threshold).select("gram", F.col("id").alias("a"), F.col("n").alias("na"))
+    b = _prefixes(right, width, threshold).select("gram", F.col("id").alias("b"), F.col("n").alias("nb"))
+    near = a.join(b, "gram").filter(F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-9).select("a", "b").distinct()
+    return _verified(near, left, width, threshold, right)
+
+
+def gram_pairs(df: DataFrame, key: str, text: str, width: int = 5, threshold: float = 0.8) -> DataFrame:
+    """``(id_a, id_b, jaccard)`` of all different texts with an exact Jaccard of at least ``threshold``: prefix-filtered inverted lists."""
+
+    texts = _distinct_texts(df, key, text)
+    posted = _prefixes(texts, width, threshold)
     a, b = posted.select("gram", F.col("id").alias("a"), F.col("n").alias("na")), posted.select("gram", F.col("id").alias("b"), F.col("n").alias("nb"))
     near = a.join(b, "gram").filter((F.col("a") < F.col("b")) & (F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-9)).select("a", "b").distinct()
     return _verified(near, texts, width, threshold)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import budget, contamination, dedup
-from ..runtime import table
+from ..runtime import table, written
 from .registry import query
 
 _N1 = "lower(regexp_replace({c},'[^\\p{{L}}\\p{{N}}]','','g'))"
@@ -160,10 +162,35 @@ def q2_declared_vs_observed(spark, d):
 
 @query("""SELECT candidate_id FROM candidates WHERE lower(trim(split))='train' AND prompt_norm NOT IN (SELECT prompt_norm FROM candidates WHERE lower(trim(split))<>'train')""")
 def j9_drop_overlapping(spark, d):
+    """The exact step between the splits; the whole guard is j9_guard."""
     rows = table(spark, d, "candidates").select("candidate_id", "prompt_norm", F.lower(F.trim("split")).alias("s"))
     return rows.filter("s = 'train'").join(rows.filter("s <> 'train'").select("prompt_norm"), "prompt_norm", "left_anti").select("candidate_id")
 
 
+@query()
+def j9_guard(spark, d):
+    """``(candidate_id, reason)`` of all train candidates: exact, containment or near to a held-out prompt or test item, whichever is first; null if none.
+
+    Containment is either way and from 20 characters, near is a Jaccard of at
+    least 0.8. A missing prompt has no reason.
+    """
+    rows = table(spark, d, "candidates").select("candidate_id", F.col("prompt_norm").alias("text"), F.lower(F.trim("split")).alias("s"))
+    keyed = lambda df: df.filter("text is not null").select(F.unhex(F.substring(F.sha2("text", 256), 1, 32)).alias("id"), "text").dropDuplicates(["id"])
+    train = rows.filter("s = 'train'")
+    held = written(keyed(rows.filter("s <> 'train'").select("text").unionByName(table(spark, d, "eval_reference").select(F.col("normalized_prompt").alias("text")))))
+    prompts = keyed(train)
+    exact = prompts.join(held, "id", "left_semi").select("id")
+    rest = written(prompts.join(held, "id", "left_anti"))
+    around = contamination.containment_pairs(rest, held).select(F.col("id_a").alias("id"))
+    within = contamination.containment_pairs(held, rest).select(F.col("id_b").alias("id"))
+    contained = written(around.unionByName(within).distinct())
+    near = contamination.gram_pairs_across(rest.join(contained, "id", "left_anti"), held).select(F.col("id_a").alias("id")).distinct()
+    steps = zip((exact, contained, near), ("exact", "containment", "near"))
+    reasons = reduce(lambda x, y: x.unionByName(y), (df.withColumn("reason", F.lit(name)) for df, name in steps))
+    of = train.select("candidate_id", F.unhex(F.substring(F.sha2("text", 256), 1, 32)).alias("id"))
+    return of.join(reasons, "id", "left").select("candidate_id", "reason")
+
+
 @query("SELECT record_id, line_number FROM raw_pairs WHERE line_number IN (SELECT source_line_number FROM eval_reference)")
 def j10_semi_join(spark, d):
     lines = table(spark, d, "eval_reference").select(F.col("source_line_number").alias("line_number"))
