@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -14,6 +15,7 @@ from ..functions.unicode import chunks, distinct_grams, joined_windows
 #: Most characters of patterns in one broadcast automaton; more patterns are searched in several.
 AUTOMATON_CHARS = 4_000_000
 _AUTOMATA: dict[str, object] = {}
+_ITEMS: dict[str, object] = {}
 
 
 def equal_keys(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
@@ -110,6 +112,113 @@ def containment_pairs(texts: DataFrame, patterns: DataFrame, least: int = 20) ->
     return both.filter(F.contains("text", "pattern") & (F.col("text") != F.col("pattern"))).select("id_a", "id_b")
 
 
+class _Items:
+    """A block of test items with what finds those near a text: their least grams, and their SimHash bytes."""
+
+    def __init__(self, block: list[tuple[str, list[int]]], width: int, threshold: float):
+        self.width, self.threshold = width, threshold
+        self.texts, self.owners = [p for p, _ in block], [ids for _, ids in block]
+        self.sets = [{t[k : k + width] for k in range(len(t) - width + 1)} for t in self.texts]
+        hashes, owner = distinct_grams(self.texts, width)
+        self.who, starts = _segments(hashes, owner)
+        self.bits = _simhash(hashes, starts)
+        self.grams = self._sorted(*self._least(hashes, starts))
+        self.bytes = [self._sorted(self._byte(self.bits, b), np.arange(len(self.who))) for b in range(8)]
+
+    @staticmethod
+    def _byte(bits: np.ndarray, band: int) -> np.ndarray:
+        return (bits >> np.uint64(8 * band)) & np.uint64(0xFF)
+
+    @staticmethod
+    def _sorted(keys: np.ndarray, segment: np.ndarray):
+        order = np.argsort(keys, kind="stable")
+        return keys[order], segment[order]
+
+    def _least(self, hashes: np.ndarray, starts: np.ndarray):
+        """The least grams of each segment, as in :func:`_prefixes`, and the segment."""
+        n = np.diff(np.append(starts, len(hashes)))
+        keep = n - np.ceil(self.threshold * n - 1e-9).astype(np.int64) + 1
+        segment = np.repeat(np.arange(len(n)), n)
+        kept = np.arange(len(hashes)) - starts[segment] < keep[segment]
+        return hashes[kept], segment[kept]
+
+    @staticmethod
+    def _meet(keys: np.ndarray, rows: np.ndarray, index) -> np.ndarray:
+        known, segment = index
+        first, last = np.searchsorted(known, keys, "left"), np.searchsorted(known, keys, "right")
+        times = last - first
+        entry = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(first, times)
+        return np.unique(np.stack([np.repeat(rows, times), segment[entry]]), axis=1)
+
+    def near(self, values: list[str], distance: int | None):
+        """``(row, item, jaccard)``: by the least grams, or by an equal byte of the SimHash and at most ``distance`` other bits."""
+        hashes, owner = distinct_grams(values, self.width)
+        who, starts = _segments(hashes, owner)
+        if not len(who) or not len(self.who):
+            return
+        if distance is None:
+            pairs = self._meet(*self._least(hashes, starts), self.grams)
+        else:
+            bits = _simhash(hashes, starts)
+            pairs = np.concatenate([self._meet(self._byte(bits, b), np.arange(len(who)), self.bytes[b]) for b in range(8)], axis=1)
+            pairs = np.unique(pairs[:, np.bitwise_count(bits[pairs[0]] ^ self.bits[pairs[1]]) <= distance], axis=1)
+        last, mine = -1, set()
+        for r, k in zip(who[pairs[0]].tolist(), self.who[pairs[1]].tolist()):
+            if r != last:
+                last, t = r, values[r]
+                mine = {t[i : i + self.width] for i in range(len(t) - self.width + 1)}
+            common, union = len(mine & self.sets[k]), len(mine | self.sets[k])
+            if common >= self.threshold * union - 1e-12 and (distance is None or common < union):
+                yield r, k, common / union
+
+
+def near_items(
+    texts: DataFrame, text_id: str, text: str, items: DataFrame, item_id: str, item: str, width: int = 5, threshold: float = 0.8, distance: int | None = None, form: Callable[[str], str] | None = None
+) -> DataFrame:
+    """``(text_id, item_id, jaccard)``: texts and test items whose grams have a Jaccard of at least ``threshold``, equal ones included.
+
+    With ``distance`` the near join of the reference's audit: an equal byte of the
+    64-bit SimHash, at most ``distance`` different bits and a Jaccard below 1.
+    ``form`` is applied to the texts first. The items are a stated query set: they
+    are broadcast in blocks, and every text is read once a block.
+    """
+    rows = items.select(F.col(item_id).cast("long").alias("i"), F.col(item).alias("p")).filter("i is not null and p is not null").distinct()
+    by: dict[str, list[int]] = {}
+    for r in rows.toLocalIterator():
+        by.setdefault(r.p, []).append(r.i)
+    blocks: list[list[tuple[str, list[int]]]] = [[]]
+    size = 0
+    for p, ids in sorted(by.items()):
+        if size + len(p) > AUTOMATON_CHARS and blocks[-1]:
+            blocks.append([])
+            size = 0
+        blocks[-1].append((p, ids))
+        size += len(p)
+    docs = texts.select(F.col(text_id), F.col(text)).filter(F.col(text_id).isNotNull() & F.col(text).isNotNull())
+    kind, out = docs.schema[0].dataType.simpleString(), None
+    for block in blocks:
+        shared = texts.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, block))
+
+        def search(ids: list, values: list, shared=shared) -> dict:
+            name, block_ = shared.value
+            if name not in _ITEMS:
+                _ITEMS.clear()
+                _ITEMS[name] = _Items(block_, width, threshold)
+            known = _ITEMS[name]
+            values = [form(t) for t in values] if form else values
+            res: dict = {"text_id": [], "item_id": [], "jaccard": []}
+            for a, b in chunks(values):
+                for r, k, score in known.near(values[a:b], distance):
+                    for i in known.owners[k]:
+                        for field, value in zip(res, (ids[a + r], i, score)):
+                            res[field].append(value)
+            return res
+
+        part = map_columns(docs, search, f"text_id {kind}, item_id long, jaccard double")
+        out = part if out is None else out.unionByName(part)
+    return out.distinct()
+
+
 def _distinct_texts(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.filter(F.col(text).isNotNull()).groupBy(F.col(text).alias("text")).agg(F.min(F.col(key)).alias("id"))
 
@@ -153,6 +262,16 @@ def _segments(values: np.ndarray, owner: np.ndarray):
     return owner[starts], starts
 
 
+def _simhash(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """64 bits for each segment: set where at least half of its hashes set them."""
+    n = np.diff(np.append(starts, len(hashes)))
+    bits = np.zeros(len(starts), dtype=np.uint64)
+    for k in range(64):
+        ones = np.add.reduceat(((hashes >> np.uint64(k)) & np.uint64(1)).astype(np.int64), starts) if len(starts) else n
+        bits |= np.where(2 * ones >= n, np.uint64(1) << np.uint64(k), np.uint64(0))
+    return bits
+
+
 def minhash_pairs(df: DataFrame, key: str, text: str, width: int = 5, permutations: int = 128, rows: int = 4, threshold: float = 0.8, seed: int = 42) -> DataFrame:
     """``(id_a, id_b, jaccard)`` of different texts that share a MinHash band and have an exact Jaccard of at least ``threshold``.
 
@@ -178,7 +297,7 @@ def minhash_pairs(df: DataFrame, key: str, text: str, width: int = 5, permutatio
     return _verified(_banded(texts, signature, bands), texts, width, threshold)
 
 
-def simhash_pairs(df: DataFrame, key: str, text: str, width: int = 5, bands: int = 8, distance: int = 20, threshold: float = 0.8) -> DataFrame:
+def simhash_pairs(df: DataFrame, key: str, text: str, width: int = 5, bands: int = 8, threshold: float = 0.8) -> DataFrame:
     """``(id_a, id_b, jaccard)`` of different texts that share one of the 64-bit SimHash's bands, checked by exact Jaccard.
 
     The signature of the reference: a bit is set where at least half of the n-grams set it.
@@ -187,11 +306,7 @@ def simhash_pairs(df: DataFrame, key: str, text: str, width: int = 5, bands: int
     def signature(values: list[str]):
         hashes, owner = distinct_grams(values, width)
         who, starts = _segments(hashes, owner)
-        n = np.add.reduceat(np.ones(len(hashes), dtype=np.int64), starts) if len(starts) else np.empty(0, dtype=np.int64)
-        bits = np.zeros(len(who), dtype=np.uint64)
-        for k in range(64):
-            ones = np.add.reduceat(((hashes >> np.uint64(k)) & np.uint64(1)).astype(np.int64), starts) if len(starts) else n
-            bits |= np.where(2 * ones >= n, np.uint64(1) << np.uint64(k), np.uint64(0))
+        bits = _simhash(hashes, starts)
         step = 64 // bands
         parts = np.stack([((bits >> np.uint64(step * b)) & np.uint64((1 << step) - 1)) | (np.uint64(b) << np.uint64(56)) for b in range(bands)], axis=1) if len(who) else np.empty((0, bands), dtype=np.uint64)
         return who, parts.view(np.int64)

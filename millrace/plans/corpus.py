@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions.unicode import spaced
 from ..operators import budget, contamination, dedup
 from ..runtime import table, written
 from .registry import query
@@ -126,9 +127,19 @@ def j2_reverse_containment(spark, d):
     return hits.select("item_id", "doc_id").distinct()
 
 
+def _near_test_items(spark, d, distance):
+    """``(record_table, record_key, item_id, jaccard)`` of candidates' prompts and documents near a test item."""
+    items = table(spark, d, "eval_reference")
+    prompts = contamination.near_items(table(spark, d, "candidates"), "candidate_id", "prompt_norm", items, "item_id", "normalized_prompt", distance=distance)
+    docs = contamination.near_items(table(spark, d, "documents"), "doc_id", "text", items, "item_id", "normalized_prompt", distance=distance, form=spaced)
+    named = lambda df, name: df.select(F.lit(name).alias("record_table"), F.col("text_id").cast("string").alias("record_key"), "item_id", "jaccard")
+    return named(prompts, "candidates").unionByName(named(docs, "documents"))
+
+
 @query()
 def j4_simhash_pairs(spark, d):
-    return contamination.simhash_pairs(table(spark, d, "eval_reference"), "item_id", "normalized_prompt")
+    """Training text near a test item by SimHash bands, at most 20 bits apart, 0.8 <= Jaccard < 1."""
+    return _near_test_items(spark, d, 20)
 
 
 @query()
@@ -142,9 +153,16 @@ _G = "list_distinct(list_transform(range(1, length(t)-3), lambda i: substr(t,i,5
 @query(f"""WITH t AS (SELECT min(item_id) AS id, normalized_prompt AS t FROM eval_reference GROUP BY normalized_prompt), g AS (SELECT id, {_G} AS g FROM t), u AS (SELECT id, len(g) AS n, unnest(g) AS x FROM g)
  SELECT a.id AS id_a, b.id AS id_b, count(*)::DOUBLE/(a.n+b.n-count(*)) AS jaccard FROM u a JOIN u b ON a.x=b.x AND a.id<b.id GROUP BY a.id, b.id, a.n, b.n HAVING count(*) >= 0.8*(a.n+b.n-count(*))""")
 def j6_gram_pairs(spark, d):
+    """Test items among themselves; training text against them is j6_training_pairs."""
     return contamination.gram_pairs(table(spark, d, "eval_reference"), "item_id", "normalized_prompt")
 
 
+@query()
+def j6_training_pairs(spark, d):
+    """All training text with a Jaccard of at least 0.8 to a test item, equal text included."""
+    return _near_test_items(spark, d, None)
+
+
 @query("""SELECT count(*) FILTER (WHERE c.first_line IS NULL) AS unmatched_records, count(*) FILTER (WHERE p.line_number IS NULL) AS orphan_chunks, count(*) FILTER (WHERE c.first_line IS NOT NULL AND p.line_number IS NOT NULL) AS matched
  FROM (SELECT DISTINCT shard, line_number FROM pretrain_records) p FULL JOIN (SELECT DISTINCT first_shard, first_line FROM (SELECT * FROM train_chunks UNION ALL SELECT * FROM validation_chunks)) c ON p.shard=c.first_shard AND p.line_number=c.first_line""")
 def j7_provenance_join(spark, d):

@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from millrace.plans import corpus
 
 
@@ -42,3 +44,16 @@ def test_guard_gives_the_first_reason(spark, tmp_path):
     want = sorted(((i, _reason(p, held)) for i, s, p in rows if s and s.strip().lower() == "train"), key=repr)
     got = sorted(((r.candidate_id, r.reason) for r in corpus.j9_guard(spark, str(tmp_path)).collect()), key=repr)
     assert got == want and {r for _, r in want} == {None, "exact", "containment", "near"}
+
+
+def test_training_text_near_test_items(spark, tmp_path):
+    rows, items, docs = _tables(spark, str(tmp_path))
+    texts = {("candidates", i, p) for i, _, p in rows if p} | {("documents", str(i), " ".join(t.casefold().split())) for i, t in docs if t}
+    score = lambda t, p: len(_grams(t) & _grams(p)) / max(1, len(_grams(t) | _grams(p)))
+    want = {(n, i, k, round(score(t, p), 9)) for n, i, t in texts for k, p in items if score(t, p) >= 0.8}
+    got = {(r.record_table, r.record_key, r.item_id, round(r.jaccard, 9)) for r in corpus.j6_training_pairs(spark, str(tmp_path)).collect()}
+    assert got == want and {n for n, *_ in want} == {"candidates", "documents"}
+    some = {(r.record_table, r.record_key, r.item_id, round(r.jaccard, 9)) for r in corpus.j4_simhash_pairs(spark, str(tmp_path)).filter(F.col("jaccard") < 1).collect()}
+    below = {r for r in want if r[3] < 1}
+    assert some <= below and len(some) >= 0.8 * len(below) > 0 and {n for n, *_ in some} == {"candidates", "documents"}
+    assert corpus.j4_simhash_pairs(spark, str(tmp_path)).filter("jaccard >= 1").isEmpty()
