@@ -7,8 +7,11 @@ it, and each hit is verified by comparing the two texts along their diagonal.
 
 from __future__ import annotations
 
+import re
+import sys
 import unicodedata
 import uuid
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -23,6 +26,9 @@ WIDTHS = (1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64, 96, 128, 192, 256)
 #: Most characters of test items in one broadcast set; more items are scanned in blocks of this size.
 BLOCK_CHARS = 8_000_000
 _BITS = 22
+#: Hits of one batch that are looked at together.
+_HITS = 1 << 20
+_ALNUM = re.compile(r"[^\W_]")
 
 
 def equal_runs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -52,7 +58,11 @@ def _merged(parts: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 class NgramSet:
-    """The n-grams of a block of test items, by window width, behind a bitmap."""
+    """The n-grams of a block of test items, by window width, behind a bitmap.
+
+    A run of ``need`` characters holds ``need - width + 1`` windows in a row, so
+    of an item's windows every such many-th is enough: each leaking run has one.
+    """
 
     def __init__(self, items: list[tuple[int, str]]):
         self.items = [(i, points(form)) for i, form in items]
@@ -60,12 +70,13 @@ class NgramSet:
         by_width: dict[int, list[tuple[np.ndarray, int]]] = {}
         for k, (_, p) in enumerate(self.items):
             width = max(w for w in WIDTHS if w <= self.need[k])
-            by_width.setdefault(width, []).append((window_hashes(prefix_sums(p), width), k))
+            step = self.need[k] - width + 1
+            by_width.setdefault(width, []).append((window_hashes(prefix_sums(p), width)[::step], k, step))
         self.widths = {}
         for width, entries in by_width.items():
-            hashes = np.concatenate([h for h, _ in entries])
-            item = np.concatenate([np.full(len(h), k) for h, k in entries])
-            at = np.concatenate([np.arange(len(h)) for h, _ in entries])
+            hashes = np.concatenate([h for h, _, _ in entries])
+            item = np.concatenate([np.full(len(h), k) for h, k, _ in entries])
+            at = np.concatenate([np.arange(len(h)) * step for h, _, step in entries])
             order = np.argsort(hashes, kind="stable")
             bitmap = np.zeros(1 << _BITS, dtype=bool)
             bitmap[hashes >> np.uint64(64 - _BITS)] = True
@@ -81,10 +92,13 @@ class NgramSet:
             hit = np.flatnonzero(last > first)
             if not len(hit):
                 continue
-            times = (last - first)[hit]
-            entry = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(first[hit], times)
-            row, where = np.repeat(owner[hit], times), np.repeat(place[hit], times)
-            lines = np.unique(np.stack([row, item[entry], where - at[entry]]), axis=1)
+            ends = np.cumsum((last - first)[hit])
+            lines = np.empty((3, 0), dtype=np.int64)
+            for part in np.split(hit, np.flatnonzero(np.diff(ends // _HITS)) + 1):  # a hot n-gram is met many times
+                times = (last - first)[part]
+                entry = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(first[part], times)
+                row, where = np.repeat(owner[part], times), np.repeat(place[part], times)
+                lines = np.unique(np.concatenate([lines, np.stack([row, item[entry], where - at[entry]])], axis=1), axis=1)
             last_row, form = -1, np.empty(0, dtype=np.uint32)
             for r, k, shift in lines.T.tolist():
                 if r != last_row:
@@ -202,18 +216,41 @@ def leaked_runs(
 _SETS: dict[str, NgramSet] = {}
 
 
-def _segments(text: str) -> tuple[str, list[int]]:
-    """The normal form made piece by piece and, for each of its characters, the place in ``text`` it comes from."""
-    form, places, at, n = [], [], 0, len(text)
-    while at < n:
-        end = at + 1
-        while end < n and (unicodedata.combining(text[end]) or "ᅠ" <= text[end] <= "ᇿ"):
-            end += 1
-        part = letters_digits(text[at:end], nfkc=True)
-        form.append(part)
-        places += [at] * len(part)
-        at = end
-    return "".join(form), places
+@lru_cache(maxsize=1)
+def _joining() -> frozenset[str]:
+    """Characters that NFKC may join to what stands before them: marks, and the second parts of composed characters."""
+    second: set[str] = set()
+    for c in range(sys.maxunicode + 1):
+        parts = unicodedata.decomposition(chr(c)).split()
+        if len(parts) == 2 and not parts[0].startswith("<"):
+            second.add(chr(int(parts[1], 16)))
+    second.update(map(chr, (*range(0x1161, 0x1176), *range(0x11A8, 0x11C3))))  # vowels and finals of Hangul syllables
+    return frozenset(second)
+
+
+@lru_cache(maxsize=1 << 16)
+def _opens(ch: str) -> bool:
+    """The normal form can be cut before this character: it begins with one that joins nothing before it."""
+    first = unicodedata.normalize("NFKD", ch)[:1]
+    return not unicodedata.combining(first) and first not in _joining()
+
+
+def _segments(text: str) -> tuple[str, np.ndarray, np.ndarray]:
+    """The normal form of ``text`` and, for each of its characters, where the segment it comes from starts and ends.
+
+    Segments are the shortest stretches whose normal forms, joined, are that of
+    the whole text: NFKC composes and reorders within them only.
+    """
+    if text.isascii():
+        places = np.array([m.start() for m in _ALNUM.finditer(text)], dtype=np.int64)
+        return letters_digits(text), places, places + 1
+    cuts = [i for i, ch in enumerate(text) if not i or _opens(ch)] + [len(text)]
+    form, sizes = [], []
+    for a, b in zip(cuts, cuts[1:]):
+        form.append(letters_digits(text[a:b], nfkc=True))
+        sizes.append(len(form[-1]))
+    edges = np.array(cuts, dtype=np.int64)
+    return "".join(form), np.repeat(edges[:-1], sizes), np.repeat(edges[1:], sizes)
 
 
 def without_leaks(documents: DataFrame, found: DataFrame, doc_id: str = "doc_id", text: str = "text", mode: str = "span") -> DataFrame:
@@ -222,7 +259,8 @@ def without_leaks(documents: DataFrame, found: DataFrame, doc_id: str = "doc_id"
     ``found`` is :func:`leaked_runs`; :func:`leaks` is enough for whole documents only, as it has one place of each item.
     ``(doc_id, text, removed_chars, leaked_items)`` for every document; with mode
     "document" those with a leak are left out. A span is cut in the original
-    text from its first to its last character. Documents without a leak, and
+    text from its first to its last character, each with the marks that belong
+    to it; nothing else is removed. Documents without a leak, and
     those with a null text, come back as they are.
     """
     docs = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
@@ -234,11 +272,10 @@ def without_leaks(documents: DataFrame, found: DataFrame, doc_id: str = "doc_id"
     def run(ids: list, texts: list, spans: list, items: list) -> dict:
         out: dict = {"doc_id": ids, "text": [], "removed_chars": [], "leaked_items": items}
         for t, runs in zip(texts, spans):
-            form, places = _segments(t)
-            whole = form == letters_digits(t, nfkc=True)
+            _, starts, ends = _segments(t)
             kept, at = [], 0
-            for s in runs if whole else [{"doc_start": 0, "run_chars": len(places)}]:
-                a, b = places[s["doc_start"]], places[s["doc_start"] + s["run_chars"] - 1] + 1
+            for s in runs:
+                a, b = int(starts[s["doc_start"]]), int(ends[s["doc_start"] + s["run_chars"] - 1])
                 if b > at:
                     kept.append(t[at : max(at, a)])
                     at = b

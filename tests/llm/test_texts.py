@@ -108,6 +108,34 @@ def test_every_occurrence_of_a_leaked_item_is_removed(spark, tmp_path):
     assert leakage.leaks(docs, items).count() == 4
 
 
+def test_places_of_the_normal_form_are_exact():
+    rng = random.Random(6)
+    parts = [*"aZ9 ,.-_éñßİǆ", "e\u0301", "\u0301", "\u0327\u0301", "ｶﾞ", "ﾊﾟ", "か\u3099", "\u1112\u1161\u11ab", "\u1161", "한", "ﬃ", "ﷺ", "①", "½", "Å", "\u0345", "ᾳ", "ग\u093c", "\u0dd9\u0dcf", "👍🏽", "\ud800", "㌔"]
+    for _ in range(3000):
+        t = "".join(rng.choice(parts) for _ in range(rng.randint(0, 30)))
+        form, starts, ends = leakage._segments(t)
+        assert form == letters_digits(t, nfkc=True) and len(form) == len(starts) == len(ends)
+        for a in {0, *starts.tolist()}:
+            assert letters_digits(t[:a], nfkc=True) + letters_digits(t[a:], nfkc=True) == form
+
+
+def test_removal_takes_the_spans_and_nothing_else(spark):
+    item = "closed towers keep ice on their stairs"
+    for odd in ("ｶﾞ", "한\u1100\u1161\u11a8", "ﬃ ﷺ", "e\u0301 ½"):
+        text = f"{odd * 300} {item.upper()} {odd * 40} {item}! {odd}"
+        docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        items = spark.createDataFrame([(5, item)], "item_id long, normalized_prompt string")
+        got = leakage.without_leaks(docs, leakage.leaked_runs(docs, items))
+        assert rows(got) == [(1, f"{odd * 300}  {odd * 40} ! {odd}", 2 * len(item), 1)]
+        assert leakage.leaks(got, items).count() == 0
+
+
+def test_a_periodic_item_in_a_periodic_text():
+    known = leakage.NgramSet([(1, "ab" * 400), (2, "a" * 30)])
+    got = {(r, k): n for r, k, _, _, n in known.scan(["ab" * 20_000, "a" * 14, "a" * 15, "x" + "ab" * 200])}
+    assert got == {(0, 0): 800, (2, 1): 15, (3, 0): 400}
+
+
 def test_what_is_left_holds_no_run_of_an_item(spark):
     rng = random.Random(9)
     items = [(i, "".join(rng.choice("abc") for _ in range(rng.randint(8, 24)))) for i in range(6)]
