@@ -2,8 +2,9 @@
 
 Leaves are normalised (letters and digits of ``content``, case-folded; other
 values as they stand), a node's digest is made from its children's, with the
-children of an object in no order, and equal root digests are confirmed by
-comparing the whole canonical records.
+children of an object in no order, and records are grouped by root digest. Only
+keys and digests are shuffled for that; the canonical records of groups of two or
+more then move once to be compared in full with the first of their group.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 import json
 from hashlib import blake2b
 
-import zstandard
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +22,10 @@ from ..operators.skew import join_groups
 from ..runtime import written
 
 DIGEST_BYTES = 16
+#: The bitmap of digests has at most this many bits (as a power of 2).
+MOST_BITS = 27
+#: Members of a class that are compared with its first record in one part.
+PART_ROWS = 1_000
 
 
 def _hash(tag: bytes, *parts: bytes) -> bytes:
@@ -65,51 +70,95 @@ def conversation(payload: str | None):
     return [{"content": None} | m for m in messages]
 
 
+def canonical_record(key: str, payload: str | None, loose: frozenset[str]):
+    """The normalised messages of a payload; what isn't a readable conversation is a record that equals only itself."""
+    messages = conversation(payload)
+    if messages is None:
+        return {"unreadable": payload, "key": key}
+    canon = normalised(messages, loose)
+    for m in canon:
+        m.setdefault("content", "")
+    return canon
+
+
 def fingerprints(records: DataFrame, key: str, payload: str, loose: tuple[str, ...] = ("content",)) -> DataFrame:
-    """``(key, digest, canonical)`` for each record; ``canonical`` is the compressed canonical record.
+    """``(key, digest)`` for each record with a key: the root digest of the normalised record."""
+    loose_keys = frozenset(loose)
 
-    Records without a readable list of messages (null, broken or other JSON) are left out.
-    """
+    def run(keys: list, payloads: list) -> dict:
+        return {key: keys, "digest": [merkle(canonical_record(k, t, loose_keys))[:DIGEST_BYTES] for k, t in zip(keys, payloads)]}
+
+    return map_columns(_records(records, key, payload), run, f"{key} string, digest binary")
+
+
+def _records(records: DataFrame, key: str, payload: str) -> DataFrame:
+    return records.select(F.col(key).cast("string").alias(key), F.col(payload).alias(payload)).filter(F.col(key).isNotNull())
+
+
+def _marks(several: DataFrame) -> tuple[int, np.ndarray]:
+    """A bitmap of the first bits of the digests given: at most 16 MB, whatever their number."""
+    bits = min(MOST_BITS, max(10, (several.count() * 16).bit_length()))
+    slots = several.select(F.expr(f"cast(conv(hex(substring(digest, 1, 4)), 16, 10) as long) div {1 << (32 - bits)}").alias("slot"))
+    words = slots.select(F.expr("slot div 32").alias("word"), F.expr("shiftleft(1L, cast(slot % 32 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bit")).toArrow()
+    out = np.zeros(1 << (bits - 5), dtype=np.uint32)
+    out[words["word"].to_numpy()] = words["bit"].to_numpy().astype(np.uint32)
+    return bits, out
+
+
+def _canonicals(records: DataFrame, key: str, payload: str, several: DataFrame, loose: tuple[str, ...]) -> DataFrame:
+    """``(key, digest, canonical)`` of the records whose digest may be among those given (none of them is missing)."""
     loose_keys = frozenset(loose)
+    shared = records.sparkSession.sparkContext.broadcast(_marks(several))
 
     def run(keys: list, payloads: list) -> dict:
-        squeeze = zstandard.ZstdCompressor(level=3)
+        bits, marks = shared.value
         out: dict = {key: [], "digest": [], "canonical": []}
         for k, text in zip(keys, payloads):
-            messages = conversation(text)
-            if k is None or messages is None:
-                continue
-            canon = normalised(messages, loose_keys)
-            for m in canon:
-                m.setdefault("content", "")
-            out[key].append(k)
-            out["digest"].append(merkle(canon))
-            out["canonical"].append(squeeze.compress(json.dumps(canon, sort_keys=True, ensure_ascii=True).encode()))
+            canon = canonical_record(k, text, loose_keys)
+            digest = merkle(canon)[:DIGEST_BYTES]
+            slot = int.from_bytes(digest[:4], "big") >> (32 - bits)
+            if marks[slot >> 5] >> np.uint32(slot & 31) & np.uint32(1):
+                for name, value in zip(out, (k, digest, json.dumps(canon, sort_keys=True, ensure_ascii=True))):
+                    out[name].append(value)
         return out
 
-    return map_columns(records.select(key, payload), run, f"{key} string, digest binary, canonical binary")
+    return map_columns(_records(records, key, payload), run, f"{key} string, digest binary, canonical string")
 
 
-def copies(records: DataFrame, key: str = "candidate_id", payload: str = "payload_json") -> DataFrame:
+def copies(records: DataFrame, key: str = "candidate_id", payload: str = "payload_json", loose: tuple[str, ...] = ("content",)) -> DataFrame:
     """``(key, first, copies)``: for each record the smallest key among its copies and their number.
 
     Rows with the same key and record (delivered twice) count as one. Input may
-    have any other columns. A record alone in its class has copies = 1 and is its
-    own first. Empty tables give an empty result. Classes of any size are safe:
-    digests are counted with map-side combine and hot classes are never gathered.
+    have any other columns; rows with a null key are left out. A record alone in
+    its class has copies = 1 and is its own first; so is one whose payload is
+    null, broken or holds no list of messages. Empty tables give an empty result.
+
+    Classes of any size are safe: digests are counted with map-side combine,
+    members meet the first of their class in parts of at most about PART_ROWS
+    rows, and nothing of a class is gathered. Should two different records share
+    a digest, those unlike the first are grouped by the record itself.
     """
-    marked = written(fingerprints(records, key, payload).dropDuplicates([key, "digest"]))
-    classes = marked.groupBy("digest", "canonical").agg(F.min(key).alias("first"), F.count(F.lit(1)).alias("copies"))
-    several = classes.filter("copies > 1")
-    found = join_groups(marked, several, ["digest", "canonical"], "copies", marked.count()).select(key, "first", "copies")
+    marked = written(fingerprints(records, key, payload, loose).dropDuplicates([key, "digest"]))
+    classes = written(marked.groupBy("digest").agg(F.min(key).alias("first"), F.count(F.lit(1)).alias("copies")))
     alone = classes.filter("copies = 1").select(F.col("first").alias(key), "first", "copies")
-    return found.unionByName(alone)
+    several = classes.filter("copies > 1")
+    of = join_groups(marked, several, ["digest"], "copies", marked.count())
+    parts = F.expr(f"cast((copies + {PART_ROWS - 1}) div {PART_ROWS} as int)")
+    full = written(_canonicals(records, key, payload, several, loose).join(of, [key, "digest"]).withColumn("part", F.pmod(F.xxhash64(key), parts).cast("int")))
+    heads = full.filter(F.col(key) == F.col("first")).dropDuplicates(["digest"]).select("digest", F.col("canonical").alias("head"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    same = F.col("canonical") == F.col("head")
+    compared = written(full.join(heads, ["digest", "part"]).select(key, "digest", "first", "copies", same.alias("same"), F.when(~same, F.col("canonical")).alias("canonical")).distinct())
+    odd = compared.filter("not same")
+    unlike = odd.groupBy("digest").agg(F.countDistinct(key).alias("unlike"))
+    alike = compared.filter("same").join(unlike, "digest", "left").select(key, "first", (F.col("copies") - F.coalesce("unlike", F.lit(0))).alias("copies"))
+    others = odd.groupBy("digest", "canonical").agg(F.min(key).alias("first"), F.countDistinct(key).alias("copies"))
+    rest = odd.select(key, "digest", "canonical").join(others, ["digest", "canonical"]).select(key, "first", "copies")
+    return alone.unionByName(alike).unionByName(rest)
 
 
 def collapsed(records: DataFrame, key: str = "candidate_id", payload: str = "payload_json") -> DataFrame:
     """One row for each distinct record, ``(key, copies)``; the key is the smallest of its copies."""
-    marked = fingerprints(records, key, payload).dropDuplicates([key, "digest"])
-    return marked.groupBy("digest", "canonical").agg(F.min(key).alias(key), F.count(F.lit(1)).alias("copies")).select(key, "copies")
+    return copies(records, key, payload).filter(F.col(key) == F.col("first")).select(key, "copies")
 
 
 def copy_pairs(records: DataFrame, key: str = "candidate_id", payload: str = "payload_json") -> DataFrame:

@@ -53,8 +53,24 @@ def test_format_copies(spark):
     data = [(k, json.dumps({"conversations": v}), k) for k, v in payloads.items()] + [("j", '{"conversations":[{"content":"hello, world","role":"user"}]}', "j"), ("k", "broken", ""), ("l", None, "")]
     df = spark.createDataFrame(data + data[:2], "candidate_id string, payload_json string, digest string")
     assert rows(formatdup.copy_pairs(df)) == [("a", "b"), ("a", "c"), ("a", "j"), ("f", "g"), ("h", "i")]
-    assert dict(rows(formatdup.collapsed(df))) == {"a": 4, "d": 1, "e": 1, "f": 2, "h": 2}
-    assert formatdup.copies(df).count() == 10 and formatdup.copies(df.limit(0)).count() == 0
+    assert dict(rows(formatdup.collapsed(df))) == {"a": 4, "d": 1, "e": 1, "f": 2, "h": 2, "k": 1, "l": 1}
+    assert formatdup.copies(df).count() == 12 and formatdup.copies(df.limit(0)).count() == 0
+
+
+def test_records_that_share_a_digest_are_told_apart(spark, monkeypatch):
+    monkeypatch.setattr(formatdup, "merkle", lambda value: b"same digest 1234")
+    monkeypatch.setattr(formatdup, "PART_ROWS", 3)
+    texts = ["one", "two", "ONE!", "three", "Two.", "t w o", "one"] * 3
+    df = spark.createDataFrame([(f"k{i:02}", json.dumps({"conversations": [{"role": "user", "content": t}]})) for i, t in enumerate(texts)] + [("k99", None)], "candidate_id string, payload_json string")
+    assert dict(rows(formatdup.collapsed(df))) == {"k00": 9, "k01": 9, "k03": 3, "k99": 1}
+    assert len(rows(formatdup.copy_pairs(df))) == 8 + 8 + 2
+
+
+def test_a_hot_class_is_compared_in_parts(spark):
+    payload = json.dumps({"conversations": [{"role": "user", "content": "Hot"}]})
+    df = spark.range(5000).select(F.format_string("k%05d", "id").alias("candidate_id"), F.when(F.col("id") % 3 > 0, F.concat(F.lit(payload), F.repeat(F.lit(" "), (F.col("id") % 7).cast("int")))).otherwise(F.concat(F.lit('{"conversations":[{"content":"'), F.col("id").cast("string"), F.lit('"}]}'))).alias("payload_json"))
+    got = formatdup.collapsed(df)
+    assert got.count() == 1 + 1667 and got.filter("copies > 1").collect()[0][:] == ("k00001", 3333)
 
 
 def test_field_order_is_no_difference_but_message_order_is():
