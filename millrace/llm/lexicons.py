@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-#: Frequent short words that tell the languages written in Latin letters apart.
+#: Frequent short words that tell the languages written in Latin letters apart: function words as any grammar lists them.
 STOPWORDS: dict[str, frozenset[str]] = {
     "en": frozenset(
         "the and of to is that it was for on are with as his they be at this have from or by but what all were when we there can an your which their said if will each about how up out them then she many some so these would into has more her two like him see time could no make than first been its who now people my made over did down only way find use may long little very after words called just where most know through back much before also around another came come work three word must because does part even place well such here take why help put different away again off went old number great tell men say small every found still between name should home big give air line set own under read last never us left end along while might next below both seen near inside beyond toward past beside across against beneath behind above within until unless since although whereas once neither nor a an no without each its people most seen stage set run more than".split()
@@ -15,6 +15,12 @@ STOPWORDS: dict[str, frozenset[str]] = {
     "it": frozenset("il lo la gli le di che e è un una per non con su del della dei delle nel nella sono come più ma anche questo questa quando dove perché si ci al alla dal dalla tra fra ogni molto senza sopra sotto".split()),
     "pt": frozenset("o os as um uma de que e é em do da dos das no na nos nas para por com não se mais como mas ao à pelo pela quando onde porque seu sua são foi ser está também muito sem sobre entre até".split()),
     "nl": frozenset("de het een en van is dat niet op te zijn met voor aan er maar om ook als bij uit naar door over ze hij wij deze dit worden werd heeft hebben kan nog wel geen waar wanneer omdat".split()),
+    "sv": frozenset("och att det som en på är av för med till den har inte om ett men var jag sig från vi så kan när år också eller hon han de ut hur mycket där efter utan under mellan eftersom alla mot bara blir".split()),
+    "da": frozenset("og at det som en på er af for med til den har ikke om et men var jeg sig fra vi så kan når også eller hun han de hvor meget der efter uden under mellem fordi alle kun bliver hvad".split()),
+    "pl": frozenset("i w nie na się z do że jest to jak po co ale o od tak za przez jego być czy już dla są może tylko ich był oraz gdy kiedy który która które aby lub przed pod nad bez ponieważ".split()),
+    "vi": frozenset("là và của có không được cho người trong một các những này với để đã khi tôi bạn ở từ như nhưng vì rất cũng thì lại đến về trên dưới sẽ nên mùa".split()),
+    "tr": frozenset("ve bir bu da de için ile çok ne var daha gibi ama olarak o kadar değil mi en sonra çünkü her olan veya ise ki nasıl".split()),
+    "id": frozenset("yang dan di ini itu dengan untuk tidak dari dalam akan pada juga ke karena adalah ada oleh saya atau bisa mereka kami telah sudah".split()),
 }
 SCRIPTS = {
     "zh": re.compile("[㐀-䶿一-鿿豈-﫿]"),
@@ -28,7 +34,7 @@ SCRIPTS = {
     "th": re.compile("[฀-๿]"),
 }
 _NAMES = {
-    "en": "english|englisch|englische|inglés|ingles|anglais|英文|英语|英語",
+    "en": r"english|englisch|englische|inglés|ingles|inglês|inglese|anglais|engels|engelska|engelsk|angielsku|английск\w+|ingilizce|inggris|tiếng anh|英文|英语|英語|영어",
     "zh": "chinese|mandarin|chinesisch|chino|chinois|中文|汉语|漢語|华语|普通话",
     "de": "german|deutsch|deutsche|alemán|aleman|allemand|德文|德语",
     "es": "spanish|spanisch|español|espanol|castellano|espagnol|西班牙文|西班牙语",
@@ -40,9 +46,19 @@ _NAMES = {
     "ko": "korean|koreanisch|coreano|韩文|韩语|한국어",
     "ru": "russian|russisch|ruso|俄文|俄语",
     "ar": "arabic|arabisch|árabe|阿拉伯文|阿拉伯语",
+    "sv": "swedish|schwedisch|sueco|suédois|瑞典文|瑞典语",
+    "da": "danish|dänisch|danés|danois|丹麦文|丹麦语",
+    "pl": "polish|polnisch|polaco|polonais|波兰文|波兰语",
+    "vi": "vietnamese|vietnamesisch|vietnamita|vietnamien|越南文|越南语",
+    "tr": "turkish|türkisch|turco|turc|土耳其文|土耳其语",
+    "id": "indonesian|indonesisch|indonesio|indonésien|印尼文|印尼语",
+    "el": "greek|griechisch|griego|grec|希腊文|希腊语",
+    "hi": "hindi|印地文|印地语",
+    "he": "hebrew|hebräisch|hebreo|hébreu|希伯来文|希伯来语",
+    "th": "thai|thailändisch|tailandés|thaï|泰文|泰语",
 }
 #: A language is asked for by name: "in English", "auf Deutsch", "译成英文", "用中文".
-ASKED = {code: re.compile(rf"(?:\b(?:in|into|to|auf|ins|nach|en|al|vers|as)\s+(?:(?:the|plain|simple|your|das|el)\s+)?|[译譯翻成为為用以写寫说說]\s*)(?:{names})", re.I) for code, names in _NAMES.items()}
+ASKED = {code: re.compile(rf"(?:\b(?:in|into|to|auf|ins|nach|en|em|al|vers|as|på|po|na|на|bằng|ke|dalam bahasa)\s+(?:(?:the|plain|simple|your|das|el)\s+)?|[译譯翻成为為用以写寫说說]\s*)(?:{names})", re.I) for code, names in _NAMES.items()}
 
 #: Whole answers (letters and digits only, case-folded) that stand for no answer.
 PLACEHOLDERS = frozenset(
@@ -73,18 +89,48 @@ _DECLINE_ZH = re.compile(
     "|(?:只能|必须|不得不|需要|选择|要|应当)(?:婉言|礼貌地)?(?:拒绝|谢绝|婉拒|推辞|回绝)|(?:拒绝|谢绝|婉拒)(?:回答|提供|这|该|您|你|此|协助)|超出(?:了)?(?:我|本助手|本模型)?的?(?:能力|权限|服务|职责|知识|允许)(?:的)?(?:范围)?|爱莫能助|无可奉告|(?:这|那|它)?不是我(?:能|可以|所能)|不在我的?(?:能力|职责|服务|权限|允许)|(?:不符合|违反)(?:了)?(?:我的|相关|使用)?(?:准则|规定|政策|原则)|不(?:被)?允许我|(?:保持|必须)沉默"
 )
 _DECLINE_DE = re.compile(
-    r"\b(?:kann|darf|werde|möchte|will|könnte|mag) ich (?:leider |dir |ihnen |euch |dazu |hier |das |darauf |hierzu |diese\w* )*(?:nicht|keine?\w*|nichts)\b|\bich (?:kann|darf|werde|möchte|will) (?:\w+ ){0,4}(?:nicht|keine?\w*|nichts) (?:\w+ ){0,5}(?:helfen|antworten|beantworten|weiterhelfen|geben|sagen|erfüllen|behandeln|äußern|unterstützen|bearbeiten|eingehen)|\b(?:muss|müssen) (?:ich|wir) (?:\w+ ){0,4}(?:ablehnen|verweigern|passen|absagen)|\bich (?:muss )?(?:\w+ ){0,4}(?:lehne|ablehnen|verweigere|verweigern)\b|\b(?:ist|wäre) mir (?:\w+ ){0,2}nicht (?:möglich|erlaubt|gestattet)|\b(?:liegt|geht|fällt) (?:\w+ )?(?:außerhalb|über) (?:meine\w*|mein)\b"
+    r"\b(?:kann|darf|werde|möchte|will|könnte|mag) ich (?:leider |dir |ihnen |euch |dazu |hier |das |darauf |hierzu |diese\w* )*(?:nicht|keine?\w*|nichts)\b|\bich (?:kann|darf|werde|möchte|will) (?:\w+ ){0,4}(?:nicht|keine?\w*|nichts) (?:\w+ ){0,5}(?:helfen|antworten|beantworten|weiterhelfen|geben|sagen|erfüllen|behandeln|äussern|unterstützen|bearbeiten|eingehen)|\b(?:muss|müssen) (?:ich|wir) (?:\w+ ){0,4}(?:ablehnen|verweigern|passen|absagen)|\bich (?:muss )?(?:\w+ ){0,4}(?:lehne|ablehnen|verweigere|verweigern)\b|\b(?:ist|wäre) mir (?:\w+ ){0,2}nicht (?:möglich|erlaubt|gestattet)|\b(?:liegt|geht|fällt) (?:\w+ )?(?:ausserhalb|über) (?:meine\w*|mein)\b"
 )
 _DECLINE_ES = re.compile(
     r"\bno (?:me (?:es|está|resulta) (?:posible|permitido)|puedo|podré|podría|debo|quiero|voy a|estoy en condiciones|estoy autorizad\w|soy capaz|me corresponde|sería apropiado|es apropiado|es algo que pueda|tengo permitido)\b|\b(?:prefiero|preferiría|elijo) no \w+|\b(?:debo|tengo que|he de|me veo obligad\w a) (?:rechazar|declinar|negarme|abstenerme|rehusar)|\b(?:rechazo|declino|me niego|me abstengo)\b|\bqueda fuera de (?:mis|lo que)|\bestá fuera de (?:mi|mis|lo que)"
 )
+_DECLINE_EN_MORE = re.compile(
+    r"\b(?:can ?not|cant|could not|couldnt|wont|will not|unable to|not able to|not going to|refuse to|decline to) (?:really |possibly |currently |actually )?(?:accommodate|entertain|oblige|honou?r|weigh in|advise|be of (?:any )?(?:help|service|assistance|use)|take (?:this|that|it|part)|write (?:this|that)|produce (?:this|that)|go there|touch (?:this|that)|speak to (?:this|that))\b"
+    r"|\b(?:is|are|thats|its|falls|lies|goes) (?:well |far )?(?:beyond|outside) what i (?:can|could|may|am able to) (?:do|say|offer|answer|discuss)\b|\b(?:do not|dont|am not|m not) (?:feel )?(?:comfortable|at ease) (?:answering|discussing|writing|saying|with)\b"
+    r"|\b(?:sit|sitting) (?:this|that)(?: one)? out\b|\bsteer(?:ing)? clear of (?:this|that|it|such)\b|\bcount me out\b|\bno comment\b|\boff limits (?:for|to) me\b|\bi(?: ll| will)? (?:have to )?pass on (?:this|that|it)\b|\b(?:this|that|it)s? (?:is )?not (?:my place|for me) to (?:say|answer|judge)\b"
+)
+_DECLINE_DE_MORE = re.compile(
+    r"\b(?:kann|darf|werde|möchte|will|könnte|mag) (?:ich|wir) (?:\w+ ){0,6}(?:nicht|keine?\w*|nichts) (?:\w+ ){0,3}(?:helfen|antworten|beantworten|weiterhelfen|geben|sagen|erfüllen|behandeln|äussern|unterstützen|bearbeiten|eingehen|nachkommen)\b"
+)
+_DECLINE_FR = re.compile(
+    r"\b(?:je|nous) (?:ne |n )?(?:peux|puis|pourrai|pourrais|souhaite|veux|vais|suis|pouvons|dois|saurais) (?:malheureusement |hélas |donc |vraiment )?(?:pas|point|rien) (?:\w+ ){0,4}(?:d?aider|(?:l|t|vous |te )?assister|(?:y |vous |te |lui )?répondre|fournir|donner|faire|dire|traiter|satisfaire|discuter|poursuivre|partager|accéder|mesure|autorisée?|capable|habilitée?|aider)\b"
+    r"|\b(?:je|nous) (?:dois|devons|préfère|préférons|vais|me vois|suis) (?:\w+ ){0,5}(?:refuser|décliner|mabstenir|ne pas)\b|\bje (?:refuse|décline|mabstiens)\b|\b(?:ne )?mest (?:malheureusement )?(?:pas (?:possible|permis)|impossible|interdit)|\bimpossible pour moi\b|\bsort de (?:mes|ce que je)|\bdépasse (?:mes|ce que je)"
+)
+_DECLINE_PT = re.compile(
+    r"\bnão (?:me é (?:possível|permitido)|posso|poderei|poderia|vou|consigo|devo|quero|estou (?:autorizad\w|em condições)|tenho (?:permissão|como)|é possível para mim|sou capaz)(?: \w+){0,4}? (?:ajudar|responder|fornecer|dar|atender|fazer|dizer|auxiliar|tratar|discutir|oferecer|isso|isto|te|lhe|a|de|para)\b|\bnão (?:me é (?:possível|permitido)|posso ajudar|posso responder)\b|\bprefiro não \w+|\b(?:devo|tenho (?:de|que)|preciso|sou obrigad\w a) (?:\w+ ){0,2}(?:recusar|declinar)|\b(?:recuso|recuso me|me recuso|declino)\b|\bfora d(?:o meu alcance|as minhas|e minhas)"
+)
+_DECLINE_IT = re.compile(
+    r"\bnon (?:posso|potrò|potrei|sono (?:in grado|autorizzat\w|capace)|mi è (?:possibile|permesso|consentito)|voglio|intendo|riesco)(?: \w+){0,4}? (?:\w*aiutar\w*|risponder\w*|fornir\w*|dar\w*|fare|farlo|dire|assister\w*|trattar\w*|discuter\w*|soddisfar\w*|offrir\w*|di|a)\b|\bnon mi è (?:possibile|permesso|consentito)\b|\bpreferisco non \w+|\b(?:devo|sono costrett\w a) (?:\w+ ){0,2}(?:rifiutar\w*|declinar\w*)|\b(?:mi rifiuto|rifiuto|declino)\b|\b(?:esula|va oltre|fuori) (?:d\w+ )?(?:mi\w+|quanto)"
+)
+_DECLINE_NL = re.compile(
+    r"\b(?:kan|mag|wil|zal) ik (?:\w+ ){0,5}(?:niet|geen|niets)\b|\bik (?:kan|mag|wil|zal|ben) (?:\w+ ){0,5}(?:niet|geen|niets) (?:\w+ ){0,4}(?:helpen|beantwoorden|antwoorden|geven|verstrekken|doen|zeggen|staat|bespreken|behandelen)|\bik moet (?:\w+ ){0,4}(?:weigeren|afwijzen|afslaan)|\bik weiger\b|\bliever niet\b"
+)
+_DECLINE_RU = re.compile(
+    r"\bне (?:могу|сможем|смогу|буду|готов\w*|имею права|хочу|в состоянии|вправе|можем) (?:\w+ ){0,4}(?:помочь|помогать|ответить|отвечать|предоставить|дать|выполнить|обсуждать|сказать|сделать|комментировать)|\bвынужден\w* (?:\w+ ){0,2}отказать\w*|\b(?:я )?отказываюсь\b|\bпредпочту не \w+|\bпредпочитаю не \w+|\bвыходит за (?:рамки|пределы)"
+)
 #: Each clause that declines holds one of these words.
 DECLINE_WORDS = frozenset(
     "not cannot cant couldnt wont dont unable refuse refused refuses decline declined declines declining abstain pass rather prefer prefers choose best something lies falls outside beyond out scope leave leaves leaving unanswered answer response reply comment help guidelines policy policies rules instructions principles programming against violates breaches denied way means down"
-    " nicht keine keinen kein nichts ablehnen ablehne lehne verweigern verweigere passen absagen außerhalb über puedo podré podría debo quiero voy estoy soy posible permitido corresponde apropiado prefiero preferiría elijo rechazar rechazo declinar declino negarme niego abstenerme abstengo rehusar fuera".split()
+    " nicht keine keinen kein nichts ablehnen ablehne lehne verweigern verweigere passen absagen ausserhalb über puedo podré podría debo quiero voy estoy soy posible permitido corresponde apropiado prefiero preferiría elijo rechazar rechazo declinar declino negarme niego abstenerme abstengo rehusar fuera".split()
+    + "comfortable ease sit sitting steer steering count comment limits pass place".split()
+    + "pas point rien refuser refuse décliner décline mabstenir mabstiens ne mest impossible sort dépasse".split()
+    + "não prefiro recusar recuso declinar declino fora non preferisco rifiutare rifiuto declinare rifiutarmi declinarla rifiutarla rifiutarlo declino esula oltre fuori devo".split()
+    + "niet geen niets weigeren weiger afwijzen afslaan liever не отказываюсь отказать отказаться отказывать предпочту предпочитаю выходит вынужден вынуждена".split()
 )
-DECLINES = (_DECLINE_EN, _DECLINE_DE, _DECLINE_ES)
-DECLINE_ZH = _DECLINE_ZH
+DECLINES = (_DECLINE_EN, _DECLINE_EN_MORE, _DECLINE_DE, _DECLINE_DE_MORE, _DECLINE_ES, _DECLINE_FR, _DECLINE_PT, _DECLINE_IT, _DECLINE_NL, _DECLINE_RU)
+_DECLINE_JA = re.compile("(?:お答え|答える|回答|お手伝い|手伝う|対応|提供|支援|お応え|応じる|説明|お話し|お教え|教える|コメント|協力|お力になる)(?:する)?(?:こと)?(?:は|が|も|を)?(?:でき(?:ません|ない|かね)|いたしかね|しかね|致しかね|差し控え|控え|いたしません|しません)|(?:お断り|拒否|辞退)(?:し|いた|さ|申し)|(?:お答え|申し上げ|お応えし)(?:られ)?(?:ません|かねます)|お力になれません|ご遠慮")
+_DECLINE_KO = re.compile("(?:도와|도울|답변|답할|답해|대답|제공|알려|처리|응할|말씀|설명|지원)[가-힣]{0,5}수(?:가|는)?없|거절(?:합|하|해)|답변하지않|응하지않|도와드리지못|답변드리지못|거부(?:합|하)")
+DECLINES_DENSE = (_DECLINE_ZH, _DECLINE_JA, _DECLINE_KO)
 
 #: Clauses around a refusal that give nothing of what was asked.
 _FILLER_EN = re.compile(
@@ -95,8 +141,15 @@ _FILLER_ZH = re.compile(
 )
 _FILLER_DE = re.compile(r"(?:leider|es tut mir\b.{0,30}|tut mir\b.{0,30}|verzeihung|entschuldig\w+\b.{0,30}|ich bedaure\b.{0,40}|bedauerlicherweise|danke\b.{0,40}|vielen dank\b.{0,40}|als (?:ki|assistent\w*|sprachmodell|künstliche)\b.{0,30}|weil\b.{0,60}|da ich\b.{0,60}|ich (?:verstehe|hoffe|bitte)\b.{0,60}|bitte\b.{0,60}|kann ich\b.{0,40}|wenn\b.{0,60}|leider gilt|aber|doch|jedoch|ehrlich gesagt|gibt es\b.{0,40}|fragen sie\b.{0,40})")
 _FILLER_ES = re.compile(r"(?:lo siento\b.{0,30}|lo lamento\b.{0,30}|lamento\b.{0,50}|lamentablemente|por desgracia|desgraciadamente|disculp\w+\b.{0,30}|perdón\b.{0,30}|perdona\b.{0,30}|gracias\b.{0,40}|como (?:ia|asistente|modelo|una? )\b.{0,40}|porque\b.{0,60}|ya que\b.{0,60}|espero\b.{0,50}|entiendo\b.{0,50}|comprendo\b.{0,50}|por favor\b.{0,50}|consult\w+\b.{0,50}|pero|sin embargo|hay algo\b.{0,40}|si (?:quieres|necesitas|desea)\b.{0,50}|sinceramente|pregunt\w+\b.{0,50})")
-FILLERS = (_FILLER_EN, _FILLER_DE, _FILLER_ES)
-FILLER_ZH = _FILLER_ZH
+_FILLER_FR = re.compile(r"(?:(?:je suis |nous sommes )?(?:vraiment |sincèrement |profondément )?(?:désolée?s?|navrée?s?)\b.{0,40}|pardon\w*\b.{0,30}|excuse\w*\b.{0,40}|mes excuses\b.{0,30}|malheureusement|hélas|je regrette\b.{0,40}|merci\b.{0,50}|en tant qu\b.{0,50}|en tant que\b.{0,50}|je (?:comprends|sais|vous prie|ne suis qu)\b.{0,60}|(?:car|parce que|parce qu|puisque|comme)\b.{0,70}|veuillez\b.{0,60}|si (?:vous|tu)\b.{0,60}|sil (?:vous|te) plaît|mais|cependant|toutefois|pour des raisons\b.{0,50}|(?:puis je|nhésitez)\b.{0,60}|j ?espère\b.{0,50}|honnêtement)")
+_FILLER_PT = re.compile(r"(?:sinto muito\b.{0,40}|lamento\b.{0,50}|desculp\w+\b.{0,40}|peço desculpas?\b.{0,40}|infelizmente|obrigad\w\b.{0,40}|como (?:uma? |assistente|modelo|ia)\b.{0,50}|porque\b.{0,60}|pois\b.{0,60}|espero\b.{0,50}|entendo\b.{0,50}|compreendo\b.{0,50}|por favor\b.{0,60}|se (?:você|quiser|precisar)\b.{0,60}|mas|porém|no entanto|posso ajudar\b.{0,40}|sinceramente)")
+_FILLER_IT = re.compile(r"(?:mi (?:di)?spiace\b.{0,40}|scus\w+\b.{0,40}|chiedo scusa\b.{0,40}|purtroppo|sfortunatamente|grazie\b.{0,40}|come (?:assistente|modello|ia|intelligenza)\b.{0,50}|in quanto\b.{0,50}|perché\b.{0,60}|poiché\b.{0,60}|spero\b.{0,50}|capisco\b.{0,50}|comprendo\b.{0,50}|per favore\b.{0,60}|se (?:vuoi|vuole|hai|ha)\b.{0,60}|ma|però|tuttavia|posso aiutar\w+\b.{0,40}|sinceramente)")
+_FILLER_NL = re.compile(r"(?:helaas|sorry\b.{0,40}|het spijt (?:me|mij)\b.{0,40}|mijn excuses\b.{0,30}|jammer genoeg|bedankt\b.{0,40}|als (?:ai|assistent|taalmodel)\b.{0,40}|omdat\b.{0,60}|want\b.{0,60}|ik (?:begrijp|hoop)\b.{0,50}|maar|toch|als (?:je|u)\b.{0,60})")
+_FILLER_RU = re.compile(r"(?:к сожалению|увы|извин\w+\b.{0,40}|прост\w+\b.{0,40}|мне (?:очень )?жаль\b.{0,40}|сожалею\b.{0,40}|спасибо\b.{0,40}|как (?:ии|ассистент|языковая)\b.{0,40}|потому что\b.{0,60}|поскольку\b.{0,60}|так как\b.{0,60}|надеюсь\b.{0,50}|понимаю\b.{0,50}|пожалуйста\b.{0,50}|если\b.{0,60}|но|однако)")
+_FILLER_JA = re.compile("(?:(?:大変|誠に|まことに|本当に)?(?:申し訳|すみません|すいません|恐れ入り|残念|ごめん|恐縮|失礼).{0,16}|(?:ai|私は|わたしは|当方は).{0,16}|.{0,24}(?:ため|ので|から)|ご(?:了承|理解|容赦|質問|要望).{0,12}|どうか.{0,12}|また(?:の|他).{0,20}|他に.{0,20}|(?:しかし|ですが|けれども|でも))$")
+_FILLER_KO = re.compile("(?:(?:대단히|정말|매우)?(?:죄송|미안|유감|안타깝|아쉽).{0,12}|.{0,24}(?:때문에|때문입니다|므로|이라서)|(?:양해|이해).{0,12}|다른.{0,20}|(?:하지만|그러나|그렇지만)|저는.{0,14}|ai.{0,14})$")
+FILLERS = (_FILLER_EN, _FILLER_DE, _FILLER_ES, _FILLER_FR, _FILLER_PT, _FILLER_IT, _FILLER_NL, _FILLER_RU)
+FILLERS_DENSE = (_FILLER_ZH, _FILLER_JA, _FILLER_KO)
 
 #: Labels before the question and before the answer of a stored pair; the first that opens the text decides.
 PAIR_LABELS: tuple[tuple[re.Pattern, re.Pattern], ...] = tuple(

@@ -85,3 +85,56 @@ def test_tables(spark):
     got = sorted(tuple(r) for r in pairs.defective_pairs(candidates, raw).collect())
     assert got == [("candidates", "a", 0, "empty"), ("raw_pairs", "7", 0, "empty"), ("raw_pairs", "8", 0, "empty"), ("raw_pairs", "9", 0, "empty")]
     assert pairs.defective_pairs(candidates.limit(0), raw.limit(0)).count() == 0
+
+
+REFUSALS = [
+    "I'm afraid that's beyond what I can do for you.", "Sorry, this is something I must refuse.", "I won't be answering this question.", "That request falls outside my remit, so I have to say no.", "I regret that I cannot fulfill this request.", "I do not feel comfortable answering that.", "No, I will not write this.", "I'd prefer not to say.",
+    "Je suis désolé, mais je ne peux pas répondre à cette question.", "Malheureusement, je ne suis pas en mesure de vous aider.", "Je préfère ne pas répondre.", "Désolée, il m'est impossible de fournir cette information.",
+    "Desculpe, não posso ajudar com isso.", "Infelizmente, não me é possível responder a esta pergunta.", "Lamento, mas devo recusar este pedido.", "Mi dispiace, non posso rispondere a questa domanda.", "Purtroppo non sono in grado di aiutarti.", "Devo rifiutare questa richiesta.",
+    "Helaas kan ik deze vraag niet beantwoorden.", "К сожалению, я не могу помочь с этим.", "申し訳ありませんが、そのご質問にはお答えできません。", "残念ながら、お手伝いすることはできません。", "죄송하지만 이 질문에는 답변할 수 없습니다.",
+    "Leider kann ich diese Frage nicht beantworten.", "Dazu möchte ich mich nicht äußern.", "Lo siento, pero no puedo ayudarte con eso.", "很遗憾，我不能满足您的要求。",
+]
+ANSWERS = [
+    "Je ne peux pas imaginer un hiver sans neige, et la tour ferme donc en novembre.", "La torre no puede abrir porque el hielo cubre la escalera.", "Non posso dire meglio: la torre chiude per il ghiaccio sulle scale.", "The keeper will not open it because ice covers the stairs.", "塔は冬に凍るため、開けることができません。", "Башня не может работать зимой из-за льда на лестнице.",
+    "Der Turm kann im Winter nicht öffnen, weil Eis auf der Treppe liegt.", "They had to decline the tour, since the stairs freeze over every December and melt in March.", "No comment was given by the mayor, but ice is why the tower closes.",
+]
+FOREIGN = [
+    "Tornet är stängt på vintern eftersom trapporna är täckta av is och det inte är säkert att gå där.", "Wieża jest zamknięta w zimie, ponieważ na schodach jest lód i nie jest tam bezpiecznie.", "Tòa tháp đóng cửa vào mùa đông vì cầu thang bị đóng băng và không an toàn cho người đi.", "Kule kışın kapalıdır çünkü merdivenler buzla kaplıdır ve bu çok tehlikeli.",
+    "La tour est fermée en hiver parce que les marches sont couvertes de glace.", "A torre fica fechada no inverno porque as escadas estão cobertas de gelo.", "Башня закрыта зимой из-за льда на лестнице.", "塔は冬に階段が凍るため閉まっています。", "Ο πύργος είναι κλειστός τον χειμώνα.",
+]
+
+
+def test_refusals_and_languages_beyond_the_tables():
+    assert [t for t in REFUSALS if pairs.defect(Q, t, NONE) != "refusal"] == []
+    assert [t for t in ANSWERS if pairs.is_refusal(t, Q)] == []
+    assert [t for t in FOREIGN if pairs.defect(Q, t, NONE) != "wrong_language"] == []
+    assert not pairs.is_foreign("Napisz po angielsku o wieży, która jest zamknięta w zimie.", "The tower is closed in winter.")
+
+
+def test_length_is_no_limit():
+    long = "I'm sorry, but I can't help with that. " * 60
+    assert pairs.defect(Q, long.strip(), NONE) == "refusal"
+    asked = "Please list " + ", ".join(f"thing{i}" for i in range(80)) + "."
+    assert pairs.is_refusal("I can't provide " + " ".join(f"thing{i}" for i in range(80)) + ".", asked) and not pairs.is_refusal("I can't provide " + " ".join(f"thing{i}" for i in range(80)) + ".", Q)
+    assert pairs.is_truncated("The tower (see " + "and so on " * 200, NONE)
+
+
+def test_every_copy_comes_from_the_compression():
+    for q in ("Hi?", "Why?", Q, ZH, Q * 40, "ab " * 100_000):
+        for a in (q, q.upper(), q + "\n" + q, "Question: " + q, (q + " ") * 7):
+            assert pairs.is_copy(q, a), (q[:20], a[:20])
+        assert not pairs.is_copy(q, q + " Because of the ice on the stairs.")
+
+
+def test_the_model_learns_what_ends_answers():
+    ends = {("text", "full stop"): (900, 60), ("text", "words"): (20, 900), ("list", "entry"): (300, 40), ("text", "label"): (500, 30)}
+    taught = pairs.Endings(np.zeros(pairs.BUCKETS, dtype=np.int64), np.zeros(pairs.BUCKETS, dtype=np.int64), ends)
+    assert taught.breaks_off("text", "words", "tower") and not taught.breaks_off("text", "full stop", None)
+    unpointed = pairs.Endings(taught.closes, taught.goes_on, {("text", "words"): (900, 60), ("text", "full stop"): (3, 2)})
+    assert not unpointed.breaks_off("text", "words", "tower"), "answers that never have a full stop are whole without one"
+    assert pairs.end_and_cut("a") == (("text", "label"), None) and pairs.end_and_cut("The tower is closed.")[1]
+
+
+def test_unknown_labels_part_a_pair():
+    assert pairs.split_pair("Mentee: a b\nMentor: c d\nMentee: e") == ("a b", " c d\nMentee: e")
+    assert pairs.split_pair("no label here") == ("no label here", None)
