@@ -33,9 +33,14 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchor_hashes(texts: list[str], length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and row of each text's anchors: the runs that are least in some window of ``length`` characters (winnowing)."""
-    width = length - K + 1
-    hashes, owner, _ = joined_windows(texts, K)
+    """Hash and row of each text's anchors: the runs that are least in some window of ``length`` characters (winnowing).
+
+    The runs have five eighths of the wanted length, so that shorter stretches that
+    many texts have (mastheads, menus, licences) bring nobody together.
+    """
+    run = length * 5 // 8
+    width = length - run + 1
+    hashes, owner, _ = joined_windows(texts, run)
     if len(hashes) < width:
         return hashes[:0], owner[:0]
     least = _sliding_min(hashes, width)
@@ -169,7 +174,7 @@ def text_spans(documents: DataFrame, doc_id: str = "doc_id", text: str = "text",
     enough to know that there is a span.
 
     Texts are known by a 128-bit digest; equal texts are one. Candidates meet by
-    anchor (8 bytes for about every 70th character are shuffled, and skewed
+    anchor (24 bytes for about every 38th character are shuffled, and skewed
     anchors are split by adaptive execution); texts move only where a candidate
     partner exists. Texts shorter than ``length`` and null texts share nothing.
     """
