@@ -31,6 +31,18 @@ def p2_counts(spark: SparkSession, d: str) -> DataFrame:
     return overlap.overlap_counts(*_chunk_tables(spark, d), table(spark, d, "pretrain_records"))
 
 
+def p2_links(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.linked_prompts(table(spark, d, "candidates"))
+
+
+def p2_members(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.prompt_members(table(spark, d, "candidates"))
+
+
+def p2_weighted(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.similar_prompts(table(spark, d, "candidates"))
+
+
 def _units(spark: SparkSession, d: str) -> DataFrame:
     records = mixing.pretrain_units(table(spark, d, "pretrain_records"))
     listed = table(spark, d, "sources").select(mixing.unit_name(F.col("source_id")).alias("unit_id")).distinct()
@@ -99,7 +111,7 @@ def p8_shared(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        *(p1_found, p1_counts, p2_found, p2_counts, p3_uses, p3_shares, p4_found, p4_pieces, p5_found, p5_collapsed),
+        *(p1_found, p1_counts, p2_found, p2_counts, p2_links, p2_members, p2_weighted, p3_uses, p3_shares, p4_found, p4_pieces, p5_found, p5_collapsed),
         *(p6_sequences, p6_fill, p7_found, p7_leaks, p7_clean, p8_found, p8_spans, p8_shared),
     )
 }

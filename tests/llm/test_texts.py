@@ -271,6 +271,43 @@ def test_weighted_join_loses_no_pair(spark):
     assert same <= got
 
 
+def test_weighted_products_are_exact(spark, monkeypatch):
+    monkeypatch.setattr(overlap, "HOT_LIST", 7)  # lists of most terms are split
+    rng = random.Random(8)
+    words = ["alpha", "beta", "gamma", "delta", "omega", "sigma"] + [f"w{i}" for i in range(30)]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(1, 12))) for _ in range(40)]
+    texts += [t + rng.choice(["", " end", "s"]) for t in texts for _ in range(2)] + ["", "abc"]
+    df = spark.createDataFrame([(bytes([i % 200, i // 200]), i % 2, t) for i, t in enumerate(texts)], "digest binary, side int, text string")
+    gram = lambda t: {t[k : k + 5] for k in range(len(t) - 4)}
+    for scheme in ("idf", "uniform"):
+        terms = overlap._fit(df, 5, scheme)
+        vectors = []
+        for t in texts:
+            h, _, _, w = overlap._vectors([t], 5, terms, scheme)
+            vectors.append(dict(zip(h.tolist(), w.tolist())))
+        want = {}
+        for i in range(0, len(texts), 2):
+            for j in range(1, len(texts), 2):
+                product = sum(w * vectors[j].get(h, 0.0) for h, w in vectors[i].items())
+                if product >= 0.7:
+                    want[i, j] = (round(product, 6), len(gram(texts[i]) & gram(texts[j])))
+        at = lambda d: d[0] + 200 * d[1]
+        got = {(at(r.digest_0), at(r.digest_1)): (round(r.product, 6), r.shared) for r in overlap.cosine_join(df, 0.7, 5, scheme).collect()}
+        assert got == want and len(want) > 20
+
+
+def test_links_and_members_give_the_pairs(spark):
+    rng = random.Random(12)
+    prompts = [f"question {i % 9} about the {'long ' * (i % 4)}river and the tower" for i in range(60)]
+    data = [(f"id{i:02}", "s:1", rng.choice(["train", "test"]), p) for i, p in enumerate(prompts)]
+    df = spark.createDataFrame(data, "candidate_id string, origin_group_id string, split string, prompt_norm string")
+    of: dict = {}
+    for r in overlap.prompt_members(df).collect():
+        of.setdefault((r.side, r.first), []).append(r.candidate_id)
+    pairs = {tuple(sorted((a, b))) for r in overlap.linked_prompts(df).collect() for a in of["held", r.held_first] for b in of["train", r.train_first]}
+    assert pairs == {(r.key_a, r.key_b) for r in overlap.candidate_overlaps(df).collect()} and pairs
+
+
 # ---- packing
 
 
