@@ -29,10 +29,25 @@ def unit_name(column: Column) -> Column:
 
 
 def text_quality(text: Column) -> Column:
-    """Weight from 0.05 to 1: the share of letters and digits among the visible characters, less for texts under 200 characters."""
+    """Weight from 0.05 to 1 of a text, from what tells prose from noise; null and blank texts have the least.
+
+    The product of: the share of letters and digits among visible characters;
+    how many different words there are for its length (the logarithm of their
+    number over that of all words, which hardly depends on length; texts without
+    blanks between words count pairs of characters); how near its mean line is to
+    full lines (short lines make menus and tables); and its length up to 200 characters.
+    """
     visible = F.regexp_replace(text, r"(?U)\s+", "")
-    share = F.length(F.regexp_replace(visible, r"[^\p{L}\p{N}]", "")) / F.greatest(F.length(visible), F.lit(1))
-    return F.coalesce(F.greatest(F.lit(LEAST_WEIGHT), F.least(F.lit(MOST_WEIGHT), share * F.least(F.lit(1.0), F.length(text) / 200.0))), F.lit(LEAST_WEIGHT))
+    length = F.greatest(F.length(visible), F.lit(1))
+    letters = F.length(F.regexp_replace(visible, r"[^\p{L}\p{N}]", "")) / length
+    words = F.filter(F.split(F.lower(text), r"(?U)\s+"), lambda w: w != "")
+    sparse = F.length(visible) > 12 * F.size(words)
+    words = F.when(sparse, F.regexp_extract_all(visible, F.lit("(..)"), F.lit(1))).otherwise(words)
+    variety = F.least(F.lit(1.0), F.log(F.size(F.array_distinct(words)) + 1.0) / F.greatest(F.log(F.size(words) + 1.0), F.lit(0.5)))
+    lines = F.size(F.filter(F.split(text, "\n"), lambda x: F.trim(x) != ""))
+    fullness = F.least(F.lit(1.0), F.lit(0.5) + F.length(visible) / F.greatest(lines, F.lit(1)) / 80.0)
+    weight = letters * variety * fullness * F.least(F.lit(1.0), F.length(text) / 200.0)
+    return F.greatest(F.lit(LEAST_WEIGHT), F.least(F.lit(MOST_WEIGHT), F.coalesce(weight, F.lit(LEAST_WEIGHT))))
 
 
 def pretrain_units(records: DataFrame) -> DataFrame:
@@ -51,8 +66,8 @@ def pretrain_units(records: DataFrame) -> DataFrame:
 
 def candidate_units(candidates: DataFrame) -> DataFrame:
     """The same of SFT candidates, by bucket; sized by ``valid_targets``, weighted by their share of the rendered tokens. Records without a positive size are left out."""
-    share = F.col("valid_targets") / F.col("rendered_tokens")
-    weight = F.coalesce(F.greatest(F.lit(LEAST_WEIGHT), F.least(F.lit(MOST_WEIGHT), share)), F.lit(LEAST_WEIGHT))
+    share = F.try_divide(F.col("valid_targets"), F.col("rendered_tokens"))
+    weight = F.greatest(F.lit(LEAST_WEIGHT), F.least(F.lit(MOST_WEIGHT), F.coalesce(share, F.lit(LEAST_WEIGHT))))
     rows = candidates.select(F.lit("bucket").alias("unit_kind"), unit_name(F.col("bucket")).alias("unit_id"), F.col("candidate_id").alias("record_key"), F.col("valid_targets").cast("long").alias("size"), weight.alias("weight"))
     return rows.filter("size > 0")
 
@@ -108,10 +123,14 @@ def uses(units: DataFrame, targets: DataFrame, total_size: int | None = None, se
 
 
 def shares(units: DataFrame, targets: DataFrame, total_size: int | None = None, seed: int = 0) -> DataFrame:
-    """``(mix_id, unit_kind, unit_id, target_share, max_repeats, n_records, used_records, most_uses, actual_size, actual_share)`` for every target."""
+    """``(mix_id, unit_kind, unit_id, target_share, max_repeats, n_records, used_records, most_uses, available_size, unused_size, actual_size, actual_share)`` for every target.
+
+    ``unused_size`` is the size of the records that aren't used at all: what a mix
+    leaves behind because the smallest unit sets its size. Units without records have zeros.
+    """
     got = uses(units, targets, total_size, seed).groupBy("mix_id", "unit_kind", "unit_id")
-    got = got.agg(F.count(F.lit(1)).alias("n_records"), F.count_if(F.col("uses") > 0).alias("used_records"), F.max("uses").alias("most_uses"), F.sum(F.col("size") * F.col("uses")).alias("actual_size"))
+    got = got.agg(F.count(F.lit(1)).alias("n_records"), F.count_if(F.col("uses") > 0).alias("used_records"), F.max("uses").alias("most_uses"), F.sum("size").alias("available_size"), F.sum(F.when(F.col("uses") == 0, F.col("size")).otherwise(0)).alias("unused_size"), F.sum(F.col("size") * F.col("uses")).alias("actual_size"))
     want = targets.select("mix_id", "unit_kind", unit_name(F.col("unit_id")).alias("unit_id"), "target_share", "max_repeats")
-    rows = want.join(got, ["mix_id", "unit_kind", "unit_id"], "left").fillna(0, ["n_records", "used_records", "most_uses", "actual_size"])
+    rows = want.join(got, ["mix_id", "unit_kind", "unit_id"], "left").fillna(0, ["n_records", "used_records", "most_uses", "available_size", "unused_size", "actual_size"])
     whole = F.sum("actual_size").over(W.partitionBy("mix_id"))
     return rows.withColumn("actual_share", F.when(whole > 0, F.col("actual_size") / whole).otherwise(F.lit(0.0)))

@@ -18,9 +18,9 @@ from ..functions.arrow import map_columns
 from ..runtime import written
 
 CAPACITY = 768
-#: Items that one task packs; more items are packed in more groups.
+#: About as many items are packed in one task.
 GROUP_ITEMS = 50_000
-#: Sequences of a full group that are filled less than this are opened again and packed anew across groups.
+#: Sequences that are filled less than this are opened again and packed anew across groups.
 REOPEN_BELOW = 0.97
 
 
@@ -115,6 +115,7 @@ def pack_sizes(sizes: DataFrame, capacity: int = CAPACITY, group_items: int = GR
     ``group_items`` items are packed independently, then what is badly filled
     in them is packed anew across groups, so no task holds more than a bounded
     number of items and the room lost doesn't grow with the number of groups.
+    That is the same for any number of groups, one included.
     """
     items = written(sizes.select(F.col("doc_id").cast("long"), F.col("n_tokens").cast("long")).filter("doc_id is not null and n_tokens > 0").distinct())
     full = items.filter(F.col("n_tokens") >= capacity)
@@ -127,15 +128,10 @@ def pack_sizes(sizes: DataFrame, capacity: int = CAPACITY, group_items: int = GR
     rest = items.select("doc_id", F.expr(f"n_tokens div {capacity}").alias("piece_index"), F.expr(f"n_tokens % {capacity}").alias("n_tokens")).filter("n_tokens > 0")
     count = rest.count()
     groups = max(1, -(-count // group_items))
-    packed = _packed(rest, groups, capacity)
-    if groups > 1:
-        packed = written(packed)
-        poor = packed.filter(F.col("used") < REOPEN_BELOW * capacity).select(F.explode("documents").alias("d")).select("d.*")
-        left = poor.count()
-        again = _packed(poor, max(1, -(-left // group_items)), capacity).withColumn("round", F.lit("b"))
-        packed = packed.filter(F.col("used") >= REOPEN_BELOW * capacity).withColumn("round", F.lit("a")).unionByName(again)
-    else:
-        packed = packed.withColumn("round", F.lit("a"))
+    packed = written(_packed(rest, groups, capacity))
+    poor = packed.filter(F.col("used") < REOPEN_BELOW * capacity).select(F.explode("documents").alias("d")).select("d.*")
+    again = _packed(poor, max(1, -(-poor.count() // group_items)), capacity).withColumn("round", F.lit("b"))
+    packed = packed.filter(F.col("used") >= REOPEN_BELOW * capacity).withColumn("round", F.lit("a")).unionByName(again)
     named = packed.select(F.concat_ws("-", "round", F.col("group_id").cast("string"), F.col("bin").cast("string")).alias("sequence_id"), "documents", "used")
     return whole.unionByName(named).withColumn("capacity", F.lit(capacity).cast("long"))
 
@@ -146,6 +142,9 @@ def sequences(documents: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def fill(packed: DataFrame) -> DataFrame:
-    """``(sequences, tokens, room, filled)``: one row that says how well the sequences are filled."""
-    sums = packed.agg(F.count(F.lit(1)).alias("sequences"), F.sum("used").alias("tokens"), F.sum("capacity").alias("room"))
+    """``(sequences, least_sequences, tokens, room, filled)``: one row that says how well the sequences are filled.
+
+    No packing needs fewer than ``least_sequences``, the tokens over the capacity rounded up.
+    """
+    sums = packed.agg(F.count(F.lit(1)).alias("sequences"), F.ceil(F.sum("used") / F.max("capacity")).alias("least_sequences"), F.sum("used").alias("tokens"), F.sum("capacity").alias("room"))
     return sums.withColumn("filled", F.col("tokens") / F.col("room"))

@@ -66,6 +66,16 @@ def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_long(table(spark, d, "pretrain_records"), limit=3000, overlap=200)
 
 
+def p4_joined(spark: SparkSession, d: str) -> DataFrame:
+    """Every text cut and joined again: its digest and whether all pieces keep the limit."""
+    whole = splitting.joined(p4_pieces(spark, d))
+    return whole.select(F.col("piece_of").alias("candidate_id"), F.sha2("text", 256).alias("text_sha256"), (F.col("longest") <= 3000).alias("within_limit"))
+
+
+def p4_boundaries(spark: SparkSession, d: str) -> DataFrame:
+    return p4_pieces(spark, d).groupBy("boundary").agg(F.count(F.lit(1)).alias("pieces"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return formatdup.copy_pairs(table(spark, d, "candidates"))
 
@@ -111,7 +121,7 @@ def p8_shared(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        *(p1_found, p1_counts, p2_found, p2_counts, p2_links, p2_members, p2_weighted, p3_uses, p3_shares, p4_found, p4_pieces, p5_found, p5_collapsed),
+        *(p1_found, p1_counts, p2_found, p2_counts, p2_links, p2_members, p2_weighted, p3_uses, p3_shares, p4_found, p4_pieces, p4_joined, p4_boundaries, p5_found, p5_collapsed),
         *(p6_sequences, p6_fill, p7_found, p7_leaks, p7_clean, p8_found, p8_spans, p8_shared),
     )
 }

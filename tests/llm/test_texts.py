@@ -35,6 +35,31 @@ def test_cuts_fall_on_the_highest_boundary_that_fits():
     assert splitting.pieces(fenced * 2, 25) == [fenced, fenced]
 
 
+def test_markup_is_cut_at_the_outermost_elements():
+    item = lambda k: f"<li>item {k} of the long list</li>"
+    t = "<section><p>" + "a b. " * 8 + "</p></section><section><ul>" + "".join(map(item, range(4))) + "</ul></section>"
+    assert [p[:10] for p in splitting.pieces(t, 160)] == ["<section><", "<section><"]
+    got = splitting.cuts(t, 100)
+    assert {splitting.BOUNDARIES[k] for _, _, k in got[1:]} == {"element"} and all(t[a] == "<" for a, _, _ in got)
+    assert [t[a:b].count("<li>") for a, b, _ in got] == [0, 2, 2]
+
+
+def test_boundaries_are_named():
+    t = "# A\n" + "x y. " * 4 + "\n\n" + "z" * 50 + "\n# B\nend " + "w" * 20
+    assert [splitting.BOUNDARIES[k] for _, _, k in splitting.cuts(t, 30)] == ["section", "block", "character", "section"]
+
+
+def test_no_better_boundary_is_passed_over():
+    """A piece never runs over a boundary of a higher level than the one it is cut at, unless it starts at that boundary."""
+    rng = random.Random(13)
+    for _ in range(200):
+        t = "\n\n".join(" ".join("word" * rng.randint(1, 3) for _ in range(rng.randint(1, 30))) + "." for _ in range(rng.randint(2, 8)))
+        for a, b, k in splitting.cuts(t, 120)[1:]:
+            if splitting.BOUNDARIES[k] in ("word", "clause"):
+                before = t.rfind("\n\n", 0, a)
+                assert t.find("\n\n", a) - before > 120 or t.find("\n\n", a) < 0 and len(t) - before > 120
+
+
 def test_split_table(spark):
     df = spark.createDataFrame([("a", "w " * 40, 1), ("a", "w " * 40, 1), ("b", "short", 2), ("c", None, 3), ("d", "", 4), (None, "z" * 90, 5)], "candidate_id string, text string, piece_index int")
     got = splitting.split_long(df, limit=50, overlap=10)
@@ -324,7 +349,7 @@ def test_sum_of_squares_keeps_the_capacity():
 def test_every_token_is_packed_once(spark):
     sizes = [(i, (i * 37) % 2000) for i in range(300)] + [(7, (7 * 37) % 2000), (900, None), (None, 5)]
     df = spark.createDataFrame(sizes, "doc_id long, n_tokens long")
-    for group in (50, 100_000):
+    for group in (15, 150, 100_000):  # 20 groups, 2 groups, 1 group
         got = packing.pack_sizes(df, 768, group)
         parts = got.select("sequence_id", "used", F.explode("documents").alias("d")).select("sequence_id", "used", "d.*").collect()
         total: dict[int, int] = {}
@@ -336,6 +361,12 @@ def test_every_token_is_packed_once(spark):
     assert packing.pack_sizes(df.limit(0)).count() == 0
 
 
+def test_groups_cost_little_room(spark):
+    df = spark.range(20_000).select(F.col("id").alias("doc_id"), (F.pmod(F.xxhash64("id"), F.lit(400)) + 20).alias("n_tokens"))
+    filled = [packing.fill(packing.pack_sizes(df, 768, group)).first() for group in (1_000, 10_000, 50_000)]
+    assert all(r.least_sequences <= r.sequences and r.filled > 0.99 for r in filled), filled
+
+
 def test_tokens_of_a_public_tokenizer(spark):
     df = spark.createDataFrame([(1, "hello world"), (2, ""), (3, None), (4, "<|endoftext|>")], "doc_id long, text string")
     got = dict(rows(packing.token_sizes(df)))
@@ -361,6 +392,26 @@ def test_shares_and_repeats(spark):
     part = mixing.uses(df, targets, total_size=1000).filter("unit_id = 'small'").agg(F.sum(F.col("uses") * F.col("size"))).first()[0]
     assert part == 200
     assert mixing.uses(df.limit(0), targets).count() == 0
+    left = {r.unit_id: r for r in mixing.shares(df, targets, total_size=1000).collect()}
+    assert left["small"].available_size == 500 and left["small"].unused_size == 300 and left["none"].unused_size == 0
+
+
+def test_shares_miss_by_less_than_a_record(spark):
+    rng = random.Random(3)
+    units = [("source", f"u{k % 3}", f"r{k}", rng.randint(1, 50), rng.random()) for k in range(3000)]
+    df = spark.createDataFrame(units, "unit_kind string, unit_id string, record_key string, size long, weight double")
+    targets = spark.createDataFrame([("m", "source", "u0", 0.61, 4), ("m", "source", "u1", 0.29, 4), ("m", "source", "u2", 0.1, 4)], "mix_id string, unit_kind string, unit_id string, target_share double, max_repeats int")
+    for total in (5_000, 40_000, 100_000):
+        for r in mixing.shares(df, targets, total_size=total).collect():
+            want = min(int(total * r.target_share + 1e-6), 4 * r.available_size)
+            assert want - 50 < r.actual_size <= want and r.most_uses <= 4, r
+
+
+def test_quality_tells_prose_from_noise(spark):
+    prose = "The miller opens the gate at dawn, and the river turns the old wheel until evening falls over the valley. " * 2 + "Nobody in the village remembers a summer without that sound."
+    texts = [prose, "buy now " * 40, "| 1 | 2 |\n" * 40, "!!! ??? ---- " * 30, "ok", "", None, "河水推动旧水车从清晨转到傍晚村里没有人记得没有那种声音的夏天人们在桥边等着磨坊主打开大门然后把谷子搬进去" * 4]
+    got = [r.w for r in spark.createDataFrame(list(enumerate(texts)), "i int, t string").orderBy("i").select(mixing.text_quality(F.col("t")).alias("w")).collect()]
+    assert got[0] > 0.8 and all(w < 0.65 for w in got[1:7]) and got[7] > 0.7 and got[5] == got[6] == mixing.LEAST_WEIGHT, got
 
 
 def test_heavier_records_come_first(spark):
