@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions.arrow import map_columns
 from ..functions.unicode import chunks, distinct_grams, joined_windows
+from ..runtime import written
+from .setjoin import jaccard_join, verified
 
 #: Most characters of patterns in one broadcast automaton; more patterns are searched in several.
 AUTOMATON_CHARS = 4_000_000
@@ -122,7 +124,10 @@ class _Items:
         hashes, owner = distinct_grams(self.texts, width)
         self.who, starts = _segments(hashes, owner)
         self.bits = _simhash(hashes, starts)
-        self.grams = self._sorted(*self._least(hashes, starts))
+        sizes = np.diff(np.append(starts, len(hashes)))
+        self.sizes = sizes
+        self.grams = self._sorted(hashes, np.repeat(np.arange(len(self.who)), sizes))
+        self.known, self.often = np.unique(hashes, return_counts=True)
         self.bytes = [self._sorted(self._byte(self.bits, b), np.arange(len(self.who))) for b in range(8)]
 
     @staticmethod
@@ -135,11 +140,21 @@ class _Items:
         return keys[order], segment[order]
 
     def _least(self, hashes: np.ndarray, starts: np.ndarray):
-        """The least grams of each segment, as in :func:`_prefixes`, and the segment."""
+        """Of each segment's grams that items have, so many of the rarest that an item at the threshold has one of them; and the segment.
+
+        A near item has at least a share ``threshold`` of the segment's grams, so
+        a segment of which fewer are in any item has none.
+        """
         n = np.diff(np.append(starts, len(hashes)))
-        keep = n - np.ceil(self.threshold * n - 1e-9).astype(np.int64) + 1
         segment = np.repeat(np.arange(len(n)), n)
-        kept = np.arange(len(hashes)) - starts[segment] < keep[segment]
+        at = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
+        mine = np.flatnonzero(self.known[at] == hashes)
+        hashes, segment, often = hashes[mine], segment[mine], self.often[at[mine]]
+        count = np.bincount(segment, minlength=len(n))
+        order = np.lexsort((hashes, often, segment))
+        hashes, segment = hashes[order], segment[order]
+        place = np.arange(len(hashes)) - (np.cumsum(count) - count)[segment]
+        kept = place <= (count - np.ceil(self.threshold * n - 1e-9).astype(np.int64))[segment]
         return hashes[kept], segment[kept]
 
     @staticmethod
@@ -158,6 +173,8 @@ class _Items:
             return
         if distance is None:
             pairs = self._meet(*self._least(hashes, starts), self.grams)
+            m, n = np.diff(np.append(starts, len(hashes)))[pairs[0]], self.sizes[pairs[1]]
+            pairs = pairs[:, np.minimum(m, n) >= self.threshold * np.maximum(m, n) - 1e-9]
         else:
             bits = _simhash(hashes, starts)
             pairs = np.concatenate([self._meet(self._byte(bits, b), np.arange(len(who)), self.bytes[b]) for b in range(8)], axis=1)
@@ -220,25 +237,9 @@ def near_items(
 
 
 def _distinct_texts(df: DataFrame, key: str, text: str) -> DataFrame:
-    return df.filter(F.col(text).isNotNull()).groupBy(F.col(text).alias("text")).agg(F.min(F.col(key)).alias("id"))
-
-
-def _verified(pairs: DataFrame, texts: DataFrame, width: int, threshold: float, others: DataFrame | None = None) -> DataFrame:
-    right = texts if others is None else others
-    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(right.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
-
-    def settle(a: list, ta: list, b: list, tb: list) -> dict:
-        out: dict = {"id_a": [], "id_b": [], "jaccard": []}
-        for i, x, j, y in zip(a, ta, b, tb):
-            p, q = ({t[k : k + width] for k in range(len(t) - width + 1)} for t in (x, y))
-            union = len(p | q)
-            if union and len(p & q) >= threshold * union - 1e-12:
-                for name, value in zip(out, (i, j, len(p & q) / union)):
-                    out[name].append(value)
-        return out
-
-    kind = texts.schema["id"].dataType.simpleString()
-    return map_columns(both.select("a", "ta", "b", "tb"), settle, f"id_a {kind}, id_b {kind}, jaccard double")
+    """``(id, text)``: each text once, by its digest, with the smallest key that has it."""
+    rows = df.filter(F.col(text).isNotNull()).select(F.col(key).alias("id"), F.col(text).alias("text"))
+    return rows.groupBy(F.unhex(F.substring(F.sha2("text", 256), 1, 32)).alias("digest")).agg(F.min("id").alias("id"), F.first("text").alias("text")).select("id", "text")
 
 
 def _banded(texts: DataFrame, signature, bands: int) -> DataFrame:
@@ -293,8 +294,8 @@ def minhash_pairs(df: DataFrame, key: str, text: str, width: int = 5, permutatio
             out[:, b] = mix
         return who, out.view(np.int64)
 
-    texts = _distinct_texts(df, key, text)
-    return _verified(_banded(texts, signature, bands), texts, width, threshold)
+    texts = written(_distinct_texts(df, key, text))
+    return verified(_banded(texts, signature, bands), texts, texts, width, threshold)
 
 
 def simhash_pairs(df: DataFrame, key: str, text: str, width: int = 5, bands: int = 8, threshold: float = 0.8) -> DataFrame:
@@ -311,43 +312,15 @@ def simhash_pairs(df: DataFrame, key: str, text: str, width: int = 5, bands: int
         parts = np.stack([((bits >> np.uint64(step * b)) & np.uint64((1 << step) - 1)) | (np.uint64(b) << np.uint64(56)) for b in range(bands)], axis=1) if len(who) else np.empty((0, bands), dtype=np.uint64)
         return who, parts.view(np.int64)
 
-    texts = _distinct_texts(df, key, text)
-    return _verified(_banded(texts, signature, bands), texts, width, threshold)
-
-
-def _prefixes(texts: DataFrame, width: int, threshold: float) -> DataFrame:
-    """``(gram, id, n)``: of each text's n grams so many of the least that any two texts at the threshold have one of them in common."""
-
-    def prefixes(ids: list, values: list) -> dict:
-        out: dict = {"gram": [], "id": [], "n": []}
-        for first, last in chunks(values):
-            hashes, owner = distinct_grams(values[first:last], width)
-            who, starts = _segments(hashes, owner)
-            for r, a, b in zip(who.tolist(), starts.tolist(), [*starts.tolist()[1:], len(hashes)]):
-                n = b - a
-                kept = hashes[a : a + n - int(np.ceil(threshold * n - 1e-9)) + 1]
-                out["gram"].append(kept.view(np.int64))
-                out["id"] += [ids[first + r]] * len(kept)
-                out["n"] += [n] * len(kept)
-        return {"gram": np.concatenate(out["gram"]) if out["gram"] else [], "id": out["id"], "n": out["n"]}
-
-    kind = texts.schema["id"].dataType.simpleString()
-    return map_columns(texts.select("id", "text"), prefixes, f"gram long, id {kind}, n long")
+    texts = written(_distinct_texts(df, key, text))
+    return verified(_banded(texts, signature, bands), texts, texts, width, threshold)
 
 
 def gram_pairs_across(left: DataFrame, right: DataFrame, width: int = 5, threshold: float = 0.8) -> DataFrame:
     """``(id_a, id_b, jaccard)`` of all texts of ``left`` and ``right``, both ``(id, text)`` with unique ids, with an exact Jaccard of at least ``threshold``."""
-    a = _prefixes(left, width, threshold).select("gram", F.col("id").alias("a"), F.col("n").alias("na"))
-    b = _prefixes(right, width, threshold).select("gram", F.col("id").alias("b"), F.col("n").alias("nb"))
-    near = a.join(b, "gram").filter(F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-9).select("a", "b").distinct()
-    return _verified(near, left, width, threshold, right)
+    return jaccard_join(left, right, width, threshold)
 
 
 def gram_pairs(df: DataFrame, key: str, text: str, width: int = 5, threshold: float = 0.8) -> DataFrame:
-    """``(id_a, id_b, jaccard)`` of all different texts with an exact Jaccard of at least ``threshold``: prefix-filtered inverted lists."""
-
-    texts = _distinct_texts(df, key, text)
-    posted = _prefixes(texts, width, threshold)
-    a, b = posted.select("gram", F.col("id").alias("a"), F.col("n").alias("na")), posted.select("gram", F.col("id").alias("b"), F.col("n").alias("nb"))
-    near = a.join(b, "gram").filter((F.col("a") < F.col("b")) & (F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-9)).select("a", "b").distinct()
-    return _verified(near, texts, width, threshold)
+    """``(id_a, id_b, jaccard)`` of all different texts with an exact Jaccard of at least ``threshold``; ids are the smallest of each text."""
+    return jaccard_join(written(_distinct_texts(df, key, text)), None, width, threshold)
