@@ -6,6 +6,12 @@ match wins. A factor, extended at its boundary, of at least the wanted length
 is a shared span. Which documents have to be factored against which blocks is
 settled first and without loss by winnowed anchors: two texts with ``length``
 consecutive characters in common select the same anchor inside them.
+
+Where all pairs are wanted, all texts with a common anchor meet. Where only the
+shared part of each document is, every window of ``length`` characters around a
+common anchor is looked up, and a text is factored only against the first text
+that has a window of its own: the blocks are as many as there are passages, and
+a passage that n texts have costs n factorings, not n squared.
 """
 
 from __future__ import annotations
@@ -166,12 +172,67 @@ def _texts(documents: DataFrame, doc_id: str, text: str, length: int) -> DataFra
     return rows.withColumn("digest", F.unhex(F.substring(F.sha2("text", 256), 1, 32)))
 
 
-def text_spans(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = 200, both_ways: bool = True) -> DataFrame:
+def _anchors(rows: DataFrame, length: int) -> DataFrame:
+    """``(anchor, digest)`` of every text, each once a text; written to the shared folder."""
+
+    def choose(digests: list, texts: list) -> dict:
+        hashes, keys = [np.empty(0, dtype=np.int64)], []
+        for a, b in chunks(texts):
+            found, owner = anchor_hashes(texts[a:b], length)
+            hashes.append(found.view(np.int64))
+            keys += [digests[a + k] for k in owner.tolist()]
+        return {"anchor": np.concatenate(hashes), "digest": keys}
+
+    return written(map_columns(rows.select("digest", "text"), choose, "anchor long, digest binary").distinct())
+
+
+def _all_pairs(anchors: DataFrame) -> DataFrame:
+    """Every two texts with a common anchor."""
+    a, b = anchors.select("anchor", F.col("digest").alias("digest_a")), anchors.select("anchor", F.col("digest").alias("digest_b"))
+    return a.join(b, "anchor").filter("digest_a < digest_b").select("digest_a", "digest_b").distinct()
+
+
+def anchored_windows(text: str, anchors: list[int], length: int) -> np.ndarray:
+    """Hashes of the windows of ``length`` characters that hold one of the anchors, each once."""
+    run = length * 5 // 8
+    prefix = prefix_sums(points(text))
+    hashes = window_hashes(prefix, run)
+    at = np.flatnonzero(np.isin(hashes, np.array(anchors, dtype=np.int64).view(np.uint64)))
+    marks = np.zeros(len(text) + 2, dtype=np.int64)
+    np.add.at(marks, np.maximum(0, at - (length - run)), 1)
+    np.add.at(marks, at + 1, -1)
+    whole = window_hashes(prefix, length)
+    return np.unique(whole[np.cumsum(marks)[: len(whole)] > 0])
+
+
+def _first_pairs(rows: DataFrame, anchors: DataFrame, length: int) -> DataFrame:
+    """For each text and each of its windows that another text has, the first text with that window (for the first, the last).
+
+    Windows are counted with map-side combine and joined to one row each, so a
+    window of any number of texts is never gathered.
+    """
+    shared = anchors.groupBy("anchor").agg(F.min("digest").alias("x"), F.max("digest").alias("y")).filter("x <> y").select("anchor")
+    of = anchors.join(shared, "anchor").groupBy("digest").agg(F.collect_list("anchor").alias("anchors"))
+
+    def windows(digests: list, texts: list, lists: list) -> dict:
+        found = [anchored_windows(t, own, length) for t, own in zip(texts, lists)]
+        return {"w": np.concatenate([np.empty(0, dtype=np.uint64), *found]).view(np.int64), "digest": [d for d, f in zip(digests, found) for _ in range(len(f))]}
+
+    texts = rows.select("digest", "text").dropDuplicates(["digest"]).join(of, "digest")
+    held = written(map_columns(texts.select("digest", "text", "anchors"), windows, "w long, digest binary"))
+    ends = held.groupBy("w").agg(F.min("digest").alias("first"), F.max("digest").alias("last")).filter("first <> last")
+    links = held.join(ends, "w").select("digest", F.when(F.col("digest") != F.col("first"), F.col("first")).otherwise(F.col("last")).alias("other")).distinct()
+    return links.select(F.least("digest", "other").alias("digest_a"), F.greatest("digest", "other").alias("digest_b")).distinct()
+
+
+def text_spans(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = 200, both_ways: bool = True, all_pairs: bool = True) -> DataFrame:
     """``(digest_a, digest_b, start_a, start_b, n_chars)``: the shared spans of every two different texts, digest_a < digest_b.
 
     Both texts are parsed, each against the other, so that every shared character
     of either is in a span; with ``both_ways`` off only the second is, which is
-    enough to know that there is a span.
+    enough to know that there is a span. With ``all_pairs`` off each text is
+    factored only against the first texts that have what it shares: every shared
+    character of every text is still in a span, of which it has few.
 
     Texts are known by a 128-bit digest; equal texts are one. Candidates meet by
     anchor (24 bytes for about every 38th character are shuffled, and skewed
@@ -181,18 +242,8 @@ def text_spans(documents: DataFrame, doc_id: str = "doc_id", text: str = "text",
     if length < 2 * K:
         raise ValueError(f"spans of at least {2 * K} characters")
     rows = _texts(documents, doc_id, text, length)
-
-    def choose(digests: list, texts: list) -> dict:
-        hashes, keys = [], []
-        for a, b in chunks(texts):
-            found, owner = anchor_hashes(texts[a:b], length)
-            hashes.append(found.view(np.int64))
-            keys += [digests[a + k] for k in owner.tolist()]
-        return {"anchor": np.concatenate(hashes), "digest": keys}
-
-    anchors = map_columns(rows.select("digest", "text"), choose, "anchor long, digest binary")
-    a, b = anchors.select("anchor", F.col("digest").alias("digest_a")), anchors.select("anchor", F.col("digest").alias("digest_b"))
-    near = written(a.join(b, "anchor").filter("digest_a < digest_b").select("digest_a", "digest_b").distinct())
+    anchors = _anchors(rows, length)
+    near = written(_all_pairs(anchors) if all_pairs else _first_pairs(rows, anchors, length))
     wanted = near.select(F.explode(F.array("digest_a", "digest_b")).alias("digest")).distinct()
     texts = written(rows.select("digest", "text").join(wanted, "digest", "left_semi").dropDuplicates(["digest"]))
     both = near.join(texts.select(F.col("digest").alias("digest_b"), F.col("text").alias("text_b")), "digest_b")
@@ -243,10 +294,12 @@ def spans(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", leng
 def shared_share(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = 200) -> DataFrame:
     """``(doc_id, n_chars, shared_chars, shared_share)`` for every document with a text: how much of it stands elsewhere too.
 
+    Linear in the texts that have a passage; see :func:`text_spans` without all pairs.
+
     Overlapping spans count once; a text that several documents have is shared as
     a whole. Documents without a shared span have 0; null and empty texts are left out.
     """
-    found = text_spans(documents, doc_id, text, length)
+    found = text_spans(documents, doc_id, text, length, all_pairs=False)
     parts = found.select("digest_a", "start_a", "n_chars").unionByName(found.select(F.col("digest_b").alias("digest_a"), F.col("start_b").alias("start_a"), "n_chars"))
     parts = parts.select(F.col("digest_a").alias("digest"), F.col("start_a").alias("s"), (F.col("start_a") + F.col("n_chars")).alias("e"))
     parts = parts.groupBy("digest", "s").agg(F.max("e").alias("e"))

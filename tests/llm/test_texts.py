@@ -217,6 +217,24 @@ def test_shared_spans_against_brute_force(spark):
     assert spans.shared_pairs(df.limit(0)).count() == 0
 
 
+def test_a_passage_of_many_texts_costs_a_link_each(spark):
+    rng = random.Random(21)
+    letters = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    hot, tail = letters(400), letters(230)
+    docs = [letters(rng.randint(0, 150)) + hot[rng.choice([0, 0, 0, 60, 150]) :] + rng.choice(["", "", tail]) + letters(rng.randint(0, 150)) for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    rows_ = spans._texts(df, "doc_id", "text", 200)
+    links = spans._first_pairs(rows_, spans._anchors(rows_, 200), 200).count()
+    assert 299 <= links <= 8 * 300, links
+    count: dict[str, set[int]] = {}
+    for i, t in enumerate(docs):
+        for k in range(len(t) - 199):
+            count.setdefault(t[k : k + 200], set()).add(i)
+    share = {r.doc_id: r.shared_chars for r in spans.shared_share(df).collect()}
+    for i, t in enumerate(docs):
+        assert share[i] == len({c for k in range(len(t) - 199) if len(count[t[k : k + 200]]) > 1 for c in range(k, k + 200)}), i
+
+
 def test_parse_finds_spans_that_factors_part():
     a, b, c = ("".join(random.Random(k).choice("abcdef") for _ in range(150)) for k in (1, 2, 3))
     ref = a + b + "|" + b + c * 2
