@@ -93,8 +93,8 @@ def word_ngrams(w: Column, n: int) -> Column:
 
 
 def repetition_penalty(t: Column, n: int = 3, cap: float = 0.5) -> Column:
-    """Penalty for repeated word n-grams, at most ``cap``."""
-    grams = word_ngrams(F.regexp_extract_all(F.lower(t), F.lit(r"([a-z0-9]+)"), 1), n)
+    """Penalty for repeated n-grams of words and marks, of any script, at most ``cap``."""
+    grams = word_ngrams(F.regexp_extract_all(F.lower(t), F.lit(r"([\p{L}\p{N}_]+|[^\p{L}\p{N}_\p{Z}\s])"), 1), n)
     total = F.size(grams)
     return F.when(total > 0, F.least(F.lit(cap), (total - F.size(F.array_distinct(grams))) * cap * 2 / total)).otherwise(F.lit(0.0))
 
@@ -286,14 +286,6 @@ def truthy(t: Column) -> Column:
     return F.lower(F.trim(t)).isin("1", "true", "yes", "y", "vendor")
 
 
-def in_vendor_path(path: Column, names: tuple[str, ...] = ("vendor", "third_party", "node_modules", "dist", "build")) -> Column:
-    return F.arrays_overlap(F.split(F.lower(path), r"[\\/]+"), F.array(*map(F.lit, names)))
-
-
 def language_name(t: Column) -> Column:
     low = F.lower(F.trim(t))
     return F.when(low == "c++", "cpp").when(low == "c#", "csharp").otherwise(low)
-
-
-def first_present(*columns: Column) -> Column:
-    return F.coalesce(*columns)

@@ -74,3 +74,63 @@ def decisions(df: DataFrame, key: str) -> DataFrame:
     """``(key, pos, context_size, role, content)``: one row for each assistant message, with the size of what precedes it."""
     rows = df.select(key, F.posexplode("conv").alias("pos", "m")).filter("m.role = 'assistant'")
     return rows.select(key, "pos", F.col("pos").alias("context_size"), "m.content")
+
+
+#: Other names of the four roles (fixed values).
+ROLE_NAMES = {"human": "user", "prompter": "user", "gpt": "assistant", "bot": "assistant", "function": "tool", "observation": "tool"}
+
+
+def message_fault(m: Column) -> Column:
+    """Why a message can't be made canonical, or null: the first of role, tools, tool_calls (no list of JSON), then what stands on the wrong role, then no content."""
+    role = F.lower(F.trim(m["role"]))
+    for name, kind in ROLE_NAMES.items():
+        role = F.when(role == name, kind).otherwise(role)
+    blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
+    listed = lambda c: blank(c) | (F.coalesce(F.json_array_length(c), F.lit(0)) > 0)
+    return (
+        F.when(role.isNull() | ~role.isin("system", "user", "assistant", "tool"), "role")
+        .when(~listed(m["tools"]), "tools_json")
+        .when(~listed(m["tool_calls"]), "tool_calls_json")
+        .when(~blank(m["tools"]) & (role != "system"), "tools_role")
+        .when(~blank(m["tool_calls"]) & (role != "assistant"), "tool_calls_role")
+        .when(~blank(m["reasoning_content"]) & (role != "assistant"), "reasoning_role")
+        .when((role != "assistant") & blank(m["content"]), "empty")
+        .when((role == "assistant") & blank(m["content"]) & blank(m["reasoning_content"]) & blank(m["tool_calls"]), "unsupervised")
+    )
+
+
+def turn_fault(conv: Column) -> Column:
+    """The first fault of a conversation's turns, or null.
+
+    A system message stands first only; then a user message; every turn (up to
+    the next user message) has an assistant; tool calls need tools in the system
+    message, each call is answered by one tool message before the assistant
+    speaks again or the turn ends, and no tool message comes without a call.
+    """
+    calls = lambda m: F.coalesce(F.json_array_length(m["tool_calls"]), F.lit(0))
+    first = F.element_at(conv, 1)
+    body = F.when(first["role"] == "system", F.slice(conv, 2, F.greatest(F.size(conv), F.lit(1)))).otherwise(conv)
+    tools = F.coalesce((first["role"] == "system") & (F.coalesce(F.json_array_length(first["tools"]), F.lit(0)) > 0), F.lit(False))
+    state = lambda pending, heads, fault: F.struct(pending.cast("int").alias("pending"), heads.cast("int").alias("heads"), fault.cast("string").alias("fault"))
+    start = state(F.lit(0), F.lit(-1), F.lit(None))
+    ended = lambda acc: F.when(acc["heads"] == 0, "no_assistant").when(acc["pending"] > 0, "unclosed_call")
+
+    def step(acc: Column, m: Column) -> Column:
+        role = m["role"]
+        fault = (
+            F.when(role == "user", ended(acc))
+            .when((role == "assistant") & (acc["pending"] > 0), "open_call")
+            .when((role == "assistant") & (calls(m) > 0) & ~tools, "no_tools")
+            .when((role == "tool") & (acc["pending"] <= 0), "orphan_tool")
+        )
+        pending = F.when(role == "user", 0).when(role == "assistant", calls(m)).when(role == "tool", acc["pending"] - 1).otherwise(acc["pending"])
+        heads = F.when(role == "user", 0).when(role == "assistant", acc["heads"] + 1).otherwise(acc["heads"])
+        return state(pending, heads, F.coalesce(acc["fault"], fault))
+
+    walked = F.aggregate(body, start, step, lambda acc: F.coalesce(acc["fault"], ended(acc)))
+    return (
+        F.when(conv.isNull() | (F.size(conv) == 0), "empty")
+        .when(F.exists(body, lambda m: m["role"] == "system"), "system_position")
+        .when((F.size(body) == 0) | (F.element_at(F.transform(body, lambda m: m["role"]), 1) != "user"), "starts_without_user")
+        .otherwise(walked)
+    )

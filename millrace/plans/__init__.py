@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("text", "corpus", "metrics", "conversations", "audit")
+MODULES = ("text", "corpus", "metrics", "conversations", "audit", "records", "scoring")
 
 
 def load() -> None:

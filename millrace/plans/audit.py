@@ -222,8 +222,3 @@ def j8_positional_zip(spark, d):
     p = table(spark, d, "pretrain_records").select("shard", "line_number").distinct()
     a, b = p.select("shard", F.col("line_number").alias("k"), F.lit(1).alias("a")), p.select("shard", (F.col("line_number") + 1).alias("k"), F.lit(1).alias("b"))
     return a.join(b, ["shard", "k"], "full").groupBy("shard").agg(F.count_if(F.col("b").isNull()).alias("only_data"), F.count_if(F.col("a").isNull()).alias("only_sidecar"), F.count_if(F.col("a").isNotNull() & F.col("b").isNotNull()).alias("both_sides"))
-
-
-@query("""SELECT record_id, bool_or(contains(text, '<assistant>')) AS marked FROM raw_pairs GROUP BY record_id""")
-def f10_source_adapter(spark, d):
-    return table(spark, d, "raw_pairs").groupBy("record_id").agg(F.bool_or(F.contains("text", F.lit("<assistant>"))).alias("marked"))

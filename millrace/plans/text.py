@@ -121,7 +121,7 @@ def t19_repetition_ratio(spark, d):
     return table(spark, d, "eval_reference").filter("length(normalized_prompt) >= 4").select("item_id", X.repetition_ratio(F.col("normalized_prompt")).alias("ratio"))
 
 
-@query("""WITH w AS (SELECT item_id, regexp_extract_all(lower(normalized_prompt),'([a-z0-9]+)',1) AS w FROM eval_reference),
+@query("""WITH w AS (SELECT item_id, regexp_extract_all(lower(normalized_prompt),'([\\p{L}\\p{N}_]+|[^\\p{L}\\p{N}_\\p{Z}\\s])',1) AS w FROM eval_reference),
  g AS (SELECT item_id, list_transform(range(1, len(w)-1), lambda i: array_to_string(w[i:i+2],' ')) AS g FROM w)
  SELECT item_id, CASE WHEN len(g)>0 THEN least(0.5, (len(g)-len(list_distinct(g)))*0.5*2/len(g))::DOUBLE ELSE 0.0::DOUBLE END AS penalty FROM g""")
 def t20_repetition_penalty(spark, d):
