@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .functions import text as X
 from .plans import load
 from .plans.registry import QUERIES
+from .runtime import release
 from .sources import files
 
 
@@ -55,6 +56,7 @@ def main() -> None:
     else:
         result = QUERIES[args.name](spark, args.directory)
         files.write_new(result, args.output) if args.output else result.show(truncate=False)
+    release(spark)
 
 
 if __name__ == "__main__":

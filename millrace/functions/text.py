@@ -44,11 +44,6 @@ def word_chars(t: Column) -> Column:
     return F.regexp_replace(F.replace(F.lower(t), F.lit("ß"), F.lit("ss")), r"[^\p{L}\p{N}_]", "")
 
 
-def filter_then_lower(t: Column) -> Column:
-    """N5: letters and digits first, then lower case."""
-    return F.lower(F.regexp_replace(t, r"[^\p{L}\p{N}]", ""))
-
-
 def alnum_casefold(t: Column) -> Column:
     """N6: case-folded letters and digits."""
     return F.regexp_replace(F.replace(F.lower(t), F.lit("ß"), F.lit("ss")), r"[^\p{L}\p{N}]", "")
@@ -226,10 +221,6 @@ def sentence_count(t: Column) -> Column:
     return F.size(F.filter(F.split(t, r"[.!?。！？]+"), lambda s: F.trim(s) != ""))
 
 
-def paragraph_count(t: Column) -> Column:
-    return F.size(F.filter(F.split(t, r"\n[ \t]*\n"), lambda s: F.trim(F.regexp_replace(s, r"\s+", " ")) != ""))
-
-
 def bullet_count(t: Column) -> Column:
     return count_of(t, r"(?m)^[ \t]*[-*•][ \t]+")
 
@@ -238,10 +229,6 @@ def list_item_count(t: Column) -> Column:
     return count_of(t, r"(?m)^[ \t]*(?:[-*•]|[0-9]+[.)、])[ \t]*")
 
 
-def highlighted_count(t: Column) -> Column:
-    return count_of(t, r"\*\*[^*\n]+\*\*") + count_of(F.regexp_replace(t, r"\*\*[^*\n]+\*\*", ""), r"\*[^*\n]+\*")
-
-
 def parse_choice(t: Column) -> Column:
     """The one answer letter: a bare letter, or the only distinct letter that stands alone."""
     strict = F.regexp_extract(F.trim(t), r"^\(?([A-D])\)?\.?$", 1)

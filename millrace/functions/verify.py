@@ -62,7 +62,7 @@ def _json_ok(text: str) -> bool:
 
 
 def _quoted(prompt: str) -> list[str]:
-    return re.findall(r"[\"“']([^\"”']{1,80})[\"”']", prompt)
+    return re.findall(r"[\"“']([^\"”']+)[\"”']", prompt)
 
 
 #: Families of constraints: what in the instruction asks for it, and whether an answer keeps it.
@@ -80,7 +80,7 @@ CONSTRAINTS: dict[str, tuple[re.Pattern, Callable[[str, str], bool]]] = {
     "placeholder": (re.compile(r"\bplaceholders?\b|square brackets", re.I), lambda p, a: counted("placeholder", a) > 0),
     "highlight": (re.compile(r"\bhighlight", re.I), lambda p, a: bool(re.search(r"\*[^*\n]+\*", a))),
     "two_responses": (re.compile(r"\btwo different (?:responses|answers)\b", re.I), lambda p, a: len([x for x in a.split("******") if x.strip()]) == 2),
-    "repeat_prompt": (re.compile(r"\brepeat the (?:request|prompt|question)\b", re.I), lambda p, a: bool(p) and a.strip().startswith(p.strip().split("\n")[0][:40])),
+    "repeat_prompt": (re.compile(r"\brepeat the (?:request|prompt|question)\b", re.I), lambda p, a: bool(p) and a.strip().startswith(p.strip().split("\n")[0])),
     "one_label": (re.compile(r"\bone (?:label|word) only\b|\bonly one word\b", re.I), lambda p, a: len(a.split()) == 1),
     "options": (re.compile(r"\banswer with (?:one of|exactly one of)\b|\bmy answer is (?:yes|no|maybe)\b", re.I), lambda p, a: any(q.lower() == a.strip().rstrip(".").lower() for q in _quoted(p)) or bool(re.search(r"my answer is (?:yes|no|maybe)", a, re.I))),
     "first_word": (re.compile(r"\b(?:first word|start(?:s)? with the word|begin with the word)\b", re.I), lambda p, a: any(a.strip().lower().startswith(q.lower()) for q in _quoted(p)[:1])),
@@ -122,15 +122,15 @@ def arithmetic(text: str | None) -> float | None:
             return node.value
         if isinstance(node, ast.BinOp) and type(node.op) in _OPS:
             a, b = value(node.left), value(node.right)
-            if isinstance(node.op, ast.Pow) and (abs(b) > 64 or abs(a) > 1e6):
-                raise ValueError("power too large")
+            if isinstance(node.op, ast.Pow):  # in floating point: what has no finite value overflows at once
+                a, b = float(a), float(b)
             return _OPS[type(node.op)](a, b)
         if isinstance(node, ast.UnaryOp) and type(node.op) in _OPS:
             return _OPS[type(node.op)](value(node.operand))
         raise ValueError("not arithmetic")
 
     try:
-        if not text or len(text) > 400:
+        if not text:
             return None
         return float(value(ast.parse(text.replace("^", "**").replace("×", "*").replace("÷", "/").strip(), mode="eval").body))
     except (ValueError, SyntaxError, ZeroDivisionError, OverflowError, TypeError, RecursionError, MemoryError):

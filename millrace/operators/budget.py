@@ -17,18 +17,13 @@ def largest_remainder(df: DataFrame, total: int | Column, weight: str, name: str
     return rows.withColumn(out, F.col("_f") + F.when(rank <= F.col("_left"), 1).otherwise(0)).drop("_x", "_f", "_left")
 
 
-def floor_quotas(df: DataFrame, total: int, weight: str, name: str, out: str = "quota") -> DataFrame:
+def floor_quotas(df: DataFrame, total: int, weight: str, name: str, out: str = "quota", by: list[str] | None = None) -> DataFrame:
     """Floors; the last by name gets what is left. For small tables."""
-    w = W.partitionBy(F.lit(0))
+    w = W.partitionBy(*(by or [F.lit(0)]))
     rows = df.withColumn("_f", F.floor(F.lit(total) * F.col(weight) + 1e-9).cast("long")).withColumn("_last", F.max(name).over(w)).withColumn("_sum", F.sum("_f").over(w))
     return rows.withColumn(out, F.col("_f") + F.when(F.col(name) == F.col("_last"), F.lit(total) - F.col("_sum")).otherwise(0)).drop("_f", "_last", "_sum")
 
 
-def running_before(size: str, by: list[str], *order: Column, bands: int = 1024) -> Column:
-    """Sum of the sizes before each row, in order, by group (a plain window; see :func:`take_budget` for groups of any size)."""
-    return F.coalesce(F.sum(size).over(W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-
-
 def take_budget(df: DataFrame, size: str, quota: int | Column, by: list[str], digest: Column) -> DataFrame:
     """Rows taken in hash order until the sum before them reaches the quota (the last may overshoot); adds ``before``.
 

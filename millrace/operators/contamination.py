@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.arrow import map_columns
 from ..functions.unicode import chunks, distinct_grams, joined_windows
 from ..runtime import written
-from .setjoin import jaccard_join, verified
+from .setjoin import jaccard_join, keyed, verified
 
 #: Most characters of patterns in one broadcast automaton; more patterns are searched in several.
 AUTOMATON_CHARS = 4_000_000
@@ -243,9 +243,7 @@ def _distinct_texts(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def _banded(texts: DataFrame, signature, bands: int) -> DataFrame:
-    """Pairs a < b of ids that share a band; bands met by one id only never pair."""
-    kind = texts.schema["id"].dataType.simpleString()
-
+    """Pairs a < b of keys that share a band; bands met by one only never pair."""
     def band(ids: list, values: list) -> dict:
         keys, owners = [], []
         for first, last in chunks(values):
@@ -254,10 +252,14 @@ def _banded(texts: DataFrame, signature, bands: int) -> DataFrame:
             owners += [ids[first + r] for r in np.repeat(rows, bands).tolist()]
         return {"band": np.concatenate(keys), "id": owners}
 
-    posted = map_columns(texts.select("id", "text"), band, f"band long, id {kind}")
+    posted = map_columns(texts.select("key", "text"), band, "band long, id long")
     return posted.select("band", F.col("id").alias("a")).join(posted.select("band", F.col("id").alias("b")), "band").filter("a < b").select("a", "b").distinct()
 
 
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.filter("id_a <> id_b").select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"), "jaccard").distinct()
+
+
 def _segments(values: np.ndarray, owner: np.ndarray):
     starts = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(owner) else np.empty(0, dtype=np.int64)
     return owner[starts], starts
@@ -294,8 +296,7 @@ def minhash_pairs(df: DataFrame, key: str, text: str, width: int = 5, permutatio
             out[:, b] = mix
         return who, out.view(np.int64)
 
-    texts = written(_distinct_texts(df, key, text))
-    return verified(_banded(texts, signature, bands), texts, texts, width, threshold)
+    return _ordered(verified(_banded(texts := keyed(written(_distinct_texts(df, key, text))), signature, bands), texts, texts, width, threshold))
 
 
 def simhash_pairs(df: DataFrame, key: str, text: str, width: int = 5, bands: int = 8, threshold: float = 0.8) -> DataFrame:
@@ -312,8 +313,7 @@ def simhash_pairs(df: DataFrame, key: str, text: str, width: int = 5, bands: int
         parts = np.stack([((bits >> np.uint64(step * b)) & np.uint64((1 << step) - 1)) | (np.uint64(b) << np.uint64(56)) for b in range(bands)], axis=1) if len(who) else np.empty((0, bands), dtype=np.uint64)
         return who, parts.view(np.int64)
 
-    texts = written(_distinct_texts(df, key, text))
-    return verified(_banded(texts, signature, bands), texts, texts, width, threshold)
+    return _ordered(verified(_banded(texts := keyed(written(_distinct_texts(df, key, text))), signature, bands), texts, texts, width, threshold))
 
 
 def gram_pairs_across(left: DataFrame, right: DataFrame, width: int = 5, threshold: float = 0.8) -> DataFrame:

@@ -24,6 +24,11 @@ _SHIFT = np.uint64(64 - 19)
 _WORDS = 4
 
 
+def keyed(texts: DataFrame) -> DataFrame:
+    """``(key, id, text)``: 64 bits stand for the id, whatever its size, wherever rows are shuffled."""
+    return texts.select(F.xxhash64("id").alias("key"), "id", "text")
+
+
 def _slots(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> _SHIFT).astype(np.int64)
 
@@ -45,10 +50,11 @@ def _frequencies(texts: DataFrame, width: int) -> np.ndarray:
 
 
 def _listed(texts: DataFrame, known, width: int, threshold: float) -> DataFrame:
-    """``(gram, parts, id, n, place)``: the rarest grams of each text, as many as the threshold needs; parts is in how many the gram's list is split."""
+    """``(gram, parts, key, n, place)``: the rarest grams of each text, as many as the threshold needs; parts is in how many the gram's list is split."""
 
-    def post(ids: list, values: list) -> dict:
-        out: dict = {name: [np.empty(0, dtype=np.int64)] for name in ("gram", "parts", "n", "place")} | {"id": []}
+    def post(keys: list, values: list) -> dict:
+        out: dict = {name: [np.empty(0, dtype=np.int64)] for name in ("gram", "parts", "n", "place", "key")}
+        every = np.array(keys, dtype=np.int64)
         for a, b in chunks(values):
             hashes, owner = distinct_grams(values[a:b], width)
             often = known.value[_slots(hashes)]
@@ -61,31 +67,32 @@ def _listed(texts: DataFrame, known, width: int, threshold: float) -> DataFrame:
             out["parts"].append(often[keep] // HOT_LIST + 1)
             out["n"].append(size[owner[keep]])
             out["place"].append(place[keep])
-            out["id"] += [ids[a + r] for r in owner[keep].tolist()]
-        return {k: v if k == "id" else np.concatenate(v) for k, v in out.items()}
+            out["key"].append(every[a:b][owner[keep]])
+        return {k: np.concatenate(v) for k, v in out.items()}
 
-    kind = texts.schema["id"].dataType.simpleString()
-    return map_columns(texts.select("id", "text"), post, f"gram long, parts long, id {kind}, n long, place long")
+    return map_columns(texts.select("key", "text"), post, "gram long, parts int, key long, n int, place int")
 
 
 def _sketches(texts: DataFrame, width: int, side: str) -> DataFrame:
     """Parity sketches: each gram flips a bit, so two differ in no more bits than the sets do in grams."""
 
-    def sketch(ids: list, values: list) -> dict:
+    def sketch(keys: list, values: list) -> dict:
         flips = np.zeros((len(values), _WORDS * 64), dtype=np.int64)
         for a, b in chunks(values):
             hashes, owner = distinct_grams(values[a:b], width)
             np.add.at(flips, (owner + a, (hashes % np.uint64(_WORDS * 64)).astype(np.int64)), 1)
         bits = np.packbits((flips & 1).astype(np.uint8), axis=1).view(np.int64)
-        return {side: ids} | {f"{side}{i}": bits[:, i] for i in range(_WORDS)}
+        return {side: keys} | {f"{side}{i}": bits[:, i] for i in range(_WORDS)}
 
-    kind = texts.schema["id"].dataType.simpleString()
-    return map_columns(texts.select("id", "text"), sketch, f"{side} {kind}, " + ", ".join(f"{side}{i} long" for i in range(_WORDS)))
+    return map_columns(texts.select("key", "text"), sketch, f"{side} long, " + ", ".join(f"{side}{i} long" for i in range(_WORDS)))
 
 
 def verified(pairs: DataFrame, left: DataFrame, right: DataFrame, width: int, threshold: float) -> DataFrame:
-    """``(id_a, id_b, jaccard)`` of the pairs ``(a, b)`` that reach the threshold; grams are compared by 64-bit hashes."""
-    both = pairs.join(left.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(right.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
+    """``(id_a, id_b, jaccard)`` of the pairs ``(a, b)`` of keys that reach the threshold; grams are compared by 64-bit hashes.
+
+    ``left`` and ``right`` are ``(key, id, text)``.
+    """
+    both = pairs.join(left.select(F.col("key").alias("a"), F.col("id").alias("ia"), F.col("text").alias("ta")), "a").join(right.select(F.col("key").alias("b"), F.col("id").alias("ib"), F.col("text").alias("tb")), "b")
 
     def settle(a: list, ta: list, b: list, tb: list) -> dict:
         out: dict = {"id_a": [], "id_b": [], "jaccard": []}
@@ -103,7 +110,7 @@ def verified(pairs: DataFrame, left: DataFrame, right: DataFrame, width: int, th
         return out
 
     kinds = [frame.schema["id"].dataType.simpleString() for frame in (left, right)]
-    return map_columns(both.select("a", "ta", "b", "tb"), settle, f"id_a {kinds[0]}, id_b {kinds[1]}, jaccard double")
+    return map_columns(both.select("ia", "ta", "ib", "tb"), settle, f"id_a {kinds[0]}, id_b {kinds[1]}, jaccard double")
 
 
 def jaccard_join(left: DataFrame, right: DataFrame | None = None, width: int = 5, threshold: float = 0.8) -> DataFrame:
@@ -113,17 +120,22 @@ def jaccard_join(left: DataFrame, right: DataFrame | None = None, width: int = 5
     Texts shorter than ``width`` have no grams and match nothing; nulls must be left out.
     """
     own = right is None
-    right = left if own else right
+    left = keyed(left)
+    right = left if own else keyed(right)
     texts = left.select("text") if own else left.select("text").unionByName(right.select("text"))
     known = left.sparkSession.sparkContext.broadcast(_frequencies(texts, width))
-    a = _listed(left, known, width, threshold).select("gram", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.col("id").alias("a"), F.col("n").alias("na"), F.col("place").alias("pa"))
-    b = _listed(right, known, width, threshold).select("gram", F.pmod(F.xxhash64("id"), "parts").alias("part"), F.col("id").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"))
+    a = _listed(left, known, width, threshold).select("gram", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("key").alias("a"), F.col("n").alias("na"), F.col("place").alias("pa"))
+    b = _listed(right, known, width, threshold).select("gram", F.pmod(F.xxhash64("key"), "parts").cast("int").alias("part"), F.col("key").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"))
     met = a.join(b, ["gram", "part"])
     met = met.filter("a < b") if own else met
-    need = F.ceil(threshold / (1 + threshold) * (F.col("na") + F.col("nb")) - 1e-6)
+    need = F.ceil(threshold / (1 + threshold) * (F.col("na") + F.col("nb")) - 1e-6).cast("int")
     met = met.select("a", "b", "na", "nb", need.alias("need"), F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")).alias("left")).filter("left >= need")
     near = met.groupBy("a", "b", "na", "nb", "need").agg(F.count(F.lit(1)).alias("common"), F.min("left").alias("left")).filter("common + left - 1 >= need")
     near = near.select("a", "b", "na", "nb").join(_sketches(left, width, "a"), "a").join(_sketches(right, width, "b"), "b")
     differ = sum((F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(_WORDS)), F.lit(0))
-    near = written(near.filter(differ <= (1 - threshold) / (1 + threshold) * (F.col("na") + F.col("nb")) + 1e-6).select("a", "b"))
-    return verified(near, left, right, width, threshold)
+    near = near.filter(differ <= (1 - threshold) / (1 + threshold) * (F.col("na") + F.col("nb")) + 1e-6).select("a", "b")
+    if not own:
+        return verified(written(near), left, right, width, threshold)
+    twins = left.groupBy("key").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select(F.col("key").alias("a"), F.col("key").alias("b"))  # ids that share a key: none, if hashes are kind
+    found = verified(written(near.unionByName(twins)), left, right, width, threshold).filter("id_a <> id_b")
+    return found.select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"), "jaccard").distinct()

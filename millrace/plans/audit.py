@@ -9,8 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import scores, verify
 from ..functions import text as X
-from ..functions import verify
 from ..operators import budget, contamination, dedup
 from ..runtime import table
 from ..sources import files
@@ -180,20 +180,13 @@ def d5_near_audit(spark, d):
     return contamination.gram_pairs(table(spark, d, "candidates"), "candidate_id", "prompt_norm", 5, 0.85)
 
 
-_BOOT = "(SELECT task, length(normalized_prompt) AS v, row_number() OVER (PARTITION BY task ORDER BY item_id)-1 AS k, count(*) OVER (PARTITION BY task) AS n FROM eval_reference)"
-
-
-@query(f"""WITH p AS {_BOOT}, s AS (SELECT task, r.range AS rep, (('0x'||substr(sha256(task||'|'||r.range||'|'||k),1,8))::BIGINT % n) AS draw FROM p CROSS JOIN range(0,100) r), m AS (SELECT s.task, s.rep, avg(p.v) AS mean FROM s JOIN p ON p.k=s.draw AND p.task=s.task GROUP BY ALL),
+@query("""WITH r AS (SELECT task, length(normalized_prompt) AS v, row_number() OVER (PARTITION BY task ORDER BY item_id)-1 AS k FROM eval_reference), n AS (SELECT task, count(*) AS n FROM r GROUP BY task),
+ s AS (SELECT task, g.range AS rep, n, unnest(list_transform(range(0,n), lambda i: (('0x'||substr(sha256(task||'|'||g.range||'|'||(i//8)),1+8*(i%8)::INT,8))::BIGINT % n))) AS draw FROM n CROSS JOIN range(0,10000) g), m AS (SELECT s.task, s.rep, sum(r.v)/any_value(s.n) AS mean FROM s JOIN r ON r.task=s.task AND r.k=s.draw GROUP BY s.task, s.rep),
  a AS (SELECT rep, avg(mean) AS macro FROM m GROUP BY rep) SELECT quantile_cont(macro,0.025) AS low, quantile_cont(macro,0.975) AS high FROM a""")
 def a19_stratified_bootstrap(spark, d):
-    """Each task is resampled by hash; tasks weigh alike."""
-    rows = budget.ranked(table(spark, d, "eval_reference").select("task", "item_id", F.length("normalized_prompt").alias("v")), "k", F.col("item_id"), by=["task"])
-    rows = rows.join(rows.groupBy("task").agg(F.count(F.lit(1)).alias("n")), "task")
-    draws = rows.select("task", "k", "n", F.explode(F.sequence(F.lit(0), F.lit(99))).alias("rep"))
-    key = F.sha2(F.concat_ws("|", "task", F.col("rep").cast("string"), F.col("k").cast("string")), 256)
-    draws = draws.select("task", "rep", X.hash_mod(key, F.col("n")).alias("draw"))
-    means = draws.join(rows.select("task", F.col("k").alias("draw"), "v"), ["task", "draw"]).groupBy("task", "rep").agg(F.avg("v").alias("mean"))
-    macro = means.groupBy("rep").agg(F.avg("mean").alias("macro"))
+    """10,000 resamples of each task by hash; tasks weigh alike."""
+    rows = table(spark, d, "eval_reference").select("task", "item_id", F.length("normalized_prompt").alias("v"))
+    macro = scores.bootstrap_means(rows, ["task"], "v", F.col("item_id"), 10_000).groupBy("rep").agg(F.avg("mean").alias("macro"))
     return macro.agg(F.expr("percentile(macro, 0.025)").alias("low"), F.expr("percentile(macro, 0.975)").alias("high"))
 
 

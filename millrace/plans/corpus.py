@@ -243,16 +243,15 @@ def j15_operand_grid(spark, d):
     return a.crossJoin(b).withColumn("answer", F.col("a") + F.col("b")).filter("answer % 10 = 7")
 
 
-@query("""WITH f AS (SELECT unit_id, 10007*target_share AS x, floor(10007*target_share+1e-9)::BIGINT AS f FROM mix_targets WHERE mix_id='pretrain_a'),
- r AS (SELECT *, row_number() OVER (ORDER BY round(x-f,9) DESC, unit_id DESC) AS k, 10007-sum(f) OVER () AS rest FROM f) SELECT unit_id, (f + CASE WHEN k<=rest THEN 1 ELSE 0 END)::BIGINT AS quota FROM r""")
+@query("""WITH f AS (SELECT mix_id, unit_id, 10007*target_share AS x, floor(10007*target_share+1e-9)::BIGINT AS f FROM mix_targets),
+ r AS (SELECT *, row_number() OVER (PARTITION BY mix_id ORDER BY round(x-f,9) DESC, unit_id DESC) AS k, 10007-sum(f) OVER (PARTITION BY mix_id) AS rest FROM f) SELECT mix_id, unit_id, (f + CASE WHEN k<=rest THEN 1 ELSE 0 END)::BIGINT AS quota FROM r""")
 def o7_largest_remainder(spark, d):
-    rows = table(spark, d, "mix_targets").filter("mix_id = 'pretrain_a'")
-    return budget.largest_remainder(rows, 10007, "target_share", "unit_id").select("unit_id", "quota")
+    return budget.largest_remainder(table(spark, d, "mix_targets"), 10007, "target_share", "unit_id", by=["mix_id"]).select("mix_id", "unit_id", "quota")
 
 
-@query("""WITH f AS (SELECT unit_id, floor(10007*target_share+1e-9)::BIGINT AS f FROM mix_targets WHERE mix_id='pretrain_a') SELECT unit_id, (CASE WHEN unit_id=(SELECT max(unit_id) FROM f) THEN 10007-(SELECT sum(f) FROM f)+f ELSE f END)::BIGINT AS quota FROM f""")
+@query("""WITH f AS (SELECT mix_id, unit_id, floor(10007*target_share+1e-9)::BIGINT AS f FROM mix_targets), w AS (SELECT *, max(unit_id) OVER (PARTITION BY mix_id) AS last, sum(f) OVER (PARTITION BY mix_id) AS s FROM f) SELECT mix_id, unit_id, (CASE WHEN unit_id=last THEN 10007-s+f ELSE f END)::BIGINT AS quota FROM w""")
 def o8_floor_quotas(spark, d):
-    return budget.floor_quotas(table(spark, d, "mix_targets").filter("mix_id = 'pretrain_a'"), 10007, "target_share", "unit_id").select("unit_id", "quota")
+    return budget.floor_quotas(table(spark, d, "mix_targets"), 10007, "target_share", "unit_id", by=["mix_id"]).select("mix_id", "unit_id", "quota")
 
 
 @query("""WITH q AS (SELECT mix_id, CASE mix_id WHEN 'pretrain_a' THEN 6000 ELSE 4000 END AS t, unit_id, target_share FROM mix_targets WHERE unit_kind='source'), f AS (SELECT *, t*target_share AS x, floor(t*target_share+1e-9)::BIGINT AS f FROM q),

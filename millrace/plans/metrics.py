@@ -6,7 +6,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions import scores
 from ..operators import budget
+from ..operators.quantiles import exact_quantiles, joined
 from ..runtime import table
 from .registry import query
 
@@ -70,27 +72,19 @@ _S = "list_sort(list(value))"
 
 @query(f"""SELECT event_type, quantile_disc(value, 0.5) AS nearest50, quantile_disc(value, 0.95) AS nearest95, {_S}[(round_even((count(value)-1)*0.9,0))::INT+1] AS rounded90, {_S}[floor(0.9*count(value))::INT+1] AS floor90, quantile_cont(value, 0.9) AS linear90 FROM events WHERE value IS NOT NULL GROUP BY event_type""")
 def a9_percentiles(spark, d):
-    """Four definitions of a percentile that must not be exchanged; places are looked up by rank, so no group is gathered in an array."""
-    rows = _events(spark, d).filter("value is not null")
-    g = rows.groupBy("event_type").agg(
-        F.count("value").alias("n"),
-        *(F.expr(f"percentile_disc({p}) within group (order by value)").alias(f"nearest{round(p * 100)}") for p in (0.5, 0.95)),
-        F.expr("percentile(value, 0.9)").alias("linear90"),
-    )
-    g = g.withColumn("k1", F.bround((F.col("n") - 1) * 0.9).cast("long")).withColumn("k2", F.least(F.floor(F.col("n") * 0.9), F.col("n") - 1))
-    # value counts are cumulated, so a rank is found without sorting rows that repeat a value
-    c = rows.groupBy("event_type", "value").count().withColumn("upto", F.sum("count").over(W.partitionBy("event_type").orderBy("value").rowsBetween(W.unboundedPreceding, 0)))
-    at = c.join(F.broadcast(g.select("event_type", "k1", "k2")), "event_type").groupBy("event_type").agg(F.min(F.when(F.col("upto") > F.col("k1"), F.col("value"))).alias("rounded90"), F.min(F.when(F.col("upto") > F.col("k2"), F.col("value"))).alias("floor90"))
-    return g.join(at, "event_type").select("event_type", "nearest50", "nearest95", "rounded90", "floor90", "linear90")
+    """Four definitions of a percentile that must not be exchanged; places are looked up by rank, so no group is gathered or sorted in one task."""
+    wanted = {"nearest50": ("disc", 0.5), "nearest95": ("disc", 0.95), "rounded90": ("rounded", 0.9), "floor90": ("floor", 0.9), "linear90": ("cont", 0.9)}
+    return exact_quantiles(_events(spark, d), ["event_type"], "value", wanted)
 
 
 @query("""SELECT source, avg(length(text)) AS mean_len, quantile_disc(length(text),0.5)::BIGINT AS p50, quantile_disc(length(text),0.99)::BIGINT AS p99, max(length(text))::BIGINT AS longest, count(*) FILTER (WHERE length(text)>3000) AS truncated, avg((length(text)>3000)::INT) AS truncated_ratio, avg(greatest(0, 3000-length(text))) AS mean_padding FROM documents WHERE text IS NOT NULL GROUP BY source""")
 def a13_length_summary(spark, d):
-    n = F.length("text")
-    disc = lambda p: F.expr(f"percentile_disc({p}) within group (order by length(text))").cast("long")
-    return table(spark, d, "documents").filter("text is not null").groupBy("source").agg(
-        F.avg(n).alias("mean_len"), disc(0.5).alias("p50"), disc(0.99).alias("p99"), F.max(n).cast("long").alias("longest"), F.count_if(n > 3000).alias("truncated"), F.avg((n > 3000).cast("int")).alias("truncated_ratio"), F.avg(F.greatest(F.lit(0), 3000 - n)).alias("mean_padding")
+    rows = table(spark, d, "documents").filter("text is not null").select(F.coalesce("source", F.lit("")).alias("s"), "source", F.length("text").cast("long").alias("n"))
+    n = F.col("n")
+    sums = rows.groupBy("s").agg(
+        F.first("source").alias("source"), F.avg(n).alias("mean_len"), F.max(n).alias("longest"), F.count_if(n > 3000).alias("truncated"), F.avg((n > 3000).cast("int")).alias("truncated_ratio"), F.avg(F.greatest(F.lit(0), 3000 - n)).alias("mean_padding")
     )
+    return sums.join(exact_quantiles(rows, ["s"], "n", {"p50": ("disc", 0.5), "p99": ("disc", 0.99)}), "s").drop("s")
 
 
 @query("""SELECT w AS token, count(*) AS n FROM (SELECT unnest(list_filter(regexp_split_to_array(text,'\\s+'), lambda x: x<>'')) AS w FROM documents) GROUP BY w""")
@@ -121,15 +115,12 @@ def a17_paired_differences(spark, d):
     )
 
 
-@query(f"""WITH p AS (SELECT row_number() OVER (ORDER BY task)-1 AS k, b-a AS diff, count(*) OVER () AS n FROM {_PAIR} WHERE a IS NOT NULL AND b IS NOT NULL), s AS (SELECT r.range AS rep, (('0x'||substr(sha256(r.range||'|'||k),1,8))::BIGINT % n) AS draw FROM p CROSS JOIN range(0,200) r),
- m AS (SELECT rep, avg(diff) AS mean FROM s JOIN p ON p.k=s.draw GROUP BY rep) SELECT (SELECT avg(diff) FROM p) AS mean_diff, quantile_cont(mean,0.025) AS low, quantile_cont(mean,0.975) AS high FROM m""")
+@query(f"""WITH p AS (SELECT row_number() OVER (ORDER BY task)-1 AS k, b-a AS diff, count(*) OVER () AS n FROM {_PAIR} WHERE a IS NOT NULL AND b IS NOT NULL), s AS (SELECT rep, n, unnest(list_transform(range(0,n), lambda i: (('0x'||substr(sha256(rep||'|'||(i//8)),1+8*(i%8)::INT,8))::BIGINT % n))) AS draw FROM (SELECT g.range AS rep, (SELECT count(*) FROM p) AS n FROM range(0,10000) g)),
+ m AS (SELECT rep, sum(diff)/any_value(s.n) AS mean FROM s JOIN p ON p.k=s.draw GROUP BY rep) SELECT (SELECT avg(diff) FROM p) AS mean_diff, quantile_cont(mean,0.025) AS low, quantile_cont(mean,0.975) AS high FROM m""")
 def a18_paired_bootstrap(spark, d):
-    """Resampling by hash: replicate and draw give the index, so it is deterministic and distributed."""
-    rows = budget.ranked(_paired(spark, d).dropna(), "k", F.col("task")).withColumn("diff", F.col("b") - F.col("a"))
-    rows = rows.crossJoin(F.broadcast(rows.agg(F.count(F.lit(1)).alias("n"))))  # one row
-    draws = rows.select("k", "n", F.explode(F.sequence(F.lit(0), F.lit(199))).alias("rep"))
-    draws = draws.select("rep", X.hash_mod(F.sha2(F.concat_ws("|", F.col("rep").cast("string"), F.col("k").cast("string")), 256), F.col("n")).alias("draw"))
-    means = draws.join(rows.select(F.col("k").cast("long").alias("draw"), "diff"), "draw").groupBy("rep").agg(F.avg("diff").alias("mean"))
+    """10,000 resamples by hash, so it is deterministic and distributed."""
+    rows = _paired(spark, d).dropna().withColumn("diff", F.col("b") - F.col("a"))
+    means = scores.bootstrap_means(rows, [], "diff", F.col("task"), 10_000)
     ends = means.agg(F.expr("percentile(mean, 0.025)").alias("low"), F.expr("percentile(mean, 0.975)").alias("high"))
     return rows.agg(F.avg("diff").alias("mean_diff")).crossJoin(ends)
 
@@ -187,8 +178,11 @@ def a32_config_parity(spark, d):
 
 @query("""SELECT event_type, median(value) AS mid, quantile_disc(value,0.95) AS p95, min(value) AS low, max(value) AS high, avg(value) FILTER (WHERE value>0) AS active_mean, median(value) FILTER (WHERE value>0) AS active_median FROM events GROUP BY event_type""")
 def a33_latency_summary(spark, d):
+    rows = _events(spark, d).select("event_type", "value")
     on = F.when(F.col("value") > 0, F.col("value"))
-    return _events(spark, d).groupBy("event_type").agg(F.median("value").alias("mid"), F.expr("percentile_disc(0.95) within group (order by value)").alias("p95"), F.min("value").alias("low"), F.max("value").alias("high"), F.avg(on).alias("active_mean"), F.median(on).alias("active_median"))
+    sums = rows.groupBy("event_type").agg(F.min("value").alias("low"), F.max("value").alias("high"), F.avg(on).alias("active_mean"))
+    every = exact_quantiles(rows, ["event_type"], "value", {"mid": ("cont", 0.5), "p95": ("disc", 0.95)})
+    return joined([sums, every, exact_quantiles(rows.filter("value > 0"), ["event_type"], "value", {"active_median": ("cont", 0.5)})], ["event_type"])
 
 
 @query("""WITH o AS (SELECT DISTINCT event_type, user_id%4 AS arm FROM events), g AS (SELECT e.event_type, a.range AS arm FROM (SELECT DISTINCT event_type FROM events) e CROSS JOIN range(0,5) a) SELECT g.event_type, g.arm FROM g LEFT JOIN o ON o.event_type=g.event_type AND o.arm=g.arm WHERE o.arm IS NULL""")

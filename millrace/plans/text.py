@@ -76,22 +76,22 @@ def _ids(t):
 
 
 @query(f"""WITH i AS (SELECT doc_id, {_IDS} AS ids FROM documents WHERE text IS NOT NULL),
- p AS (SELECT doc_id, list_concat([1::BIGINT], ids[1:30], [2::BIGINT]) AS b FROM i), q AS (SELECT doc_id, list_concat(b, list_transform(range(0, greatest(0, 32-len(b))), lambda x: 0::BIGINT)) AS ids FROM p)
+ p AS (SELECT doc_id, list_concat([1::BIGINT], ids[1:766], [2::BIGINT]) AS b FROM i), q AS (SELECT doc_id, list_concat(b, list_transform(range(0, greatest(0, 768-len(b))), lambda x: 0::BIGINT)) AS ids FROM p)
  SELECT doc_id, array_to_string(ids,' ') AS ids, array_to_string(list_transform(ids, lambda x: CASE WHEN x=0 THEN -100 ELSE x END),' ') AS labels,
  len(list_filter(ids[2:], lambda x: x<>0))::BIGINT AS targets FROM q""")
 def t15_padded_labels(spark, d):
-    rows = _docs(spark, d).filter("text is not null").select("doc_id", X.padded(_ids(F.col("text")), 32, 1, 2, 0).alias("ids"))
+    rows = _docs(spark, d).filter("text is not null").select("doc_id", X.padded(_ids(F.col("text")), 768, 1, 2, 0).alias("ids"))
     rows = rows.withColumn("labels", X.labels_of(F.col("ids"), 0))
     join = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), " ")
     return rows.select("doc_id", join(F.col("ids")).alias("ids"), join(F.col("labels")).alias("labels"), X.target_count(F.col("labels")).cast("long").alias("targets"))
 
 
 @query(f"""WITH i AS (SELECT doc_id, {_IDS} AS ids FROM documents WHERE text IS NOT NULL) SELECT doc_id,
- array_to_string(list_concat(list_transform(ids[1:len(ids)//2], lambda x: -100::BIGINT), ids[len(ids)//2+1:])[1:40],' ') AS labels FROM i""")
+ array_to_string(list_concat(list_transform(ids[1:len(ids)//2], lambda x: -100::BIGINT), ids[len(ids)//2+1:])[1:768],' ') AS labels FROM i""")
 def t17_prefix_mask(spark, d):
     ids = _ids(F.col("text"))
     rows = _docs(spark, d).filter("text is not null").select("doc_id", ids.alias("ids")).withColumn("half", F.expr("size(ids) div 2").cast("int"))
-    labels = X.prefix_masked(F.slice("ids", F.lit(1), F.col("half")), F.slice("ids", F.col("half") + 1, F.greatest(F.size("ids") - F.col("half"), F.lit(0))), 40)
+    labels = X.prefix_masked(F.slice("ids", F.lit(1), F.col("half")), F.slice("ids", F.col("half") + 1, F.greatest(F.size("ids") - F.col("half"), F.lit(0))), 768)
     return rows.select("doc_id", F.array_join(F.transform(labels, lambda x: x.cast("string")), " ").alias("labels"))
 
 

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import json
 import os
-import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import shared
+
 _PARQUET, _JSONL = {"parquet"}, {"jsonl", "json", "jsonl_gzip", "jsonl.gz", "json.gz", "gzip"}
 
 
@@ -32,7 +33,8 @@ def read_corpus(spark: SparkSession, path: str | list[str], kind: str, columns:
             reader = reader.option("columnNameOfCorruptRecord", "_corrupt")
         df = reader.schema(struct).json(path)
     elif kind == "csv":
-        df = spark.read.schema(schema).csv(path, header=True, mode="FAILFAST" if strict else "DROPMALFORMED")
+        # a line with another number of columns is malformed; without pruning every column is looked at to tell
+        df = spark.read.schema(schema).option("columnPruning", "false").csv(path, header=True, mode="FAILFAST" if strict else "DROPMALFORMED")
     else:
         raise ValueError(f"unknown format {kind!r}")
     missing = set(columns or []) - set(df.columns)
@@ -47,15 +49,19 @@ def with_location(df: DataFrame) -> DataFrame:
 
 
 def json_line_report(spark: SparkSession, path: str, required: list[str]) -> DataFrame:
-    """One row: lines, blank, invalid JSON, not an object, a required field missing, empty ``required[0]``."""
-    v = F.col("value")
+    """One row: lines, blank, invalid UTF-8, invalid JSON, not an object, a required field missing, empty ``required[0]``.
+
+    Lines are read as bytes, so that a line in another encoding is counted as such instead of being patched.
+    """
+    utf8 = F.is_valid_utf8(F.col("value"))
+    v = F.when(utf8, F.col("value"))
     blank = F.trim(v) == ""
     keys = F.json_object_keys(v)
     parsed = F.try_parse_json(v)
     missing = F.size(F.array_except(F.array(*map(F.lit, required)), F.coalesce(keys, F.array().cast("array<string>")))) > 0
     first = F.get_json_object(v, f"$.{required[0]}")
     return spark.read.text(path).agg(
-        F.count(F.lit(1)).alias("lines"), F.count_if(blank).alias("blank"), F.count_if(~blank & parsed.isNull()).alias("invalid_json"),
+        F.count(F.lit(1)).alias("lines"), F.count_if(blank).alias("blank"), F.count_if(~utf8).alias("invalid_utf8"), F.count_if(utf8 & ~blank & parsed.isNull()).alias("invalid_json"),
         F.count_if(~blank & parsed.isNotNull() & keys.isNull()).alias("not_object"), F.count_if(~blank & keys.isNotNull() & missing).alias("missing_field"), F.count_if(~blank & keys.isNotNull() & ~missing & (F.trim(F.coalesce(first, F.lit(""))) == "")).alias("empty"),
     )
 
@@ -98,18 +104,8 @@ def write_shards(df: DataFrame, path: str, shards: int, *order) -> None:
 
 
 def write_report(report: dict, path: str) -> None:
-    """A small JSON report on the driver: written beside, flushed, then moved into place."""
-    folder = os.path.dirname(os.path.abspath(path))
-    handle, beside = tempfile.mkstemp(dir=folder, prefix=".report-")
-    try:
-        with os.fdopen(handle, "w") as f:
-            json.dump(report, f, sort_keys=True, ensure_ascii=False, indent=1)
-            f.flush()
-            os.fsync(f.fileno())
-        os.replace(beside, path)
-    except BaseException:
-        os.unlink(beside)
-        raise
+    """A small JSON report, on whatever file system the path names: written beside, then moved into place."""
+    shared.write_text(path, json.dumps(report, sort_keys=True, ensure_ascii=False, indent=1))
 
 
 def fingerprint(df: DataFrame, *columns: str) -> str:
@@ -121,24 +117,22 @@ def fingerprint(df: DataFrame, *columns: str) -> str:
     return hashlib.sha256(f"{r.n}|{r.a}|{r.b}|{','.join(columns or df.columns)}".encode()).hexdigest()
 
 
-def reusable(report_path: str, inputs: str) -> dict | None:
-    """The report of an earlier run, if it is complete and was made from the same inputs."""
+def reusable(report_path: str, inputs: str, rows: int | None = None) -> dict | None:
+    """The report of an earlier run, if it is complete and was made from the same inputs (and gave as many rows, if said)."""
     try:
-        with open(report_path) as f:
-            report = json.load(f)
-    except (OSError, ValueError):
+        report = json.loads(shared.read_text(report_path) or "")
+    except ValueError:
         return None
-    return report if report.get("status") == "done" and report.get("inputs") == inputs else None
+    same = report.get("status") == "done" and report.get("inputs") == inputs and (rows is None or report.get("rows") == rows)
+    return report if same else None
 
 
 def publish(gates: DataFrame, report: dict, folder: str) -> bool:
     """Write the report, then the ``_SUCCESS`` marker only if every gate passed; an old marker goes first."""
-    marker = os.path.join(folder, "_SUCCESS")
-    if os.path.exists(marker):
-        os.unlink(marker)
+    marker = f"{folder}/_SUCCESS"
+    shared.delete(marker)
     failed = [r.gate for r in gates.filter(~F.col("passed")).select("gate").collect()]  # a few gates
-    write_report(report | {"failed_gates": failed, "status": "done" if not failed else "failed"}, os.path.join(folder, "report.json"))
+    write_report(report | {"failed_gates": failed, "status": "done" if not failed else "failed"}, f"{folder}/report.json")
     if not failed:
-        with open(marker, "w"):
-            pass
+        shared.write_text(marker, "")
     return not failed
