@@ -158,6 +158,27 @@ def canonical_json(text: str | None) -> str | None:
         return None
 
 
+def flattened(text: str | None) -> str:
+    """All numbers in a nested record, as a JSON list of ``metric`` (the dotted path) and ``metric_value``."""
+    found: list[dict] = []
+
+    def walk(value, path: str) -> None:
+        if isinstance(value, dict):
+            for k, v in value.items():
+                walk(v, f"{path}.{k}" if path else k)
+        elif isinstance(value, list):
+            for i, v in enumerate(value):
+                walk(v, f"{path}[{i}]")
+        elif isinstance(value, (int, float)) and not isinstance(value, bool):
+            found.append({"metric": path, "metric_value": value})
+
+    try:
+        walk(json.loads(text), "")
+    except (TypeError, ValueError, RecursionError):
+        return "[]"
+    return json.dumps(found)
+
+
 def boxed(text: str | None) -> list[str] | None:
     """Reasoning and answer of a text that ends in a balanced ``\\boxed{...}``."""
     start = (text or "").rfind("\\boxed{")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.arrow import map_columns
 from ..functions.unicode import chunks, distinct_grams, joined_windows
 from ..runtime import written
-from .setjoin import jaccard_join, keyed, verified
+from .setjoin import COUNTERS, gathered, jaccard_join, keyed, slots, verified
 
 #: Most characters of patterns in one broadcast automaton; more patterns are searched in several.
 AUTOMATON_CHARS = 4_000_000
@@ -75,42 +75,58 @@ def contained(texts: DataFrame, text_id: str, text: str, patterns: DataFrame, pa
 def containment_pairs(texts: DataFrame, patterns: DataFrame, least: int = 20) -> DataFrame:
     """``(id_a, id_b)``: texts (a) that contain a pattern (b) of at least ``least`` >= 12 characters and aren't equal to it; both ``(id, text)`` with unique ids.
 
-    As :func:`contained`, for patterns that grow with the data: nothing is
+    As :func:`contained`, for patterns that grow with the data: nothing of them is
     broadcast. Of every window of ``least`` characters the least hash of its runs
-    of 12 characters is posted by the text; a pattern needs only one of its own.
+    of 8 characters is posted by the text; a pattern needs only one of its own,
+    and takes the one that the fewest texts post (by hashed counters, of fixed number).
     """
+    run = 8
 
     def minima(values: list[str]):
-        hashes, owner, _ = joined_windows(values, 12)
-        width = least - 11
+        hashes, owner, _ = joined_windows(values, run)
+        width = least - run + 1
         if len(hashes) < width:
             return hashes[:0], owner[:0]
         low = np.lib.stride_tricks.sliding_window_view(hashes, width).min(axis=1)
         inside = owner[: len(low)] == owner[width - 1 :]  # windows lie within one text
         low, owner = low[inside], owner[: len(inside)][inside]
+        order = np.lexsort((low, owner))
+        low, owner = low[order], owner[order]
         new = np.ones(len(low), dtype=bool)
         new[1:] = (low[1:] != low[:-1]) | (owner[1:] != owner[:-1])
         return low[new], owner[new]
 
+    def count(values: list) -> dict:
+        n = np.zeros(COUNTERS, dtype=np.int64)
+        for first, last in chunks(values):
+            n += np.bincount(slots(minima(values[first:last])[0]), minlength=COUNTERS)
+        seen = np.flatnonzero(n)
+        return {"slot": seen, "n": n[seen]}
+
+    left, right = keyed(texts.filter(F.length("text") > least)), keyed(patterns.filter(F.length("text") >= least))
+    known = texts.sparkSession.sparkContext.broadcast(gathered(map_columns(left.select("text"), count, "slot long, n long")))
+
     def post(one: bool):
-        def run(ids: list, values: list) -> dict:
-            out: dict = {"anchor": [np.empty(0, dtype=np.int64)], "id": []}
+        def run_(keys: list, values: list) -> dict:
+            out: dict = {"anchor": [np.empty(0, dtype=np.int64)], "key": [np.empty(0, dtype=np.int64)]}
+            every = np.array(keys, dtype=np.int64)
             for first, last in chunks(values):
                 low, owner = minima(values[first:last])
                 if one and len(low):
+                    order = np.lexsort((low, known.value[slots(low)], owner))
+                    low, owner = low[order], owner[order]
                     owner, starts = _segments(low, owner)
-                    low = np.maximum.reduceat(low, starts)
+                    low = low[starts]
                 out["anchor"].append(low.view(np.int64))
-                out["id"] += [ids[first + r] for r in owner.tolist()]
-            return {"anchor": np.concatenate(out["anchor"]), "id": out["id"]}
+                out["key"].append(every[first:last][owner])
+            return {k: np.concatenate(v) for k, v in out.items()}
 
-        return run
+        return run_
 
-    kind = texts.schema["id"].dataType.simpleString()
-    a = map_columns(texts.filter(F.length("text") > least).select("id", "text"), post(False), f"anchor long, id {kind}")
-    b = map_columns(patterns.filter(F.length("text") >= least).select("id", "text"), post(True), f"anchor long, id {kind}")
-    near = a.select("anchor", F.col("id").alias("id_a")).join(b.select("anchor", F.col("id").alias("id_b")), "anchor").select("id_a", "id_b").distinct()
-    both = near.join(patterns.select(F.col("id").alias("id_b"), F.col("text").alias("pattern")), "id_b").join(texts.select(F.col("id").alias("id_a"), "text"), "id_a")
+    a = map_columns(left.select("key", "text"), post(False), "anchor long, key long")
+    b = map_columns(right.select("key", "text"), post(True), "anchor long, key long")
+    near = a.select("anchor", F.col("key").alias("a")).join(b.select("anchor", F.col("key").alias("b")), "anchor").select("a", "b").distinct()
+    both = near.join(right.select(F.col("key").alias("b"), F.col("id").alias("id_b"), F.col("text").alias("pattern")), "b").join(left.select(F.col("key").alias("a"), F.col("id").alias("id_a"), "text"), "a")
     return both.filter(F.contains("text", "pattern") & (F.col("text") != F.col("pattern"))).select("id_a", "id_b")
 
 

@@ -29,24 +29,29 @@ def keyed(texts: DataFrame) -> DataFrame:
     return texts.select(F.xxhash64("id").alias("key"), "id", "text")
 
 
-def _slots(hashes: np.ndarray) -> np.ndarray:
+def slots(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> _SHIFT).astype(np.int64)
 
 
+def gathered(counts: DataFrame) -> np.ndarray:
+    """Sum up ``(slot, n)``; at most COUNTERS rows come to the driver, however many texts were counted."""
+    found = counts.groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(COUNTERS, dtype=np.int64)
+    out[found["slot"].to_numpy()] = found["n"].to_numpy()
+    return out
+
+
 def _frequencies(texts: DataFrame, width: int) -> np.ndarray:
     """In how many texts the grams of each counter occur; at most COUNTERS rows come to the driver."""
 
     def count(values: list) -> dict:
         n = np.zeros(COUNTERS, dtype=np.int64)
         for a, b in chunks(values):
-            n += np.bincount(_slots(distinct_grams(values[a:b], width)[0]), minlength=COUNTERS)
+            n += np.bincount(slots(distinct_grams(values[a:b], width)[0]), minlength=COUNTERS)
         seen = np.flatnonzero(n)
         return {"slot": seen, "n": n[seen]}
 
-    found = map_columns(texts.select("text"), count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(COUNTERS, dtype=np.int64)
-    out[found["slot"].to_numpy()] = found["n"].to_numpy()
-    return out
+    return gathered(map_columns(texts.select("text"), count, "slot long, n long"))
 
 
 def _listed(texts: DataFrame, known, width: int, threshold: float) -> DataFrame:
@@ -57,7 +62,7 @@ def _listed(texts: DataFrame, known, width: int, threshold: float) -> DataFrame:
         every = np.array(keys, dtype=np.int64)
         for a, b in chunks(values):
             hashes, owner = distinct_grams(values[a:b], width)
-            often = known.value[_slots(hashes)]
+            often = known.value[slots(hashes)]
             order = np.lexsort((hashes, often, owner))
             hashes, owner, often = hashes[order], owner[order], often[order]
             size = np.bincount(owner, minlength=b - a)

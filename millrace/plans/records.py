@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as X
 from ..functions import verify
@@ -275,3 +276,115 @@ def q1_recount(spark, d):
         .when(F.col("nonpad_input_tokens") != stored + 2, "input_tokens").when(~F.col("loss_target_tokens").eqNullSafe(stored + 1), "loss_tokens").otherwise("bound")
     )
     return rows.groupBy(reason.alias("reason")).agg(F.count(F.lit(1)).alias("records"))
+
+
+@query("""SELECT DISTINCT t, k, e.item_id FROM (SELECT 'candidates' AS t, candidate_id AS k, prompt_norm AS p FROM candidates UNION ALL SELECT 'eval_reference', item_id::VARCHAR, normalized_prompt FROM eval_reference) x JOIN eval_reference e ON x.p=e.normalized_prompt WHERE NOT (t='eval_reference' AND k=e.item_id::VARCHAR)""")
+def j1_exact_hits(spark, d):
+    """Test items that stand in the store, or under another id among the items, by digest of the prompt."""
+    named = lambda name, key, text: table(spark, d, name).select(F.lit(name).alias("t"), F.col(key).cast("string").alias("k"), F.sha2(F.col(text), 256).alias("p"))
+    every = named("candidates", "candidate_id", "prompt_norm").unionByName(named("eval_reference", "item_id", "normalized_prompt"))
+    items = table(spark, d, "eval_reference").select("item_id", F.sha2("normalized_prompt", 256).alias("p"))
+    hits = every.filter("p is not null").join(items, "p").filter(~((F.col("t") == "eval_reference") & (F.col("k") == F.col("item_id").cast("string"))))
+    return hits.select("t", "k", "item_id").distinct()
+
+
+@query("""SELECT doc_id, (i-1)::INT AS point, loss[i]::BIGINT AS loss, step[i]::BIGINT AS step FROM (SELECT doc_id, loss, step, unnest(range(1, len(loss)+1)) AS i FROM (SELECT doc_id, regexp_extract_all(text,'loss fell to ([0-9]+) after ([0-9]+) steps',1) AS loss, regexp_extract_all(text,'loss fell to ([0-9]+) after ([0-9]+) steps',2) AS step FROM documents))""")
+def s13_log_points(spark, d):
+    """Log lines in run reports as points of step and loss."""
+    pattern = F.lit("loss fell to ([0-9]+) after ([0-9]+) steps")
+    found = F.arrays_zip(*(F.transform(F.regexp_extract_all("text", pattern, F.lit(k)), lambda x: x.cast("long")).alias(name) for k, name in ((1, "loss"), (2, "step"))))
+    return table(spark, d, "documents").select("doc_id", F.posexplode(found).alias("point", "p")).select("doc_id", "point", "p.loss", "p.step")
+
+
+@query("""SELECT candidate_id, metric, metric_value FROM (SELECT candidate_id, substr(t.fullkey,3) AS metric, t.atom::DOUBLE AS metric_value, t.type FROM (SELECT DISTINCT candidate_id, provenance_json FROM candidates) c, json_tree(c.provenance_json) t) WHERE type IN ('UBIGINT','BIGINT','DOUBLE')""")
+def s18_nested_metrics(spark, d):
+    """Numbers anywhere in nested records, flattened to dotted names; truth values are no numbers."""
+    kind = "array<struct<metric: string, metric_value: double>>"
+    flat = verify.vectorised(verify.flattened, T.StringType(), "provenance_json")
+    rows = table(spark, d, "candidates").select("candidate_id", "provenance_json").distinct().select("candidate_id", F.explode(F.from_json(flat, kind)).alias("m"))
+    return rows.select("candidate_id", "m.metric", "m.metric_value")
+
+
+@query("""SELECT split_name, candidate_id, row_number() OVER (PARTITION BY split_name ORDER BY candidate_id) AS line_number FROM (SELECT DISTINCT candidate_id, lower(trim(split)) AS split_name FROM candidates)""")
+def s16_split_numbers(spark, d):
+    """Line numbers of each split's own file, without sorting a split in one task."""
+    rows = table(spark, d, "candidates").select("candidate_id", F.lower(F.trim("split")).alias("split_name")).distinct()
+    return budget.ranked(rows, "place", F.col("candidate_id"), by=["split_name"]).select("split_name", "candidate_id", (F.col("place") + 1).alias("line_number"))
+
+
+@query("""WITH o AS (SELECT lower(replace(trim(source),'-','_')) AS source_id, max(revision) AS revision, max(repo_id) AS repo_id, count(*) AS n FROM pretrain_records GROUP BY ALL)
+ SELECT s.source_id, coalesce(s.revision=o.revision,false) AS same_revision, s.license IS NOT NULL AS licensed, coalesce(o.n,0) AS n_rows, coalesce(s.revision=o.revision AND s.repo_id=o.repo_id AND s.license IS NOT NULL,false) AS ready FROM sources s LEFT JOIN o USING (source_id)""")
+def s21_source_states(spark, d):
+    """Declared sources against what was read of them: revision, licence, rows, and whether all is in order."""
+    source = F.lower(F.replace(F.trim("source"), F.lit("-"), F.lit("_"))).alias("source_id")
+    seen = table(spark, d, "pretrain_records").groupBy(source).agg(F.max("revision").alias("r"), F.max("repo_id").alias("repo"), F.count(F.lit(1)).alias("n"))
+    same = F.coalesce(F.col("revision") == F.col("r"), F.lit(False))
+    ready = same & F.coalesce(F.col("repo_id") == F.col("repo"), F.lit(False)) & F.col("license").isNotNull()
+    return table(spark, d, "sources").join(seen, "source_id", "left").select("source_id", same.alias("same_revision"), F.col("license").isNotNull().alias("licensed"), F.coalesce("n", F.lit(0)).alias("n_rows"), ready.alias("ready"))
+
+
+@query("""WITH a AS (SELECT DISTINCT json_extract_string(provenance_json,'$.source_record_locator.line_number')::BIGINT AS k FROM candidates WHERE json_exists(provenance_json,'$.source_record_locator.line_number')), b AS (SELECT DISTINCT line_number AS k FROM raw_pairs WHERE line_number IS NOT NULL)
+ SELECT CASE WHEN b.k IS NULL THEN 'only_provenance' WHEN a.k IS NULL THEN 'only_data' ELSE 'both' END AS state, count(*) AS n_lines FROM a FULL JOIN b ON a.k=b.k GROUP BY ALL""")
+def j8_line_zip(spark, d):
+    """Lines of the raw data against the lines that the sidecars name, longest side first: what either lacks is counted."""
+    at = F.get_json_object("provenance_json", "$.source_record_locator.line_number").cast("long")
+    a = table(spark, d, "candidates").select(at.alias("k")).filter("k is not null").distinct().withColumn("a", F.lit(True))
+    b = table(spark, d, "raw_pairs").select(F.col("line_number").alias("k")).filter("k is not null").distinct().withColumn("b", F.lit(True))
+    state = F.when(F.col("b").isNull(), "only_provenance").when(F.col("a").isNull(), "only_data").otherwise("both")
+    return a.join(b, "k", "full").groupBy(state.alias("state")).agg(F.count(F.lit(1)).alias("n_lines"))
+
+
+@query("""WITH r AS (SELECT item_id, 'repeated' AS reason FROM (SELECT item_id, row_number() OVER (PARTITION BY normalized_prompt ORDER BY item_id) AS k FROM eval_reference) WHERE k>1 UNION ALL SELECT item_id, 'no_config' FROM eval_reference WHERE config IS NULL UNION ALL SELECT item_id, 'short' FROM eval_reference WHERE length(normalized_prompt)<60)
+ SELECT DISTINCT sha256(reason||'|'||item_id) AS event_id, reason, item_id FROM r""")
+def q6_exclusion_events(spark, d):
+    """Every exclusion under a name of its own, from its reason and row: the same event twice is one."""
+    rows = table(spark, d, "eval_reference").select("item_id", F.sha2("normalized_prompt", 256).alias("p"), "config", F.length("normalized_prompt").alias("n"))
+    first = rows.groupBy("p").agg(F.min("item_id").alias("first"))
+    told = rows.join(first, "p").select("item_id", F.explode(F.array_compact(F.array(F.when(F.col("item_id") != F.col("first"), "repeated"), F.when(F.col("config").isNull(), "no_config"), F.when(F.col("n") < 60, "short")))).alias("reason"))
+    return told.select(F.sha2(F.concat_ws("|", "reason", F.col("item_id").cast("string")), 256).alias("event_id"), "reason", "item_id").dropDuplicates(["event_id"])
+
+
+@query("""WITH s AS (SELECT DISTINCT shard FROM pretrain_records), c AS (SELECT DISTINCT first_shard AS shard FROM (SELECT first_shard FROM train_chunks UNION ALL SELECT first_shard FROM validation_chunks)) SELECT sha256((SELECT string_agg(x, chr(10) ORDER BY x) FROM (SELECT DISTINCT sha256(normalized_prompt) AS x FROM eval_reference))) AS pattern_sha256,
+ (SELECT count(*) FROM s) AS shards, (SELECT count(*) FROM s FULL JOIN c USING (shard) WHERE s.shard IS NULL OR c.shard IS NULL)=0 AS same_roster, (SELECT count(*) FROM eval_reference WHERE sha256(normalized_prompt)<>prompt_sha256) AS changed_patterns, (SELECT count(*) FROM (SELECT digest FROM train_chunks INTERSECT SELECT digest FROM validation_chunks)) AS shared_digests""")
+def q4_repair_evidence(spark, d):
+    """Evidence of a repair: fingerprint of the patterns, patterns that aren't what their digest says, shard roster on both sides, digests still in both splits."""
+    e = table(spark, d, "eval_reference").select(F.sha2("normalized_prompt", 256).alias("x"), "prompt_sha256")
+    lists = e.agg(F.sha2(F.array_join(F.array_sort(F.collect_set("x")), "\n"), 256).alias("pattern_sha256"), F.count_if(F.col("x") != F.col("prompt_sha256")).alias("changed_patterns"))  # a fixed table of test items
+    s = table(spark, d, "pretrain_records").select("shard", F.lit(True).alias("s")).distinct()
+    chunks = [table(spark, d, name) for name in ("train_chunks", "validation_chunks")]
+    c = chunks[0].select("first_shard").unionByName(chunks[1].select("first_shard")).select(F.col("first_shard").alias("shard"), F.lit(True).alias("c")).distinct()
+    roster = s.join(c, "shard", "full").agg(F.count_if(F.col("s").isNotNull()).alias("shards"), (F.count_if(F.col("s").isNull() | F.col("c").isNull()) == 0).alias("same_roster"))
+    both = chunks[0].select("digest").intersect(chunks[1].select("digest")).agg(F.count(F.lit(1)).alias("shared_digests"))
+    return lists.crossJoin(roster).crossJoin(both)
+
+
+@query("""SELECT source_id, task, n, n=expected AS as_expected, empties, revisions=1 AS pinned FROM (SELECT e.source_id, e.task, count(*) AS n, count(*) FILTER (WHERE trim(coalesce(normalized_prompt,''),' ')='') AS empties, count(DISTINCT repo_id||'@'||revision) AS revisions, any_value(x.expected) AS expected FROM eval_reference e JOIN (SELECT source_id, count(DISTINCT item_id) AS expected FROM eval_reference GROUP BY source_id) x USING (source_id) GROUP BY e.source_id, e.task)""")
+def q5_benchmark_expectations(spark, d):
+    """Each benchmark against an expectation table: rows, empty prompts, one pinned revision."""
+    e = table(spark, d, "eval_reference")
+    expected = e.groupBy("source_id").agg(F.countDistinct("item_id").alias("expected"))
+    seen = e.groupBy("source_id", "task").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.trim(F.coalesce("normalized_prompt", F.lit(""))) == "").alias("empties"), F.countDistinct(F.concat_ws("@", "repo_id", "revision")).alias("revisions"))
+    return seen.join(expected, "source_id").select("source_id", "task", "n", (F.col("n") == F.col("expected")).alias("as_expected"), "empties", (F.col("revisions") == 1).alias("pinned"))
+
+
+_CUT = "(SELECT doc_id, source, list_filter(regexp_split_to_array(text,'\\s+'), lambda w: w<>'') AS w, sha256('cut|'||doc_id) AS h FROM documents WHERE text IS NOT NULL AND source IS NOT NULL)"
+
+
+@query(f"""SELECT doc_id, source, least(n, 2000-before)::BIGINT AS kept, array_to_string(w[1:least(n, 2000-before)],' ') AS text, n>2000-before AS cut FROM (SELECT *, len(w) AS n, (coalesce(sum(len(w)) OVER (PARTITION BY source ORDER BY h ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0))::BIGINT AS before FROM {_CUT} WHERE len(w)>0) WHERE before<2000""")
+def o11_exact_budget_texts(spark, d):
+    """2,000 words of each source to the word: the last text is cut to what is left."""
+    rows = table(spark, d, "documents").filter("text is not null and source is not null").select("doc_id", "source", X.words(F.col("text")).alias("w"), X.hash_order("cut", F.col("doc_id")).alias("h"))
+    rows = rows.withColumn("n", F.size("w").cast("long")).filter("n > 0")
+    kept = budget.take_budget(rows, "n", 2000, ["source"], F.col("h")).withColumn("kept", F.least(F.col("n"), 2000 - F.col("before")))
+    return kept.select("doc_id", "source", "kept", F.array_join(F.slice("w", F.lit(1), F.col("kept").cast("int")), " ").alias("text"), (F.col("n") > F.col("kept")).alias("cut"))
+
+
+@query(f"""WITH k AS (SELECT doc_id, source, len(w) AS n, h FROM {_CUT} WHERE len(w)>=20 AND len(list_distinct(w))*2>=len(w)), t AS (SELECT *, (coalesce(sum(n) OVER (PARTITION BY source ORDER BY h ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0))::BIGINT AS before FROM k), b AS (SELECT * FROM t WHERE before<2000),
+ ok AS (SELECT doc_id, source, n AS kept, 'whole' AS state FROM b WHERE before+n<=2000 UNION ALL SELECT doc_id, source, 2000-before, 'cut' FROM b WHERE before+n>2000 AND 2000-before>=20) SELECT doc_id, source, kept::BIGINT AS kept, state FROM ok""")
+def o12_budget_after_filters(spark, d):
+    """Texts that pass the filters up to 2,000 words a source; a cut piece has to pass them again (20 words), else the source stays short by less than that."""
+    rows = table(spark, d, "documents").filter("text is not null and source is not null").select("doc_id", "source", X.words(F.col("text")).alias("w"), X.hash_order("cut", F.col("doc_id")).alias("h"))
+    rows = rows.withColumn("n", F.size("w").cast("long")).filter((F.col("n") >= 20) & (F.size(F.array_distinct("w")) * 2 >= F.col("n"))).drop("w")
+    kept = budget.take_budget(rows, "n", 2000, ["source"], F.col("h"))
+    room, whole = 2000 - F.col("before"), F.col("before") + F.col("n") <= 2000
+    return kept.filter(whole | (room >= 20)).select("doc_id", "source", F.when(whole, F.col("n")).otherwise(room).alias("kept"), F.when(whole, "whole").otherwise("cut").alias("state"))
