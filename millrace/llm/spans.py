@@ -25,7 +25,7 @@ from ..functions.arrow import map_columns
 from ..functions.unicode import chunks, joined_windows, points, prefix_sums, window_hashes
 from ..runtime import written
 
-#: Width of the runs that are indexed; no wider than half the wanted length.
+#: Width of the runs that are indexed; half the wanted length, if that is less.
 K = 64
 
 
@@ -44,7 +44,7 @@ def anchor_hashes(texts: list[str], length: int) -> tuple[np.ndarray, np.ndarray
     The runs have five eighths of the wanted length, so that shorter stretches that
     many texts have (mastheads, menus, licences) bring nobody together.
     """
-    run = length * 5 // 8
+    run = max(1, length * 5 // 8)
     width = length - run + 1
     hashes, owner, _ = joined_windows(texts, run)
     if len(hashes) < width:
@@ -65,9 +65,9 @@ def anchor_hashes(texts: list[str], length: int) -> tuple[np.ndarray, np.ndarray
 class Block:
     """A reference block: its code points and the places of each of its K-character runs."""
 
-    def __init__(self, text: str):
-        self.points = points(text)
-        hashes = window_hashes(prefix_sums(self.points), K)
+    def __init__(self, text: str, run: int = K):
+        self.points, self.run = points(text), run
+        hashes = window_hashes(prefix_sums(self.points), run)
         self.order = np.argsort(hashes, kind="stable")
         self.hashes = hashes[self.order]
 
@@ -88,10 +88,10 @@ def _equal_run(a: np.ndarray, b: np.ndarray) -> int:
     return n
 
 
-def _thinned(places: np.ndarray, hashes: np.ndarray, at: int) -> np.ndarray:
+def _thinned(places: np.ndarray, hashes: np.ndarray, at: int, run: int) -> np.ndarray:
     """The places without those in the middle of a periodic stretch whose alignments other places make up for.
 
-    A stretch is a longest row of places at one distance of at most K, so that the
+    A stretch is a longest row of places at one distance of at most ``run``, so that the
     block is periodic from its first place to its last and breaks off less than a
     period beyond. The document's stretch is that of the same distance around
     ``at``. Only where both stretches begin, or both end, at once can a match go
@@ -109,7 +109,7 @@ def _thinned(places: np.ndarray, hashes: np.ndarray, at: int) -> np.ndarray:
     for s in np.flatnonzero(np.diff(edges) >= 10).tolist():
         first, last = int(edges[s]), int(edges[s + 1])
         gap = int(gaps[first])
-        if gap > K:
+        if gap > run:
             continue
         back, on = (_steady(hashes[at::step], hashes[at]) - 1 for step in (-gap, gap))
         want = np.array([first + 1, last - 1, *(first + back + n for n in (-1, 0, 1)), *(last - on + n for n in (-1, 0, 1))])
@@ -127,14 +127,14 @@ def _steady(values: np.ndarray, value: np.uint64) -> int:
 def factors(block: Block, text: str, length: int) -> list[tuple[int, int, int]]:
     """``(start in the block, start in the text, characters)`` of the maximal shared spans met by parsing the text against the block.
 
-    Every run of at least ``length`` >= 2 K characters of the text that stands in
+    Every run of at least ``length``, twice the width of the block's index, characters of the text that stands in
     the block is inside one of the spans: it lies in one factor, or a factor
     boundary parts it, and at each boundary all places of the runs on either
     side are extended both ways. Of the block's characters only those count that
     a factor was met at; to know all of them, the block is parsed in its turn.
     """
-    mine, theirs = points(text), block.points
-    hashes = window_hashes(prefix_sums(mine), K)
+    mine, theirs, run = points(text), block.points, block.run
+    hashes = window_hashes(prefix_sums(mine), run)
     if not len(hashes) or not len(block.hashes):
         return []
     at_in = np.minimum(np.searchsorted(block.hashes, hashes), len(block.hashes) - 1)
@@ -147,9 +147,9 @@ def factors(block: Block, text: str, length: int) -> list[tuple[int, int, int]]:
         end = i
         if i < 0 or i >= len(hashes) or not known[i]:
             return end
-        for j in _thinned(block.places(hashes[i]), hashes, i).tolist():
+        for j in _thinned(block.places(hashes[i]), hashes, i, run).tolist():
             right = _equal_run(theirs[j:], mine[i:])
-            if right < K:
+            if right < run:
                 continue  # equal hashes of different runs
             left = _equal_run(theirs[:j][::-1], mine[:i][::-1])
             end = max(end, i + right)
@@ -161,7 +161,7 @@ def factors(block: Block, text: str, length: int) -> list[tuple[int, int, int]]:
     while k < len(starts):
         i = int(starts[k])
         end = extend(i)
-        extend(end - K)
+        extend(end - run)
         k = int(np.searchsorted(starts, max(end, i + 1)))
     return [(j, i, n) for (j, i), n in found.items()]
 
@@ -194,7 +194,7 @@ def _all_pairs(anchors: DataFrame) -> DataFrame:
 
 def anchored_windows(text: str, anchors: list[int], length: int) -> np.ndarray:
     """Hashes of the windows of ``length`` characters that hold one of the anchors, each once."""
-    run = length * 5 // 8
+    run = max(1, length * 5 // 8)
     prefix = prefix_sums(points(text))
     hashes = window_hashes(prefix, run)
     at = np.flatnonzero(np.isin(hashes, np.array(anchors, dtype=np.int64).view(np.uint64)))
@@ -239,8 +239,9 @@ def text_spans(documents: DataFrame, doc_id: str = "doc_id", text: str = "text",
     anchors are split by adaptive execution); texts move only where a candidate
     partner exists. Texts shorter than ``length`` and null texts share nothing.
     """
-    if length < 2 * K:
-        raise ValueError(f"spans of at least {2 * K} characters")
+    if length < 2:
+        raise ValueError("spans of at least 2 characters")
+    run = min(K, length // 2)
     rows = _texts(documents, doc_id, text, length)
     anchors = _anchors(rows, length)
     near = written(_all_pairs(anchors) if all_pairs else _first_pairs(rows, anchors, length))
@@ -254,10 +255,10 @@ def text_spans(documents: DataFrame, doc_id: str = "doc_id", text: str = "text",
         last, block = None, None
         for da, ta, db, tb in zip(digests_a, texts_a, digests_b, texts_b):
             if da != last:
-                last, block = da, Block(ta)
+                last, block = da, Block(ta, run)
             found = set(factors(block, tb, length))
             if found and both_ways:
-                found |= {(i, j, n) for j, i, n in factors(Block(tb), ta, length)}
+                found |= {(i, j, n) for j, i, n in factors(Block(tb, run), ta, length)}
             for j, i, n in sorted(found):
                 for name, value in zip(out, (da, db, j, i, n)):
                     out[name].append(value)

@@ -235,6 +235,16 @@ def test_a_passage_of_many_texts_costs_a_link_each(spark):
         assert share[i] == len({c for k in range(len(t) - 199) if len(count[t[k : k + 200]]) > 1 for c in range(k, k + 200)}), i
 
 
+def test_short_spans(spark):
+    rng = random.Random(31)
+    docs = ["".join(rng.choice("abcd") for _ in range(rng.randint(0, 60))) for _ in range(40)]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    for length in (2, 5, 12):
+        runs = [{t[k : k + length] for k in range(len(t) - length + 1)} for t in docs]
+        want = sorted((i, j) for i in range(40) for j in range(i + 1, 40) if runs[i] & runs[j])
+        assert rows(spans.shared_pairs(df, length=length)) == want, length
+
+
 def test_parse_finds_spans_that_factors_part():
     a, b, c = ("".join(random.Random(k).choice("abcdef") for _ in range(150)) for k in (1, 2, 3))
     ref = a + b + "|" + b + c * 2
