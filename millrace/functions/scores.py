@@ -124,3 +124,33 @@ def generated_tasks(spark: SparkSession, n: int) -> DataFrame:
     made = F.array(*(F.struct(F.lit(name).alias("family"), prompt.alias("prompt"), answer.alias("answer")) for name, prompt, answer in families))
     split = F.when(X.hash_mod(X.hash_order("split", i), 100) < 5, "validation").otherwise("train")
     return rows.select("task_id", F.get(made, (i % len(families)).cast("int")).alias("t"), split.alias("split")).select("task_id", "t.family", "t.prompt", "t.answer", "split")
+
+
+def tool_walks(tasks: DataFrame) -> DataFrame:
+    """``(id, family, trace, calls, answer)`` of tasks ``(id, family, a, b, op)`` in the record environment.
+
+    A walk looks up the root and then the leaf and hands both values to the
+    operation. In family "redirect" the root names an alias first, which says where
+    the leaf has moved; in "retry" the first look at the leaf fails for the time
+    being; in "branch" the root offers two records and a route, the leaf being on it.
+    """
+    a, b = F.col("a"), F.col("b")
+    step = lambda name, gives: F.concat(F.lit(name + ">"), gives.cast("string"))
+    answer = F.when(F.col("op") == "add", a + b).otherwise(a - b)
+    family = F.col("family")
+    walk = F.array_compact(F.array(
+        step("root", a), F.when(family == "redirect", step("alias", F.lit("moved"))), F.when(family == "retry", step("leaf", F.lit("temporary_error"))), step("leaf", b),
+        F.concat("op", F.lit(">"), answer.cast("string")),
+    ))
+    return tasks.select("id", "family", F.array_join(walk, " ").alias("trace"), F.size(walk).alias("calls"), answer.alias("answer"))
+
+
+def conversation_reward(final: Column, calls: Column, wanted: Column, most: float = 3.0) -> Column:
+    """Without calls: half a point for a length from 5 to 800. With calls: half a point for as many calls as results (less for each too many or too few)
+    and up to 2.5 for the results that the last answer says. Less the repetition penalty, within ``most`` either way."""
+    n = F.size(wanted)
+    said = F.size(F.filter(wanted, lambda x: F.contains(F.lower(final), F.lower(x))))
+    gap = F.abs(calls - n)
+    plain = F.when(F.length(F.trim(final)).between(5, 800), 0.5).otherwise(-0.5)
+    tools = F.when(gap == 0, 0.5).otherwise(-0.5 * gap) + F.when(n > 0, said * 2.5 / F.greatest(n, F.lit(1))).otherwise(0.0)
+    return F.greatest(F.lit(-most), F.least(F.lit(most), F.when(calls == 0, plain).otherwise(tools) - X.repetition_penalty(final)))

@@ -98,12 +98,6 @@ def o20_top_up(spark, d):
     return budget.take_budget(rows, "n", 2000, ["bucket"], F.col("h")).groupBy("bucket").agg(F.count(F.lit(1)).alias("taken"), F.sum("n").alias("targets"))
 
 
-@query("""SELECT a.item_id, a.task, b.n FROM eval_reference a JOIN (SELECT normalized_prompt, count(*) AS n FROM eval_reference GROUP BY 1 HAVING count(*)>1) b USING (normalized_prompt)""")
-def j11_claim_join(spark, d):
-    e = table(spark, d, "eval_reference")
-    return e.join(e.groupBy("normalized_prompt").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "normalized_prompt").select("item_id", "task", "n")
-
-
 @query("""WITH a AS (SELECT user_id AS k, avg(value) AS x FROM events WHERE event_type='click' GROUP BY 1), b AS (SELECT user_id AS k, avg(value) AS y FROM events WHERE event_type='view' GROUP BY 1) SELECT count(*) FILTER (WHERE x IS NOT NULL AND y IS NOT NULL) AS paired, count(*) FILTER (WHERE x IS NULL) AS only_b, count(*) FILTER (WHERE y IS NULL) AS only_a FROM a FULL JOIN b USING (k)""")
 def j12_paired_alignment(spark, d):
     side = lambda kind, out: table(spark, d, "events").filter(F.col("event_type") == kind).groupBy("user_id").agg(F.avg("value").alias(out))
@@ -140,26 +134,12 @@ def s21_source_resolution(spark, d):
     return table(spark, d, "sources").select("source_id", pinned.alias("pinned"), licensed.alias("licensed"), (pinned & licensed).alias("ready"))
 
 
-@query()
-def t24_requirements(spark, d):
-    kind = T.StructType([T.StructField("kind", T.StringType()), T.StructField("low", T.LongType()), T.StructField("high", T.LongType())])
-    found = F.from_json(verify.vectorised(lambda p: json.dumps(verify.requirement(p)), T.StringType(), "prompt_norm"), kind)
-    return table(spark, d, "candidates").select("candidate_id", found.alias("r")).filter("r.kind is not null").select("candidate_id", "r.*")
-
-
 @query()
 def t32_arithmetic(spark, d):
     rows = table(spark, d, "orders").select("o_orderkey", F.concat_ws(" ", F.col("o_orderkey").cast("string"), F.lit("* 3 + 2 ^ 2")).alias("e"))
     return rows.select("o_orderkey", verify.vectorised(verify.arithmetic, T.DoubleType(), "e").alias("value"))
 
 
-@query("""SELECT event_id, event_id%7=0 AS validation, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS line_number FROM events""")
-def s16_split_lines(spark, d):
-    """Line numbers within each split writer's output."""
-    e = budget.ranked(table(spark, d, "events").select("event_type", "event_id"), "place", F.col("event_id"), by=["event_type"])
-    return e.select("event_id", (F.col("event_id") % 7 == 0).alias("validation"), (F.col("place") + 1).alias("line_number"))
-
-
 @query()
 def d4_greedy_near_dedup(spark, d):
     """Prompts kept greedily in hash order: one goes if a kept one is near. Only prompts of 50 characters or more can be near; a missing prompt equals no other."""
@@ -206,12 +186,3 @@ def c8_preference_encode(spark, d):
 @query("""SELECT count(*) AS n_rows, sum(CASE WHEN line_number % 64 = 0 THEN 1 ELSE 0 END)::BIGINT AS batch_ends, count(*) FILTER (WHERE source_id IS NULL) AS no_source FROM raw_pairs WHERE line_number > 2*64""")
 def o23_resume_sampler(spark, d):
     return table(spark, d, "raw_pairs").filter(F.col("line_number") > 128).agg(F.count(F.lit(1)).alias("n_rows"), F.sum(F.when(F.col("line_number") % 64 == 0, 1).otherwise(0)).alias("batch_ends"), F.count_if(F.col("source_id").isNull()).alias("no_source"))
-
-
-@query("""SELECT coalesce(a.shard, b.shard) AS shard, count(*) FILTER (WHERE b.k IS NULL) AS only_data, count(*) FILTER (WHERE a.k IS NULL) AS only_sidecar, count(*) FILTER (WHERE a.k IS NOT NULL AND b.k IS NOT NULL) AS both_sides
- FROM (SELECT DISTINCT shard, line_number AS k FROM pretrain_records) a FULL JOIN (SELECT DISTINCT shard, line_number+1 AS k FROM pretrain_records) b ON a.shard=b.shard AND a.k=b.k GROUP BY 1""")
-def j8_positional_zip(spark, d):
-    """Line-aligned data and sidecar, joined by place; the longer side's rest is counted."""
-    p = table(spark, d, "pretrain_records").select("shard", "line_number").distinct()
-    a, b = p.select("shard", F.col("line_number").alias("k"), F.lit(1).alias("a")), p.select("shard", (F.col("line_number") + 1).alias("k"), F.lit(1).alias("b"))
-    return a.join(b, ["shard", "k"], "full").groupBy("shard").agg(F.count_if(F.col("b").isNull()).alias("only_data"), F.count_if(F.col("a").isNull()).alias("only_sidecar"), F.count_if(F.col("a").isNotNull() & F.col("b").isNotNull()).alias("both_sides"))

@@ -76,36 +76,6 @@ def c10_decisions(spark, d):
     return C.decisions(_conv(spark, d), "candidate_id")
 
 
-@query(f"""WITH p AS (SELECT candidate_id, min(length(content)) FILTER (WHERE role='assistant') AS a, max(length(content)) FILTER (WHERE role='user') AS q FROM {_ONE} GROUP BY candidate_id), r AS (SELECT candidate_id, CASE WHEN a IS NULL THEN 'no_answer' WHEN q<20 THEN 'short_prompt' WHEN a<10 THEN 'short_answer' ELSE 'kept' END AS reason FROM p)
- SELECT reason, candidate_id FROM (SELECT reason, candidate_id, row_number() OVER (PARTITION BY reason ORDER BY sha256('c9|'||candidate_id)) AS k FROM r) WHERE k<=50""")
-def c9_symmetric_filter(spark, d):
-    from ..operators import budget
-
-    conv = F.col("conv")
-    lens = lambda role: F.transform(F.filter(conv, lambda m: m["role"] == role), lambda m: F.length(m["content"]))
-    a, q = F.array_min(lens("assistant")), F.array_max(lens("user"))
-    reason = F.when(a.isNull(), "no_answer").when(q < 20, "short_prompt").when(a < 10, "short_answer").otherwise("kept")
-    rows = _conv(spark, d).select(reason.alias("reason"), "candidate_id")
-    return budget.bottom_k(rows, 50, ["reason"], X.hash_order("c9", F.col("candidate_id"))).select("reason", "candidate_id")
-
-
-@query()
-def c12_rule_reward(spark, d):
-    """Length, tag balance, repetition and call agreement, clipped to +-3."""
-    rows = C.decisions(_conv(spark, d), "candidate_id")
-    t = F.coalesce("content", F.lit(""))
-    reward = F.when(F.length(t).between(20, 800), 0.5).otherwise(-0.5) - X.repetition_penalty(t) + F.when(X.count_of(t, "<think>") == X.count_of(t, "</think>"), 0.25).otherwise(-0.25) + 0.5 * F.size(X.tool_calls(t))
-    return rows.select("candidate_id", "pos", F.greatest(F.lit(-3.0), F.least(F.lit(3.0), reward)).alias("reward"))
-
-
-@query()
-def c13_answer_scoring(spark, d):
-    rows = C.decisions(_conv(spark, d), "candidate_id")
-    t = F.coalesce("content", F.lit(""))
-    score = F.when(F.trim(t) == "", "empty").when(X.parse_integer(t).isNotNull(), "number").when(X.count_of(t, "```") >= 2, "code").when(X.repetition_ratio(t) > 0.6, "repetitive").otherwise("text")
-    return rows.groupBy(score.alias("score")).agg(F.count(F.lit(1)).alias("n"))
-
-
 @query(f"SELECT candidate_id, pos::INT AS pos, trim(regexp_replace(coalesce(content,''),'(?s)^\\s*<think>.*?</think>',''),' ') AS answer FROM {_ONE} WHERE role='assistant'")
 def t21_strip_thinking(spark, d):
     return C.decisions(_conv(spark, d), "candidate_id").select("candidate_id", "pos", X.strip_thinking(F.coalesce("content", F.lit(""))).alias("answer"))

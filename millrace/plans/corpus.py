@@ -101,12 +101,6 @@ def d11_components(spark, d):
     return dedup.components(edges)
 
 
-@query(f"""SELECT DISTINCT c.candidate_id, e.item_id FROM candidates c JOIN eval_reference e ON c.prompt_norm = e.normalized_prompt""")
-def j1_exact_overlap(spark, d):
-    items = table(spark, d, "eval_reference").select(F.col("normalized_prompt").alias("prompt_norm"), "item_id")
-    return contamination.equal_keys(table(spark, d, "candidates").select("candidate_id", "prompt_norm"), items, "prompt_norm").select("candidate_id", "item_id").distinct()
-
-
 _D = f"(SELECT doc_id, {_N1.format(c='text')} AS norm FROM documents WHERE text IS NOT NULL)"
 _E = f"(SELECT item_id, {_N1.format(c='normalized_prompt')} AS p FROM eval_reference)"
 
@@ -273,22 +267,6 @@ def o10_greedy_budget(spark, d):
     return budget.take_budget(_buckets(spark, d), "n", 900, ["s", "bucket"], F.col("h")).select("candidate_id", "bucket", "s", "before")
 
 
-@query(f"""SELECT candidate_id, bucket, s, least(n, 900-before)::BIGINT AS kept FROM (SELECT *, (sum(n) OVER (PARTITION BY s, bucket ORDER BY h) - n)::BIGINT AS before FROM {_B}) WHERE before < 900""")
-def o11_exact_budget(spark, d):
-    """The last record is cut so that the budget is met exactly."""
-    rows = budget.take_budget(_buckets(spark, d), "n", 900, ["s", "bucket"], F.col("h"))
-    return rows.select("candidate_id", "bucket", "s", F.least(F.col("n"), 900 - F.col("before")).alias("kept"))
-
-
-@query(f"""WITH c AS (SELECT * FROM {_B} WHERE candidate_id NOT IN (SELECT candidate_id FROM candidates WHERE prompt_norm IN (SELECT prompt_norm FROM candidates GROUP BY prompt_norm HAVING count(DISTINCT candidate_id)>1)))
- SELECT candidate_id, least(n, 900-before)::BIGINT AS kept FROM (SELECT *, (sum(n) OVER (PARTITION BY s, bucket ORDER BY h) - n)::BIGINT AS before FROM c) WHERE before < 900""")
-def o12_filtered_budget(spark, d):
-    raw = table(spark, d, "candidates").select("candidate_id", "prompt_norm")
-    several = raw.groupBy("prompt_norm").agg(F.countDistinct("candidate_id").alias("k")).filter("k > 1").select("prompt_norm")
-    rows = _buckets(spark, d).join(raw.join(several, "prompt_norm", "left_semi").select("candidate_id"), "candidate_id", "left_anti")
-    return budget.take_budget(rows, "n", 900, ["s", "bucket"], F.col("h")).select("candidate_id", F.least(F.col("n"), 900 - F.col("before")).alias("kept"))
-
-
 @query("""SELECT shard, candidate_id FROM (SELECT shard, candidate_id, row_number() OVER (PARTITION BY shard ORDER BY sha256('bk|'||candidate_id)) AS k FROM (SELECT DISTINCT shard, candidate_id FROM pretrain_records)) WHERE k<=32""")
 def o4_bottom_k(spark, d):
     rows = table(spark, d, "pretrain_records").select("shard", "candidate_id").distinct()

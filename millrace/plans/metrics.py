@@ -185,33 +185,12 @@ def a33_latency_summary(spark, d):
     return joined([sums, every, exact_quantiles(rows.filter("value > 0"), ["event_type"], "value", {"active_median": ("cont", 0.5)})], ["event_type"])
 
 
-@query("""WITH o AS (SELECT DISTINCT event_type, user_id%4 AS arm FROM events), g AS (SELECT e.event_type, a.range AS arm FROM (SELECT DISTINCT event_type FROM events) e CROSS JOIN range(0,5) a) SELECT g.event_type, g.arm FROM g LEFT JOIN o ON o.event_type=g.event_type AND o.arm=g.arm WHERE o.arm IS NULL""")
-def a34_missing_scenarios(spark, d):
-    e = _events(spark, d)
-    grid = e.select("event_type").distinct().crossJoin(spark.range(5).withColumnRenamed("id", "arm"))
-    return grid.join(e.select("event_type", (F.col("user_id") % 4).alias("arm")).distinct(), ["event_type", "arm"], "left_anti")
-
-
-@query("""SELECT source_id, 100*coalesce(row_count::DOUBLE/(row_count+1000), size_bytes::DOUBLE) AS percent, avg(100*coalesce(row_count::DOUBLE/(row_count+1000), size_bytes::DOUBLE)) OVER () AS macro FROM sources""")
-def a36_metric_pick(spark, d):
-    pick = 100 * F.coalesce(F.col("row_count") / (F.col("row_count") + 1000), F.col("size_bytes").cast("double"))
-    rows = table(spark, d, "sources").select("source_id", pick.alias("percent"))
-    return rows.withColumn("macro", F.avg("percent").over(W.partitionBy()))
-
-
 @query("""SELECT source, count(*) FILTER (WHERE trim(coalesce(text,''))<>'') AS filled, count(*) FILTER (WHERE trim(coalesce(text,''))='') AS blank, avg(length(text)) AS mean_chars, median(length(text)) AS median_chars, count(*) FILTER (WHERE length(text)>=5000) AS cap_hits, count(DISTINCT text) AS unique_texts FROM documents GROUP BY source""")
 def a37_continuations(spark, d):
     filled = F.trim(F.coalesce("text", F.lit(""))) != ""
     return table(spark, d, "documents").groupBy("source").agg(F.count_if(filled).alias("filled"), F.count_if(~filled).alias("blank"), F.avg(F.length("text")).alias("mean_chars"), F.median(F.length("text")).alias("median_chars"), F.count_if(F.length("text") >= 5000).alias("cap_hits"), F.countDistinct("text").alias("unique_texts"))
 
 
-@query("""WITH g AS (SELECT user_id, event_id//4 AS episode, 0.8*max((value>2)::INT)+0.2*sum((value>1)::INT)/4.0 AS reward FROM events GROUP BY ALL) SELECT user_id, avg(reward)::DOUBLE AS mean_reward, (stddev_pop(reward) < 1e-8) AS zero_variance FROM g GROUP BY user_id""")
-def a40_episode_reward(spark, d):
-    v = F.col("value")
-    g = _events(spark, d).groupBy("user_id", F.expr("event_id div 4").alias("episode")).agg((0.8 * F.max((v > 2).cast("int")) + 0.2 * F.sum((v > 1).cast("int")) / 4.0).alias("reward"))
-    return g.groupBy("user_id").agg(F.avg("reward").alias("mean_reward"), (F.stddev_pop("reward") < 1e-8).alias("zero_variance"))
-
-
 @query(f"""SELECT avg(ln(1+exp(-0.1*(a-b)))) AS loss, avg((a>b)::INT) AS accuracy FROM {_PAIR} WHERE a IS NOT NULL AND b IS NOT NULL""")
 def a41_preference_loss(spark, d):
     """Negative log sigmoid of the scaled margin."""
@@ -219,28 +198,12 @@ def a41_preference_loss(spark, d):
     return _paired(spark, d).dropna().agg(F.avg(F.log1p(F.exp(-0.1 * margin))).alias("loss"), F.avg((margin > 0).cast("int")).alias("accuracy"))
 
 
-@query(f"""SELECT avg(-least(exp(a-b)*b, least(greatest(exp(a-b),0.8),1.2)*b)) AS clipped, avg(-(least(greatest(exp(a-b),0.8),1.2))*b) AS clamped FROM {_PAIR} WHERE a IS NOT NULL AND b IS NOT NULL AND abs(a-b)<50""")
-def a42_policy_loss(spark, d):
-    """The two variants: the smaller of free and clipped ratio times advantage, and the clamped ratio alone."""
-    ratio = F.exp(F.col("a") - F.col("b"))
-    clamp = F.least(F.greatest(ratio, F.lit(0.8)), F.lit(1.2))
-    rows = _paired(spark, d).dropna().filter("abs(a - b) < 50")
-    return rows.agg(F.avg(-F.least(ratio * F.col("b"), clamp * F.col("b"))).alias("clipped"), F.avg(-clamp * F.col("b")).alias("clamped"))
-
-
 @query("""WITH p AS (SELECT l.l_orderkey, l.l_quantity, l.l_extendedprice FROM lineitem l) SELECT l_orderkey % 3 AS stratum, count(*) FILTER (WHERE l_quantity>30) AS wins, count(*) FILTER (WHERE l_quantity=30) AS ties, count(*) FILTER (WHERE l_quantity<30) AS losses, count(*) FILTER (WHERE l_quantity IS NULL) AS invalid, avg(CASE WHEN l_quantity>30 THEN 1 WHEN l_quantity=30 THEN 0.5 ELSE 0 END)::DOUBLE AS score FROM p GROUP BY stratum""")
 def a22_win_tally(spark, d):
     q = F.col("l_quantity")
     return table(spark, d, "lineitem").groupBy((F.col("l_orderkey") % 3).alias("stratum")).agg(F.count_if(q > 30).alias("wins"), F.count_if(q == 30).alias("ties"), F.count_if(q < 30).alias("losses"), F.count_if(q.isNull()).alias("invalid"), F.avg(F.when(q > 30, 1.0).when(q == 30, 0.5).otherwise(0.0)).alias("score"))
 
 
-@query("""WITH t AS (SELECT task, source_id, count(*) AS n, avg(length(normalized_prompt)) AS m FROM eval_reference GROUP BY ALL), g AS (SELECT task, sum(m*n)/sum(n) AS score FROM t GROUP BY task) SELECT task, score, avg(score) OVER () AS macro FROM g""")
-def a23_hierarchical_macro(spark, d):
-    leaves = table(spark, d, "eval_reference").groupBy("task", "source_id").agg(F.count(F.lit(1)).alias("n"), F.avg(F.length("normalized_prompt")).alias("m"))
-    groups = leaves.groupBy("task").agg((F.sum(F.col("m") * F.col("n")) / F.sum("n")).alias("score"))
-    return groups.withColumn("macro", F.avg("score").over(W.partitionBy()))
-
-
 @query("""SELECT label, count(*) AS n, avg(embedding[1])::DOUBLE AS mean_first, avg(list_sum(list_transform(embedding, lambda x: x::DOUBLE*x::DOUBLE)))::DOUBLE AS mean_square FROM embeddings GROUP BY label""")
 def a15_embedding_stats(spark, d):
     square = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))

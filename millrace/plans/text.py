@@ -223,16 +223,6 @@ def s5_field_discovery(spark, d):
     return keys.groupBy("event_type").agg(F.array_join(F.sort_array(F.collect_set("k")), ",").alias("fields"))
 
 
-@query("SELECT doc_id, 'doc_'||regexp_extract(object_id,'([0-9]+)$',1) AS part, regexp_extract(object_id,'^([^/]+)/',1) AS collection FROM documents")
-def s13_regex_scan(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.concat(F.lit("doc_"), F.regexp_extract("object_id", "([0-9]+)$", 1)).alias("part"), F.regexp_extract("object_id", "^([^/]+)/", 1).alias("collection"))
-
-
-@query("SELECT source_id, metric, metric_value FROM (SELECT source_id, row_count, size_bytes FROM sources) UNPIVOT (metric_value FOR metric IN (row_count, size_bytes))")
-def s18_metric_flatten(spark, d):
-    return table(spark, d, "sources").unpivot(["source_id"], ["row_count", "size_bytes"], "metric", "metric_value")
-
-
 @query("SELECT * EXCLUDE (text) FROM pretrain_records")
 def f15_provenance_rows(spark, d):
     return table(spark, d, "pretrain_records").drop("text")
