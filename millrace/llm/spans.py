@@ -27,6 +27,8 @@ from ..runtime import written
 
 #: Width of the runs that are indexed; half the wanted length, if that is less.
 K = 64
+#: The bitmap of anchors has at most this many bits (as a power of 2).
+MOST_BITS = 27
 
 
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -192,12 +194,11 @@ def _all_pairs(anchors: DataFrame) -> DataFrame:
     return a.join(b, "anchor").filter("digest_a < digest_b").select("digest_a", "digest_b").distinct()
 
 
-def anchored_windows(text: str, anchors: list[int], length: int) -> np.ndarray:
-    """Hashes of the windows of ``length`` characters that hold one of the anchors, each once."""
+def anchored_windows(text: str, known, length: int) -> np.ndarray:
+    """Hashes of the windows of ``length`` characters that hold a run for which ``known(hashes)`` is true, each once."""
     run = max(1, length * 5 // 8)
     prefix = prefix_sums(points(text))
-    hashes = window_hashes(prefix, run)
-    at = np.flatnonzero(np.isin(hashes, np.array(anchors, dtype=np.int64).view(np.uint64)))
+    at = np.flatnonzero(known(window_hashes(prefix, run)))
     marks = np.zeros(len(text) + 2, dtype=np.int64)
     np.add.at(marks, np.maximum(0, at - (length - run)), 1)
     np.add.at(marks, at + 1, -1)
@@ -205,21 +206,38 @@ def anchored_windows(text: str, anchors: list[int], length: int) -> np.ndarray:
     return np.unique(whole[np.cumsum(marks)[: len(whole)] > 0])
 
 
+def _bitmap(hashes: DataFrame, column: str) -> tuple[int, np.ndarray]:
+    """A bitmap of the first bits of 64-bit hashes: at most 16 MB, whatever their number."""
+    bits = min(MOST_BITS, max(10, (hashes.count() * 32).bit_length()))
+    slots = hashes.select(F.shiftrightunsigned(column, 64 - bits).alias("slot"))
+    words = slots.select(F.expr("slot div 32").alias("word"), F.expr("shiftleft(1L, cast(slot % 32 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bit")).toArrow()
+    out = np.zeros(1 << (bits - 5), dtype=np.uint32)
+    out[words["word"].to_numpy()] = words["bit"].to_numpy().astype(np.uint32)
+    return bits, out
+
+
 def _first_pairs(rows: DataFrame, anchors: DataFrame, length: int) -> DataFrame:
     """For each text and each of its windows that another text has, the first text with that window (for the first, the last).
 
-    Windows are counted with map-side combine and joined to one row each, so a
-    window of any number of texts is never gathered.
+    Which anchors several texts have goes to every task as a bitmap of fixed
+    size, so the texts are read where they lie; what it marks by chance is a
+    window that no other text has. Windows are counted with map-side combine and
+    joined to one row each, so a window of any number of texts is never gathered.
     """
     shared = anchors.groupBy("anchor").agg(F.min("digest").alias("x"), F.max("digest").alias("y")).filter("x <> y").select("anchor")
-    of = anchors.join(shared, "anchor").groupBy("digest").agg(F.collect_list("anchor").alias("anchors"))
+    marks = rows.sparkSession.sparkContext.broadcast(_bitmap(shared, "anchor"))
+
+    def windows(digests: list, texts: list) -> dict:
+        bits, words = marks.value
+
+        def known(hashes: np.ndarray) -> np.ndarray:
+            slot = hashes >> np.uint64(64 - bits)
+            return (words[slot >> np.uint64(5)] >> (slot & np.uint64(31)).astype(np.uint32)) & np.uint32(1) > 0
 
-    def windows(digests: list, texts: list, lists: list) -> dict:
-        found = [anchored_windows(t, own, length) for t, own in zip(texts, lists)]
+        found = [anchored_windows(t, known, length) for t in texts]
         return {"w": np.concatenate([np.empty(0, dtype=np.uint64), *found]).view(np.int64), "digest": [d for d, f in zip(digests, found) for _ in range(len(f))]}
 
-    texts = rows.select("digest", "text").dropDuplicates(["digest"]).join(of, "digest")
-    held = written(map_columns(texts.select("digest", "text", "anchors"), windows, "w long, digest binary"))
+    held = written(map_columns(rows.select("digest", "text"), windows, "w long, digest binary"))
     ends = held.groupBy("w").agg(F.min("digest").alias("first"), F.max("digest").alias("last")).filter("first <> last")
     links = held.join(ends, "w").select("digest", F.when(F.col("digest") != F.col("first"), F.col("first")).otherwise(F.col("last")).alias("other")).distinct()
     return links.select(F.least("digest", "other").alias("digest_a"), F.greatest("digest", "other").alias("digest_b")).distinct()
