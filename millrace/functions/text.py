@@ -106,6 +106,11 @@ def stable_hash(*parts: Column) -> Column:
     return F.sha2(F.concat(*pieces), 256)
 
 
+def key128(c: Column) -> Column:
+    """128 bits that stand for a text wherever rows are grouped or joined by it; null for null."""
+    return F.unhex(F.substring(F.sha2(c, 256), 1, 32))
+
+
 def hash_order(*parts: Column | str) -> Column:
     """SHA-256 of the parts joined by ``|``: the order of deterministic shuffles and samples."""
     return F.sha2(F.concat_ws("|", *[p.cast("string") if isinstance(p, Column) else F.lit(p) for p in parts]), 256)

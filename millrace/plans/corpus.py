@@ -57,8 +57,8 @@ def d2_registry(spark, d):
 
 @query("""SELECT candidate_id FROM (SELECT candidate_id, row_number() OVER (PARTITION BY prompt_norm ORDER BY selection_rank, candidate_id) AS k FROM (SELECT DISTINCT candidate_id, prompt_norm, selection_rank FROM candidates)) WHERE k=1""")
 def d3_prompt_first_wins(spark, d):
-    rows = table(spark, d, "candidates").select("candidate_id", "prompt_norm", "selection_rank").distinct()
-    return dedup.first_per_key(rows, ["prompt_norm"], F.col("selection_rank"), F.col("candidate_id")).select("candidate_id")
+    rows = table(spark, d, "candidates").select("candidate_id", X.key128(F.col("prompt_norm")).alias("prompt"), "selection_rank")
+    return dedup.first_per_key(rows, ["prompt"], F.col("selection_rank"), F.col("candidate_id")).select("candidate_id")
 
 
 @query("""SELECT origin_group_id, arg_min(bucket, selection_rank) AS bucket, min(selection_rank) AS selection_rank FROM candidates GROUP BY origin_group_id""")
@@ -87,9 +87,9 @@ def d9_pattern_merge(spark, d):
  FROM (SELECT DISTINCT candidate_id, prompt_norm, lower(trim(split)) AS s FROM candidates)) WHERE k=1""")
 def d10_cross_split_prompts(spark, d):
     split = F.lower(F.trim("split"))
-    rows = table(spark, d, "candidates").select("candidate_id", "prompt_norm", split.alias("split_name")).distinct()
+    rows = table(spark, d, "candidates").select("candidate_id", X.key128(F.col("prompt_norm")).alias("prompt"), split.alias("split_name"))
     rank = F.when(F.col("split_name") == "train", 0).when(F.col("split_name") == "validation", 1).otherwise(2)
-    return dedup.first_per_key(rows, ["prompt_norm"], rank, F.col("candidate_id")).select("candidate_id", "split_name")
+    return dedup.first_per_key(rows, ["prompt"], rank, F.col("candidate_id")).select("candidate_id", "split_name")
 
 
 @query("""WITH RECURSIVE e AS (SELECT DISTINCT a.candidate_id AS a, b.candidate_id AS b FROM pretrain_records a JOIN pretrain_records b ON a.content_sha256=b.content_sha256 AND a.candidate_id<>b.candidate_id),
@@ -175,8 +175,8 @@ def q2_declared_vs_observed(spark, d):
 @query("""SELECT candidate_id FROM candidates WHERE lower(trim(split))='train' AND prompt_norm NOT IN (SELECT prompt_norm FROM candidates WHERE lower(trim(split))<>'train')""")
 def j9_drop_overlapping(spark, d):
     """The exact step between the splits; the whole guard is j9_guard."""
-    rows = table(spark, d, "candidates").select("candidate_id", "prompt_norm", F.lower(F.trim("split")).alias("s"))
-    return rows.filter("s = 'train'").join(rows.filter("s <> 'train'").select("prompt_norm"), "prompt_norm", "left_anti").select("candidate_id")
+    rows = table(spark, d, "candidates").select("candidate_id", X.key128(F.col("prompt_norm")).alias("prompt"), F.lower(F.trim("split")).alias("s"))
+    return rows.filter("s = 'train'").join(rows.filter("s <> 'train'").select("prompt").distinct(), "prompt", "left_anti").select("candidate_id")
 
 
 @query()
@@ -226,7 +226,7 @@ def j13_tree_depth(spark, d):
 
 @query("""WITH s AS (SELECT DISTINCT prompt_norm, lower(trim(split)) AS s FROM candidates) SELECT a.s AS split_a, b.s AS split_b, count(*) AS shared FROM s a JOIN s b USING (prompt_norm) WHERE a.s < b.s GROUP BY ALL""")
 def j14_overlap_matrix(spark, d):
-    sets = table(spark, d, "candidates").groupBy("prompt_norm").agg(F.sort_array(F.collect_set(F.lower(F.trim("split")))).alias("s")).filter(F.size("s") > 1)
+    sets = table(spark, d, "candidates").filter("prompt_norm is not null").groupBy(X.key128(F.col("prompt_norm"))).agg(F.sort_array(F.collect_set(F.lower(F.trim("split")))).alias("s")).filter(F.size("s") > 1)
     pairs = sets.select(F.explode("s").alias("split_a"), "s").select("split_a", F.explode("s").alias("split_b")).filter("split_a < split_b")
     return pairs.groupBy("split_a", "split_b").agg(F.count(F.lit(1)).alias("shared"))
 
