@@ -207,9 +207,9 @@ def anchored_windows(text: str, known, length: int) -> np.ndarray:
 
 
 def _bitmap(hashes: DataFrame, column: str) -> tuple[int, np.ndarray]:
-    """A bitmap of the first bits of 64-bit hashes: at most 16 MB, whatever their number."""
+    """A bitmap of the last bits of 64-bit hashes (anchors are small numbers: their first bits are alike): at most 16 MB, whatever their number."""
     bits = min(MOST_BITS, max(10, (hashes.count() * 32).bit_length()))
-    slots = hashes.select(F.shiftrightunsigned(column, 64 - bits).alias("slot"))
+    slots = hashes.select(F.col(column).bitwiseAND(F.lit((1 << bits) - 1)).alias("slot"))
     words = slots.select(F.expr("slot div 32").alias("word"), F.expr("shiftleft(1L, cast(slot % 32 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bit")).toArrow()
     out = np.zeros(1 << (bits - 5), dtype=np.uint32)
     out[words["word"].to_numpy()] = words["bit"].to_numpy().astype(np.uint32)
@@ -231,7 +231,7 @@ def _first_pairs(rows: DataFrame, anchors: DataFrame, length: int) -> DataFrame:
         bits, words = marks.value
 
         def known(hashes: np.ndarray) -> np.ndarray:
-            slot = hashes >> np.uint64(64 - bits)
+            slot = hashes & np.uint64((1 << bits) - 1)
             return (words[slot >> np.uint64(5)] >> (slot & np.uint64(31)).astype(np.uint32)) & np.uint32(1) > 0
 
         found = [anchored_windows(t, known, length) for t in texts]
