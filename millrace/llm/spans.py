@@ -194,11 +194,13 @@ def _all_pairs(anchors: DataFrame) -> DataFrame:
     return a.join(b, "anchor").filter("digest_a < digest_b").select("digest_a", "digest_b").distinct()
 
 
-def anchored_windows(text: str, known, length: int) -> np.ndarray:
-    """Hashes of the windows of ``length`` characters that hold a run for which ``known(hashes)`` is true, each once."""
-    run = max(1, length * 5 // 8)
+def anchored_windows(text: str, anchors: np.ndarray, length: int) -> np.ndarray:
+    """Hashes of the windows of ``length`` characters that hold one of the anchors, each once."""
+    if not len(anchors):
+        return np.empty(0, dtype=np.uint64)
     prefix = prefix_sums(points(text))
-    at = np.flatnonzero(known(window_hashes(prefix, run)))
+    run = max(1, length * 5 // 8)
+    at = np.flatnonzero(np.isin(window_hashes(prefix, run), anchors))
     marks = np.zeros(len(text) + 2, dtype=np.int64)
     np.add.at(marks, np.maximum(0, at - (length - run)), 1)
     np.add.at(marks, at + 1, -1)
@@ -208,7 +210,7 @@ def anchored_windows(text: str, known, length: int) -> np.ndarray:
 
 def _bitmap(hashes: DataFrame, column: str) -> tuple[int, np.ndarray]:
     """A bitmap of the last bits of 64-bit hashes (anchors are small numbers: their first bits are alike): at most 16 MB, whatever their number."""
-    bits = min(MOST_BITS, max(10, (hashes.count() * 32).bit_length()))
+    bits = min(MOST_BITS, max(10, (hashes.count() * 256).bit_length()))
     slots = hashes.select(F.col(column).bitwiseAND(F.lit((1 << bits) - 1)).alias("slot"))
     words = slots.select(F.expr("slot div 32").alias("word"), F.expr("shiftleft(1L, cast(slot % 32 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bit")).toArrow()
     out = np.zeros(1 << (bits - 5), dtype=np.uint32)
@@ -230,11 +232,13 @@ def _first_pairs(rows: DataFrame, anchors: DataFrame, length: int) -> DataFrame:
     def windows(digests: list, texts: list) -> dict:
         bits, words = marks.value
 
-        def known(hashes: np.ndarray) -> np.ndarray:
+        found: list[np.ndarray] = []
+        for a, b in chunks(texts):
+            hashes, owner = anchor_hashes(texts[a:b], length)
             slot = hashes & np.uint64((1 << bits) - 1)
-            return (words[slot >> np.uint64(5)] >> (slot & np.uint64(31)).astype(np.uint32)) & np.uint32(1) > 0
-
-        found = [anchored_windows(t, known, length) for t in texts]
+            hit = (words[slot >> np.uint64(5)] >> (slot & np.uint64(31)).astype(np.uint32)) & np.uint32(1) > 0
+            hashes, edges = hashes[hit], np.searchsorted(owner[hit], np.arange(b - a + 1))
+            found += [anchored_windows(t, hashes[edges[k] : edges[k + 1]], length) for k, t in enumerate(texts[a:b])]
         return {"w": np.concatenate([np.empty(0, dtype=np.uint64), *found]).view(np.int64), "digest": [d for d, f in zip(digests, found) for _ in range(len(f))]}
 
     held = written(map_columns(rows.select("digest", "text"), windows, "w long, digest binary"))
