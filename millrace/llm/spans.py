@@ -175,7 +175,7 @@ def _texts(documents: DataFrame, doc_id: str, text: str, length: int) -> DataFra
 
 
 def _anchors(rows: DataFrame, length: int) -> DataFrame:
-    """``(anchor, digest)`` of every text, each once a text; written to the shared folder."""
+    """``(anchor, digest)`` of every row's text, each once a row."""
 
     def choose(digests: list, texts: list) -> dict:
         hashes, keys = [np.empty(0, dtype=np.int64)], []
@@ -185,11 +185,12 @@ def _anchors(rows: DataFrame, length: int) -> DataFrame:
             keys += [digests[a + k] for k in owner.tolist()]
         return {"anchor": np.concatenate(hashes), "digest": keys}
 
-    return written(map_columns(rows.select("digest", "text"), choose, "anchor long, digest binary").distinct())
+    return map_columns(rows.select("digest", "text"), choose, "anchor long, digest binary")
 
 
 def _all_pairs(anchors: DataFrame) -> DataFrame:
-    """Every two texts with a common anchor."""
+    """Every two texts with a common anchor; copies of a text are one before they meet."""
+    anchors = written(anchors.distinct())
     a, b = anchors.select("anchor", F.col("digest").alias("digest_a")), anchors.select("anchor", F.col("digest").alias("digest_b"))
     return a.join(b, "anchor").filter("digest_a < digest_b").select("digest_a", "digest_b").distinct()
 
