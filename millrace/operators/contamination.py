@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.arrow import map_columns
 from ..functions.unicode import chunks, distinct_grams, joined_windows
 from ..runtime import written
-from .setjoin import COUNTERS, gathered, jaccard_join, keyed, slots, verified
+from .setjoin import COUNTERS, gathered, jaccard_join, keyed, sketched, slots, verified
 
 #: Most characters of patterns in one broadcast automaton; more patterns are searched in several.
 AUTOMATON_CHARS = 4_000_000
@@ -312,7 +312,8 @@ def minhash_pairs(df: DataFrame, key: str, text: str, width: int = 5, permutatio
             out[:, b] = mix
         return who, out.view(np.int64)
 
-    return _ordered(verified(_banded(texts := keyed(written(_distinct_texts(df, key, text))), signature, bands), texts, texts, width, threshold))
+    texts = keyed(written(_distinct_texts(df, key, text)))
+    return _ordered(verified(sketched(_banded(texts, signature, bands), texts, texts, width, threshold), texts, texts, width, threshold))
 
 
 def simhash_pairs(df: DataFrame, key: str, text: str, width: int = 5, bands: int = 8, threshold: float = 0.8) -> DataFrame:
@@ -329,7 +330,8 @@ def simhash_pairs(df: DataFrame, key: str, text: str, width: int = 5, bands: int
         parts = np.stack([((bits >> np.uint64(step * b)) & np.uint64((1 << step) - 1)) | (np.uint64(b) << np.uint64(56)) for b in range(bands)], axis=1) if len(who) else np.empty((0, bands), dtype=np.uint64)
         return who, parts.view(np.int64)
 
-    return _ordered(verified(_banded(texts := keyed(written(_distinct_texts(df, key, text))), signature, bands), texts, texts, width, threshold))
+    texts = keyed(written(_distinct_texts(df, key, text)))
+    return _ordered(verified(sketched(_banded(texts, signature, bands), texts, texts, width, threshold), texts, texts, width, threshold))
 
 
 def gram_pairs_across(left: DataFrame, right: DataFrame, width: int = 5, threshold: float = 0.8) -> DataFrame:

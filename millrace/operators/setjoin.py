@@ -83,13 +83,23 @@ def _sketches(texts: DataFrame, width: int, side: str) -> DataFrame:
 
     def sketch(keys: list, values: list) -> dict:
         flips = np.zeros((len(values), _WORDS * 64), dtype=np.int64)
+        size = np.zeros(len(values), dtype=np.int64)
         for a, b in chunks(values):
             hashes, owner = distinct_grams(values[a:b], width)
+            size[a:b] = np.bincount(owner, minlength=b - a)
             np.add.at(flips, (owner + a, (hashes % np.uint64(_WORDS * 64)).astype(np.int64)), 1)
         bits = np.packbits((flips & 1).astype(np.uint8), axis=1).view(np.int64)
-        return {side: keys} | {f"{side}{i}": bits[:, i] for i in range(_WORDS)}
+        return {side: keys, f"{side}n": size} | {f"{side}{i}": bits[:, i] for i in range(_WORDS)}
 
-    return map_columns(texts.select("key", "text"), sketch, f"{side} long, " + ", ".join(f"{side}{i} long" for i in range(_WORDS)))
+    return map_columns(texts.select("key", "text"), sketch, f"{side} long, {side}n long, " + ", ".join(f"{side}{i} long" for i in range(_WORDS)))
+
+
+def sketched(pairs: DataFrame, left: DataFrame, right: DataFrame, width: int, threshold: float) -> DataFrame:
+    """The pairs ``(a, b)`` of keys whose sizes and parity sketches allow a Jaccard of ``threshold``; none that has it is lost."""
+    both = pairs.join(_sketches(left, width, "a"), "a").join(_sketches(right, width, "b"), "b")
+    differ = sum((F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(_WORDS)), F.lit(0))
+    sizes = F.least("an", "bn") >= threshold * F.greatest("an", "bn") - 1e-9
+    return both.filter(sizes & (differ <= (1 - threshold) / (1 + threshold) * (F.col("an") + F.col("bn")) + 1e-6)).select("a", "b")
 
 
 def verified(pairs: DataFrame, left: DataFrame, right: DataFrame, width: int, threshold: float) -> DataFrame:
@@ -136,9 +146,7 @@ def jaccard_join(left: DataFrame, right: DataFrame | None = None, width: int = 5
     need = F.ceil(threshold / (1 + threshold) * (F.col("na") + F.col("nb")) - 1e-6).cast("int")
     met = met.select("a", "b", "na", "nb", need.alias("need"), F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")).alias("left")).filter("left >= need")
     near = met.groupBy("a", "b", "na", "nb", "need").agg(F.count(F.lit(1)).alias("common"), F.min("left").alias("left")).filter("common + left - 1 >= need")
-    near = near.select("a", "b", "na", "nb").join(_sketches(left, width, "a"), "a").join(_sketches(right, width, "b"), "b")
-    differ = sum((F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(_WORDS)), F.lit(0))
-    near = near.filter(differ <= (1 - threshold) / (1 + threshold) * (F.col("na") + F.col("nb")) + 1e-6).select("a", "b")
+    near = sketched(near.select("a", "b"), left, right, width, threshold)
     if not own:
         return verified(written(near), left, right, width, threshold)
     twins = left.groupBy("key").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select(F.col("key").alias("a"), F.col("key").alias("b"))  # ids that share a key: none, if hashes are kind
